@@ -47,23 +47,39 @@ def _unit(matrix: np.ndarray) -> np.ndarray:
     return np.divide(matrix, norms, out=np.zeros_like(matrix), where=norms > 0)
 
 
+def _best(cols: np.ndarray, ids: np.ndarray, similarity: np.ndarray, k: int) -> np.ndarray:
+    """Positions of the k best entries of each query: most similar first, then smallest id."""
+    order = np.lexsort((np.argsort(np.argsort(ids, kind="stable"), kind="stable"), -similarity, cols))
+    sorted_cols = cols[order]
+    place = np.arange(len(order)) - np.searchsorted(sorted_cols, sorted_cols)
+    return order[place < k]
+
+
 def _scorer(query_ids: list[int], queries: np.ndarray, k: int):
-    """Per Arrow batch: one matrix product, then the k best rows of each query."""
+    """Per Arrow batch one matrix product; per task the k best rows of each query."""
     def score(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        kept, id_type = None, None
         for batch in batches:
             if not batch.num_rows:
                 continue
+            id_type = batch.column("id").type
+            ids = batch.column("id").to_numpy(zero_copy_only=False)
             similarity = _unit(_matrix(batch.column("embedding"))) @ queries.T
             if batch.num_rows > k:
-                # Keep everything at least as near as the k-th, so equal rows stay for the final rank.
                 kth = np.partition(similarity, -k, axis=0)[-k]
                 rows, cols = np.nonzero(similarity >= kth)
             else:
                 rows, cols = np.indices(similarity.shape).reshape(2, -1)
+            found = (cols, ids[rows], similarity[rows, cols])
+            if kept is not None:
+                found = tuple(np.concatenate(both) for both in zip(kept, found))
+            chosen = _best(*found, k)
+            kept = tuple(part[chosen] for part in found)
+        if kept is not None:
+            cols, ids, similarity = kept
             yield pa.RecordBatch.from_arrays(
-                [pa.array(np.asarray(query_ids, dtype=np.int64)[cols]),
-                 batch.column("id").take(pa.array(rows)),
-                 pa.array(similarity[rows, cols])], names=["qid", "id", "cosine"])
+                [pa.array(np.asarray(query_ids, dtype=np.int64)[cols]), pa.array(ids, type=id_type),
+                 pa.array(similarity)], names=["qid", "id", "cosine"])
     return score
 
 
@@ -71,8 +87,8 @@ def top_k(queries: DataFrame, vectors: DataFrame, k: int = K.TOP_K) -> DataFrame
     """``qid, cosine_rank, id, cosine``: exact k nearest of ``vectors(id, embedding)`` for each of
     ``queries(qid, embedding)``; fewer when there are fewer vectors.
 
-    Each task multiplies its vectors with the query block and passes on k candidates per query and
-    batch, so the shuffle holds candidates only. A block has a fixed maximum size; a larger batch of
+    Each task multiplies its vectors with the query block, batch by batch, and passes on k candidates
+    per query, so the shuffle holds candidates only, however many copies of a vector there are. A block has a fixed maximum size; a larger batch of
     queries is split by hash and scans the vectors once per block.
     """
     n = queries.count()
