@@ -141,7 +141,7 @@ SELECT doc_id, n_chars, n_words, round(n_question / greatest(n_words, 1), 4) AS
        round(n_word_chars / greatest(n_words, 1), 4) AS avg_word_len FROM f"""
 SQL_UTTERANCE_FEATURES = f"""WITH {I.SQL_UTTERANCES}
 SELECT turn_index AS event_id, {Q.style_columns()},
-       len(list_filter(regexp_split_to_array(text, '\\s+'), lambda t: t <> '')) AS n_tokens,
+       len(list_filter(regexp_split_to_array(text, '\\s+'), lambda t: t <> ''))::INTEGER AS n_tokens,
        regexp_split_to_array(lower(text), '[\\s,.!?]+')[1] AS first_token FROM turns"""
 SQL_SENTIMENT_TURNS = f"""WITH {I.SQL_TURNS}, {Q.sentiment(I.LEXICON, 'turns', 'conversation_id, turn_index')}
 SELECT conversation_id, turn_index, day, compound FROM turns JOIN scored USING (conversation_id, turn_index)"""
@@ -270,7 +270,7 @@ SQL_ENTITY_ROLLUP = f"WITH {_SQL_ENTITY_ROLLUP} SELECT * EXCLUDE (exact) FROM ro
 SQL_CANDIDATES = f"""WITH {_SQL_ENTITY_ROLLUP}
 SELECT * EXCLUDE (exact) FROM rounded WHERE {_QUALIFIED} ORDER BY exact DESC, entity LIMIT 10"""
 SQL_CANDIDATE_COUNTS = f"""WITH {_SQL_ENTITY_ROLLUP}
-SELECT count(*) AS n_unique_entities, count_if({_QUALIFIED}) AS n_qualified FROM rolled"""
+SELECT count(*) AS n_unique_entities, count_if({_QUALIFIED})::BIGINT AS n_qualified FROM rolled"""
 
 
 # --- drift ----------------------------------------------------------------------

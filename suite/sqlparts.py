@@ -66,12 +66,12 @@ def style_columns(text: str = "text") -> str:
     words = f"regexp_extract_all({text}, '[A-Za-z'']+')"
     contractions = K.CONTRACTIONS.replace("'", "''")
     return f"""
-length({text}) AS n_chars, len({words}) AS n_words,
-length({text}) - length(replace({text}, '?', '')) AS n_question,
-length({text}) - length(replace({text}, '!', '')) AS n_exclaim,
-len(list_filter({words}, lambda w: length(w) >= 2 AND w = upper(w) AND w <> lower(w))) AS n_caps,
-coalesce(list_sum(list_transform({words}, lambda w: length(w))), 0) AS n_word_chars,
-len(regexp_extract_all({text}, '(?i)\\b(?:{contractions})\\b')) AS n_contractions"""
+CAST(length({text}) AS INTEGER) AS n_chars, CAST(len({words}) AS INTEGER) AS n_words,
+CAST(length({text}) - length(replace({text}, '?', '')) AS INTEGER) AS n_question,
+CAST(length({text}) - length(replace({text}, '!', '')) AS INTEGER) AS n_exclaim,
+CAST(len(list_filter({words}, lambda w: length(w) >= 2 AND w = upper(w) AND w <> lower(w))) AS INTEGER) AS n_caps,
+CAST(coalesce(list_sum(list_transform({words}, lambda w: length(w))), 0) AS INTEGER) AS n_word_chars,
+CAST(len(regexp_extract_all({text}, '(?i)\\b(?:{contractions})\\b')) AS INTEGER) AS n_contractions"""
 
 
 ROLLUP_RATES = """
