@@ -15,6 +15,7 @@ from turnloom.operators import binning, drift, entities, profile, topics
 from turnloom.operators import turns as turn_ops
 from turnloom.plans import drift as drift_plan
 from turnloom.plans import entities as entity_plan
+from turnloom.scaling import spread
 
 DEFAULT = Lexicon()
 
@@ -97,7 +98,7 @@ SELECT day, count(*) AS n, 'session' AS strategy, 'found grouping column ''conve
 
 def surface_features(spark, sf):
     features = style.surface_features(F.col("text"))
-    return I.table(spark, sf, "documents").select(
+    return I.documents(spark, sf).select(
         "doc_id", *[(F.round(c, 4) if "_r" in n or "avg" in n else c).alias(n) for n, c in features.items()])
 
 
@@ -109,7 +110,7 @@ def utterance_features(spark, sf):
 
 
 def clean_text(spark, sf):
-    return I.table(spark, sf, "documents").select(
+    return I.documents(spark, sf).select(
         "doc_id", T.clean(F.col("text")).alias("cleaned"), T.clean_preserve_case(F.col("text")).alias("cased"))
 
 
@@ -181,7 +182,7 @@ def _document_turns(spark, sf) -> DataFrame:
     """Documents as one-turn conversations in seven periods by row order."""
     docs = I.table(spark, sf, "documents").select(
         F.col("doc_id").alias("conversation_id"), F.lit(0).alias("turn_index"), "text")
-    return binning.bin_by_rows(docs, 7, "conversation_id")
+    return spread(binning.bin_by_rows(docs, 7, "conversation_id"))
 
 
 def topics_top(spark, sf):
@@ -315,7 +316,7 @@ def timeline_summary(spark, sf):
 
 def drift_triggers(spark, sf):
     """Triggers over one conversation per period, where few conversations can dominate a period."""
-    turns = binning.bin_by_session(I.plain_turns(spark, sf), 40, "conversation_id")
+    turns = I.turns(spark, sf, 40)
     profiles = drift_plan.daily_profiles(turns, I.gazetteer(spark), I.LEXICON, I.STOP_WORDS)
     changes = drift.detect_drift(profiles)
     picked = drift.find_triggers(profiles, changes)

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from turnloom.functions.sentiment import Lexicon
 from turnloom.operators import binning
+from turnloom.scaling import spread
 
 # The text is invented, so word lists are over words that do occur in it.
 LEXICON = Lexicon(
@@ -51,15 +52,20 @@ def _speaker(role):
     return F.when(role == "user", 1).when(role == "assistant", 2).otherwise(3)
 
 
+def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return spread(table(spark, sf_dir, "documents").select("doc_id", "text"))
+
+
 def plain_turns(spark: SparkSession, sf_dir: str) -> DataFrame:
     c = table(spark, sf_dir, "conversations")
-    return c.select(F.col("conv_id").alias("conversation_id"), F.col("turn").cast("int").alias("turn_index"),
-                    _speaker(F.col("role")).alias("speaker"), "text")
+    return c.select(
+        F.col("conv_id").alias("conversation_id"), F.col("turn").cast("int").alias("turn_index"),
+        _speaker(F.col("role")).alias("speaker"), "text")
 
 
-def turns(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Turns of ``conversations`` in seven periods of consecutive conversations."""
-    return binning.bin_by_session(plain_turns(spark, sf_dir), 7, "conversation_id")
+def turns(spark: SparkSession, sf_dir: str, n_bins: int = 7) -> DataFrame:
+    """Turns of ``conversations`` in periods of consecutive conversations."""
+    return spread(binning.bin_by_session(plain_turns(spark, sf_dir), n_bins, "conversation_id"))
 
 
 SQL_TURNS = """
@@ -75,7 +81,8 @@ turns AS (
 
 def utterances(spark: SparkSession, sf_dir: str) -> DataFrame:
     """One English sentence per event; a user's events are a conversation, time makes the period."""
-    e = table(spark, sf_dir, "events")
+    columns = ["event_id", "user_id", "ts", "event_type", "value"]
+    e = spread(binning.bin_by_timestamp(table(spark, sf_dir, "events").select(*columns), 7, "ts"))
     text = F.lit("")
     case = None
     for kind, smallest, before, after in SENTENCES:
@@ -84,9 +91,8 @@ def utterances(spark: SparkSession, sf_dir: str) -> DataFrame:
             condition = condition & (F.col("value") >= smallest)
         sentence = F.concat(F.lit(before), F.col("user_id").cast("string"), F.lit(after))
         case = F.when(condition, sentence) if case is None else case.when(condition, sentence)
-    spoken = e.select(F.col("user_id").alias("conversation_id"), F.col("event_id").alias("turn_index"), "ts",
-                      case.otherwise(text).alias("text"))
-    return binning.bin_by_timestamp(spoken, 7, "ts")
+    return e.select(F.col("user_id").alias("conversation_id"), F.col("event_id").alias("turn_index"), "ts", "day",
+                    case.otherwise(text).alias("text"))
 
 
 def _sql_sentence() -> str:

@@ -101,7 +101,7 @@ def sentiment_groups(spark, sf):
 def _documents_index(spark, sf):
     """Vectors whose text and sentiment are those of the document with the same id."""
     from turnloom.functions import sentiment
-    docs = I.table(spark, sf, "documents").select(F.col("doc_id").alias("id"), "text")
+    docs = I.documents(spark, sf).select(F.col("doc_id").alias("id"), "text")
     return (_vectors(spark, sf).drop("sentiment").join(docs, "id")
             .withColumn("sentiment", sentiment.compound(F.col("text"), I.LEXICON)))
 

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import json
+import string
 from dataclasses import dataclass, field
 
 from pyspark.sql import Column
@@ -11,7 +13,6 @@ from turnloom import constants as K
 
 # A word list is a dictionary the planner embeds in the plan; anything larger is not a word list.
 MAX_LEXICON = 100_000
-_PUNCTUATION = r"[!-/:-@\[-`{-~]+"
 
 
 def _default_boosters() -> dict[str, float]:
@@ -36,8 +37,9 @@ class Lexicon:
 def _lookup(table: dict[str, float], word: Column) -> Column:
     if not table:
         return F.lit(0.0)
-    entries = [F.lit(x) for pair in table.items() for x in (pair[0], float(pair[1]))]
-    return F.coalesce(F.create_map(*entries)[word], F.lit(0.0))
+    # One literal that the planner folds to a map, instead of a plan node per word.
+    entries = F.from_json(F.lit(json.dumps(table)), "map<string,double>")
+    return F.coalesce(entries[word], F.lit(0.0))
 
 
 def _let(value: Column, body) -> Column:
@@ -46,7 +48,7 @@ def _let(value: Column, body) -> Column:
 
 
 def _token(raw: Column) -> Column:
-    bare = F.regexp_replace(raw, rf"\A{_PUNCTUATION}|{_PUNCTUATION}\z", "")
+    bare = F.btrim(raw, F.lit(string.punctuation))
     return F.when(F.length(bare) <= 2, raw).otherwise(bare)
 
 
@@ -60,9 +62,10 @@ def compound(text: Column, lexicon: Lexicon | None = None) -> Column:
     text = F.coalesce(text, F.lit(""))
     tokens = F.transform(F.filter(F.split(text, r"(?U)\s+"), lambda w: w != ""), _token)
 
-    def describe(token: Column) -> Column:
+    def describe(token: Column, at: Column) -> Column:
         lowered = F.lower(token)
         return F.struct(
+            at.alias("at"),
             lowered.alias("word"),
             ((token == F.upper(token)) & (token != lowered)).alias("caps"),
             _lookup(lexicon.valences, lowered).alias("valence"),
@@ -71,7 +74,7 @@ def compound(text: Column, lexicon: Lexicon | None = None) -> Column:
     def total(items: Column) -> Column:
         n_caps = F.size(F.filter(items, lambda x: x["caps"]))
         shouting = (n_caps > 0) & (n_caps < F.size(items))
-        contrast = F.array_position(F.transform(items, lambda x: x["word"]), lexicon.contrast)
+        contrast = F.array_position(items["word"], lexicon.contrast)
         return _let(F.struct(shouting.alias("shouting"), contrast.alias("contrast")),
                     lambda state: _total(items, state, lexicon))
 
@@ -103,8 +106,8 @@ def _total(items: Column, state: Column, lexicon: Lexicon) -> Column:
             .otherwise(1.0).alias("factor"),
         )
 
-    def in_context(hit: Column) -> Column:
-        at, item = hit["at"], hit["item"]
+    def in_context(item: Column) -> Column:
+        at = item["at"]
         start = item["valence"] + F.signum(item["valence"]) * raised(item)
         effects = F.array(*[effect(F.get(items, at - d - 1), damping)
                             for d, damping in enumerate(K.BOOST_DAMPING)])
@@ -116,9 +119,8 @@ def _total(items: Column, state: Column, lexicon: Lexicon) -> Column:
             .otherwise(1.0))
         return value * weight
 
-    numbered = F.transform(items, lambda x, i: F.struct(i.alias("at"), x.alias("item")))
-    hits = F.filter(numbered, lambda hit: hit["item"]["valence"] != 0)
-    return F.aggregate(hits, F.lit(0.0), lambda acc, hit: acc + in_context(hit))
+    hits = F.filter(items, lambda item: item["valence"] != 0)
+    return F.aggregate(hits, F.lit(0.0), lambda acc, item: acc + in_context(item))
 
 
 def sign(sentiment: Column, threshold: float = K.SIGN_THRESHOLD) -> Column:

@@ -8,8 +8,9 @@ from pyspark.sql import functions as F
 from turnloom import constants as K
 from turnloom.functions import text as T
 
-# A word in capitals, two letters or more; apostrophes count as letters.
-_CAPS_WORD = r"(?<![A-Za-z'])(?=[A-Z']*[A-Z])[A-Z']{2,}(?![A-Za-z'])"
+# A word in capitals, two letters or more; apostrophes count as letters. The first thing tested is a
+# plain character class, so ordinary text is skipped without any look-around.
+_CAPS_WORD = r"(?:[A-Z]|'(?='*[A-Z]))(?<![A-Za-z'].)[A-Z']++(?![A-Za-z'])"
 
 
 def _count(text: Column, pattern: str) -> Column:
@@ -25,7 +26,7 @@ def counts(text: Column) -> dict[str, Column]:
         "n_question": _count(text, r"\?"),
         "n_exclaim": _count(text, "!"),
         "n_caps": _count(text, _CAPS_WORD),
-        "n_word_chars": F.length(F.regexp_replace(text, "[^A-Za-z']+", "")),
+        "n_word_chars": F.length(F.array_join(T.words(text), "")),
         "n_contractions": _count(text, T.words_regex(K.CONTRACTIONS)),
     }
 

@@ -88,7 +88,9 @@ def pairs_of(tokens: Column) -> Column:
 
 def topic_tokens(text: Column, stop_words: list[str]) -> Column:
     """Lower-cased alphabetic tokens of two letters or more without stop words."""
-    tokens = F.regexp_extract_all(F.lower(text), F.lit(r"(?U)\b[a-zA-Z][a-zA-Z']+\b"), F.lit(0))
+    # The cheap letter test comes first; the Unicode word borders are looked at only after it.
+    pattern = r"[a-zA-Z](?<!(?U:\w).)[a-zA-Z']+(?U:\b)"
+    tokens = F.regexp_extract_all(F.lower(text), F.lit(pattern), F.lit(0))
     return F.filter(tokens, lambda t: ~t.isin(stop_words)) if stop_words else tokens
 
 

@@ -2,10 +2,11 @@
 
 from __future__ import annotations
 
-from functools import lru_cache
+from dataclasses import dataclass
+from functools import lru_cache, reduce
 
 from pyspark.ml.feature import StopWordsRemover
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
@@ -14,6 +15,8 @@ from turnloom.functions import text as T
 
 # Rows ordered by one task at most when pairing the last word of a turn with the first of the next.
 _BLOCK = 65_536
+# Days counted side by side in one aggregate.
+_MAX_COUNTERS = 64
 
 
 @lru_cache(maxsize=1)
@@ -22,19 +25,53 @@ def default_stop_words() -> tuple[str, ...]:
     return tuple(sorted({*StopWordsRemover.loadDefaultStopWords("english"), *K.CHAT_FILLERS}))
 
 
-def _border_pairs(turns: DataFrame) -> DataFrame:
+@dataclass(frozen=True)
+class _Extent:
+    """Days present and the range of turn positions: one small aggregate over id columns."""
+
+    days: list[int]
+    first_convo: int
+    convos: int
+    turns: int
+
+    @classmethod
+    def of(cls, turns: DataFrame) -> "_Extent":
+        rows = turns.groupBy("day").agg(
+            F.min("conversation_id").alias("low"), F.max("conversation_id").alias("high"),
+            F.max("turn_index").alias("last")).collect()  # one row per day
+        low = min((r.low for r in rows), default=0)
+        return cls(sorted(r.day for r in rows), low, max((r.high for r in rows), default=0) - low + 1,
+                   max((r.last for r in rows), default=0) + 1)
+
+    def positions(self) -> list[Column]:
+        """Columns placing a turn in its day, coarse to fine, each with at most ``_BLOCK`` values
+        within the one before."""
+        convo = F.col("conversation_id").cast("bigint") - F.lit(self.first_convo)
+        turn = F.col("turn_index").cast("bigint")
+        if self.convos * self.turns < 2**62:
+            return _prefixes(convo * F.lit(self.turns) + turn, self.convos * self.turns)
+        return _prefixes(convo, self.convos) + _prefixes(turn, self.turns)
+
+
+def _prefixes(position: Column, span: int) -> list[Column]:
+    shifts = range(0, max((span - 1).bit_length(), 1), _BLOCK.bit_length() - 1)
+    return [F.shiftright(position, shift) for shift in reversed(shifts)]
+
+
+def _border_pairs(turns: DataFrame, extent: _Extent) -> DataFrame:
     """Word pairs across turn and conversation borders, from each day's running word sequence.
 
-    The sequence is paired level by level: turns inside a block of a conversation, blocks inside the
-    conversation, conversations inside a block of conversations, blocks inside the day. Each level
-    passes only the first and last word of its groups on, so no task orders more than one block
-    however long a conversation or day is.
+    The sequence is paired level by level: positions inside a block, blocks inside a larger block, and
+    so on up to the day. Each level passes only the first and last word of its groups on, so no task
+    orders more than one block however long a conversation or day is; a small table has one level.
     """
-    rows = turns.select(
-        "day", F.expr(f"conversation_id div {_BLOCK}").alias("convo_block"), "conversation_id",
-        F.expr(f"turn_index div {_BLOCK}").alias("turn_block"), "turn_index",
-        F.col("tokens")[0].alias("first"), F.element_at("tokens", -1).alias("last"))
-    levels = ["day", "convo_block", "conversation_id", "turn_block", "turn_index"]
+    # An empty turn has no ends; dropping it inside the generator keeps the tokens computed once.
+    ends = F.transform(F.array("tokens"), lambda t: F.struct(
+        F.get(t, F.lit(0)).alias("first"), F.get(t, F.size(t) - 1).alias("last")))
+    positions = extent.positions()
+    levels = ["day", *[f"p{i}" for i in range(len(positions))]]
+    rows = turns.select("day", *[p.alias(name) for p, name in zip(positions, levels[1:])],
+                        F.inline(F.filter(ends, lambda e: e["first"].isNotNull())))
     found = []
     for depth in range(len(levels) - 1, 0, -1):
         group, position = levels[:depth], levels[depth]
@@ -44,24 +81,41 @@ def _border_pairs(turns: DataFrame) -> DataFrame:
                                  F.col("first").alias("after")).filter("before IS NOT NULL"))
         rows = rows.groupBy(*group).agg(F.min_by("first", position).alias("first"),
                                         F.max_by("last", position).alias("last"))
-    pairs = found[0]
-    for more in found[1:]:
-        pairs = pairs.unionByName(more)
+    pairs = reduce(DataFrame.unionByName, found)
     return pairs.select("day", F.concat("before", F.lit(" "), "after").alias("term"))
 
 
+def _terms(turns: DataFrame, extent: _Extent, stop_words=None) -> DataFrame:
+    """``day, term``, one row per occurrence."""
+    stop_words = default_stop_words() if stop_words is None else stop_words
+    tokens = T.topic_tokens(F.col("text"), list(stop_words))
+    worded = turns.select("day", "conversation_id", "turn_index", tokens.alias("tokens"))
+    inside = worded.select("day", F.explode(F.concat("tokens", T.pairs_of(F.col("tokens")))).alias("term"))
+    return inside.unionByName(_border_pairs(worded, extent))
+
+
 def term_counts(turns: DataFrame, stop_words=None) -> DataFrame:
     """``day, term, tf`` over one- and two-word terms of ``day, conversation_id, turn_index, text``.
 
     Stop words go before pairing, so pairs bridge them as well as turn borders.
     """
-    stop_words = default_stop_words() if stop_words is None else stop_words
-    tokens = T.topic_tokens(F.col("text"), list(stop_words))
-    worded = turns.select("day", "conversation_id", "turn_index", tokens.alias("tokens")).filter(
-        F.size("tokens") > 0)
-    inside = worded.select("day", F.explode(F.concat("tokens", T.pairs_of(F.col("tokens")))).alias("term"))
-    terms = inside.unionByName(_border_pairs(worded))
-    return terms.groupBy("day", "term").agg(F.count("*").alias("tf"))
+    return _terms(turns, _Extent.of(turns), stop_words).groupBy("day", "term").agg(F.count("*").alias("tf"))
+
+
+def _counts_by_term(terms: DataFrame, days: list[int], widest: int = _MAX_COUNTERS) -> DataFrame:
+    """``term, days``: the days a term occurs on, each with its count.
+
+    With few days a term keeps one counter per day, so occurrences are combined before the only
+    shuffle. With many, days are counted first and then listed: a term has one entry per day.
+    """
+    if len(days) > widest:
+        counted = terms.groupBy("day", "term").agg(F.count("*").alias("tf"))
+        return counted.groupBy("term").agg(F.collect_list(F.struct("day", "tf")).alias("days"))
+    counters = [F.count_if(F.col("day") == day).alias(f"d{i}") for i, day in enumerate(days)]
+    listed = F.array(*[F.struct(F.lit(day).alias("day"), F.col(f"d{i}").alias("tf"))
+                       for i, day in enumerate(days)])
+    return terms.groupBy("term").agg(*counters).select(
+        "term", F.filter(listed, lambda at: at["tf"] > 0).alias("days"))
 
 
 def top_topics(turns: DataFrame, k: int = K.TOP_TOPICS, min_days: int = 2, stop_words=None) -> DataFrame:
@@ -70,11 +124,9 @@ def top_topics(turns: DataFrame, k: int = K.TOP_TOPICS, min_days: int = 2, stop_
     Score is tf × (ln((1 + D) / (1 + df)) + 1), scaled to unit length per day. Ties go to the
     alphabetically later term.
     """
-    counts = term_counts(turns, stop_words)
-    # A term has at most one row per day, so its list is bounded by the number of days.
-    by_term = counts.groupBy("term").agg(F.collect_list(F.struct("day", "tf")).alias("days"))
-    n_days = turns.select(F.count_distinct("day").alias("n_days")).scalar()
-    idf = F.log((1 + n_days) / (1 + F.size("days"))) + 1
+    extent = _Extent.of(turns)
+    by_term = _counts_by_term(_terms(turns, extent, stop_words), extent.days)
+    idf = F.log((1 + len(extent.days)) / (1 + F.size("days"))) + 1
     weighted = (
         by_term.filter(F.size("days") >= min_days)
         .select("term", idf.alias("idf"), F.explode("days").alias("at"))

@@ -23,6 +23,16 @@ def session(app: str = "turnloom", master: str | None = None, **conf: str) -> Sp
     return builder.getOrCreate()
 
 
+def spread(df: DataFrame) -> DataFrame:
+    """Use every core on a source that is read in fewer pieces than there are cores.
+
+    Meant for a small table in one file, whose rows cost much to process. It moves at most one input
+    split per core; a table with more splits than cores comes back as it is.
+    """
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    return df.repartition(cores) if df.rdd.getNumPartitions() <= cores else df
+
+
 def checkpoint_folder(spark: SparkSession) -> str | None:
     """The shared folder named by the cluster; a temporary one only in local mode."""
     shared = spark.conf.get("spark.checkpoint.dir", None)
