@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from turnloom.functions.sentiment import Lexicon
 from turnloom.operators import binning
-from turnloom.scaling import spread
+from turnloom.scaling import local_table, spread
 
 # The text is invented, so word lists are over words that do occur in it.
 LEXICON = Lexicon(
@@ -136,7 +136,7 @@ dialogues AS (
 
 
 def gazetteer(spark: SparkSession) -> DataFrame:
-    return spark.createDataFrame(GAZETTEER, "surface STRING, label STRING")
+    return local_table(spark, GAZETTEER, "surface STRING, label STRING")
 
 
 SQL_GAZETTEER = ("gazetteer(surface, label) AS (VALUES "

@@ -220,7 +220,7 @@ QUERIES = {
     "vocabulary_conversations": (vocabulary_conversations, _sql_vocabulary("x AS (SELECT 1)", "conversations")),
     "class_weights": (class_weights, f"""WITH {_SQL_LABELLED}
         SELECT label, round((SELECT count(*) FROM labelled) / ((SELECT count(DISTINCT label) FROM labelled) * count(*)), 6)
-               AS weight FROM labelled GROUP BY label"""),
+               AS weight, count(*) AS n FROM labelled GROUP BY label"""),
     "train_intent": (train_intent, None),
     "classify_intent": (classify_intent, None),
 }

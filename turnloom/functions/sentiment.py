@@ -67,7 +67,7 @@ def compound(text: Column, lexicon: Lexicon | None = None) -> Column:
         return F.struct(
             at.alias("at"),
             lowered.alias("word"),
-            ((token == F.upper(token)) & (token != lowered)).alias("caps"),
+            ((token != lowered) & (token == F.upper(token))).alias("caps"),
             _lookup(lexicon.valences, lowered).alias("valence"),
         )
 
@@ -97,20 +97,23 @@ def _total(items: Column, state: Column, lexicon: Lexicon) -> Column:
     def raised(item: Column) -> Column:
         return F.when(item["caps"] & state["shouting"], K.CAPS_INCREMENT).otherwise(0.0)
 
-    def effect(previous: Column, damping: float) -> Column:
+    negations = {word: 1.0 for word in lexicon.negations}
+
+    def effect(near: Column) -> Column:
+        previous = near["item"]
         boost = _lookup(lexicon.boosters, previous["word"])
-        plain = previous.isNotNull() & (previous["valence"] == 0)
         return F.struct(
-            F.when(plain & (boost != 0), (boost + raised(previous)) * damping).otherwise(0.0).alias("add"),
-            F.when(plain & previous["word"].isin(list(lexicon.negations)), K.NEGATION_FACTOR)
-            .otherwise(1.0).alias("factor"),
+            F.when(boost != 0, (boost + raised(previous)) * near["damping"]).otherwise(0.0).alias("add"),
+            F.when(_lookup(negations, previous["word"]) != 0, K.NEGATION_FACTOR).otherwise(1.0).alias("factor"),
         )
 
     def in_context(item: Column) -> Column:
         at = item["at"]
         start = item["valence"] + F.signum(item["valence"]) * raised(item)
-        effects = F.array(*[effect(F.get(items, at - d - 1), damping)
-                            for d, damping in enumerate(K.BOOST_DAMPING)])
+        nearby = F.array(*[F.struct(F.get(items, at - d - 1).alias("item"), F.lit(damping).alias("damping"))
+                           for d, damping in enumerate(K.BOOST_DAMPING)])
+        # Words with a valence of their own do not modify the next one.
+        effects = F.transform(F.filter(nearby, lambda near: near["item"]["valence"] == 0), effect)
         value = F.aggregate(effects, start, lambda v, e: (v + F.signum(v) * e["add"]) * e["factor"])
         weight = (
             F.when(state["contrast"] == 0, 1.0)

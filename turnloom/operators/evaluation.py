@@ -9,11 +9,11 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from turnloom import constants as K
+from turnloom.scaling import local_table
 
 
 def _label_table(df: DataFrame, labels: Sequence, name: str) -> DataFrame:
-    rows = [(i, label) for i, label in enumerate(labels)]
-    return df.sparkSession.createDataFrame(rows, ["label_order", name])
+    return local_table(df.sparkSession, list(enumerate(labels)), f"label_order INT, {name} STRING")
 
 
 def label_distribution(rows: DataFrame, labels: Sequence[str] = K.LABELS) -> DataFrame:
@@ -39,10 +39,9 @@ def confusion_matrix(predictions: DataFrame, labels: Sequence = K.LABELS) -> Dat
     """``true_order, true_label, pred_order, pred_label, n`` for every pair of labels, zeros kept."""
     counts = predictions.groupBy(F.col("label").alias("true_label"), F.col("prediction").alias("pred_label")
                                  ).agg(F.count("*").alias("n"))
-    spark = predictions.sparkSession
-    cells = spark.createDataFrame(
-        [(i, t, j, p) for i, t in enumerate(labels) for j, p in enumerate(labels)],
-        ["true_order", "true_label", "pred_order", "pred_label"])
+    cells = local_table(
+        predictions.sparkSession, [(i, t, j, p) for i, t in enumerate(labels) for j, p in enumerate(labels)],
+        "true_order INT, true_label STRING, pred_order INT, pred_label STRING")
     return cells.join(counts, ["true_label", "pred_label"], "left").select(
         "true_order", "true_label", "pred_order", "pred_label",
         F.coalesce("n", F.lit(0)).cast("bigint").alias("n")).orderBy("true_order", "pred_order")

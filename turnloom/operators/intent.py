@@ -6,7 +6,7 @@ from collections.abc import Sequence
 
 from pyspark.ml import PipelineModel
 from pyspark.ml.classification import LogisticRegression
-from pyspark.ml.feature import CountVectorizerModel, ElementwiseProduct, IndexToString, Normalizer, StringIndexer
+from pyspark.ml.feature import CountVectorizerModel, ElementwiseProduct, IndexToString, Normalizer, StringIndexerModel
 from pyspark.ml.functions import vector_to_array
 from pyspark.ml.linalg import DenseVector
 from pyspark.sql import DataFrame
@@ -41,10 +41,10 @@ def vocabulary(rows: DataFrame, max_features: int = K.MAX_FEATURES, min_df: int
 
 
 def balanced_weights(rows: DataFrame) -> DataFrame:
-    """``label, weight``: rows / (classes × rows of the class); one row per label."""
+    """``label, n, weight``: weight = rows / (classes × rows of the class); one row per label."""
     counts = rows.groupBy("label").agg(F.count("*").alias("n"))
     totals = counts.agg(F.struct(F.sum("n").alias("rows"), F.count("*").alias("classes"))).scalar()
-    return counts.select("label", (totals["rows"] / (totals["classes"] * F.col("n"))).alias("weight"))
+    return counts.select("label", "n", (totals["rows"] / (totals["classes"] * F.col("n"))).alias("weight"))
 
 
 def train(rows: DataFrame, max_features: int = K.MAX_FEATURES, min_df: int = K.MIN_DF,
@@ -57,13 +57,12 @@ def train(rows: DataFrame, max_features: int = K.MAX_FEATURES, min_df: int = K.M
     weigh = ElementwiseProduct(scalingVec=DenseVector([t.idf for t in terms]), inputCol="counts",
                                outputCol="weighted")
     unit = Normalizer(p=2.0, inputCol="weighted", outputCol="features")
-    index = StringIndexer(inputCol="label", outputCol="label_index", stringOrderType="alphabetAsc",
-                          handleInvalid="keep").fit(kept)
     features = PipelineModel([counts, weigh, unit])
 
-    n_rows = kept.count()
-    weights = {r.label: r.weight for r in balanced_weights(kept).collect()}  # one row per label
-    weight = F.create_map(*[F.lit(x) for pair in weights.items() for x in pair])[F.col("label")]
+    weights = {r.label: r for r in balanced_weights(kept).collect()}  # one row per label
+    names, n_rows = sorted(weights), sum(r.n for r in weights.values())
+    index = StringIndexerModel.from_labels(names, "label", "label_index")
+    weight = F.create_map(*[F.lit(x) for name in names for x in (name, weights[name].weight)])[F.col("label")]
     prepared = index.transform(features.transform(with_terms(kept))).select(
         "features", "label_index", weight.alias("weight"))
     # Balanced weights sum to the number of rows, over which Spark averages the loss; a summed loss
@@ -72,7 +71,7 @@ def train(rows: DataFrame, max_features: int = K.MAX_FEATURES, min_df: int = K.M
         labelCol="label_index", weightCol="weight", family="multinomial", elasticNetParam=0.0,
         regParam=1.0 / n_rows, standardization=False, maxIter=max_iter)
     fitted = regression.fit(prepared)
-    name = IndexToString(inputCol="prediction", outputCol="label", labels=index.labels)
+    name = IndexToString(inputCol="prediction", outputCol="label", labels=names)
     return PipelineModel([counts, weigh, unit, fitted, name])
 
 

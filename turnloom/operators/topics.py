@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 
 from turnloom import constants as K
 from turnloom.functions import text as T
+from turnloom.scaling import materialize
 
 # Rows ordered by one task at most when pairing the last word of a turn with the first of the next.
 _BLOCK = 65_536
@@ -145,6 +146,7 @@ def topic_concentration(turns: DataFrame, topics: DataFrame) -> DataFrame:
     The terms are at most k per day and travel to the turns; a cheap containment test runs before
     any pattern does.
     """
+    topics = materialize(topics)  # read twice: for its terms and for its rows
     lists = topics.groupBy("day").agg(F.collect_list("term").alias("terms"))
     lowered = turns.select("day", "conversation_id", F.lower("text").alias("text"))
     present = F.filter("terms", lambda term: F.contains(F.col("text"), term))

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import tempfile
 
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 
 
@@ -23,6 +24,13 @@ def session(app: str = "turnloom", master: str | None = None, **conf: str) -> Sp
     return builder.getOrCreate()
 
 
+def local_table(spark: SparkSession, rows: list[tuple], schema: str) -> DataFrame:
+    """A few literal rows as a table the planner knows the size of; no Python worker reads it."""
+    names = [column.split()[0] for column in schema.split(",")]
+    columns = list(zip(*rows)) if rows else [[] for _ in names]
+    return spark.createDataFrame(pa.table({n: list(c) for n, c in zip(names, columns)}), schema)
+
+
 def spread(df: DataFrame) -> DataFrame:
     """Use every core on a source that is read in fewer pieces than there are cores.
 

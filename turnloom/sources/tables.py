@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from turnloom import constants as K
 from turnloom.functions import sentiment
 from turnloom.functions.sentiment import Lexicon
+from turnloom.scaling import local_table
 
 CHUNK_SCHEMA = ("id STRING, text STRING, conversation_id BIGINT, turn_index INT, day_bucket INT, "
                 "sentiment DOUBLE, synthetic BOOLEAN")
@@ -109,7 +110,7 @@ def read_lexicon(spark: SparkSession, path: str, **modifiers) -> Lexicon:
 def seed_chunks(spark: SparkSession, seeds=None, lexicon: Lexicon | None = None) -> DataFrame:
     """Caller-supplied seed rows ``(day, text)`` as chunks marked synthetic."""
     rows = [(f"syn_sister_{i}", text, day) for i, (day, text) in enumerate(seeds or K.SEED_CHUNKS)]
-    return spark.createDataFrame(rows, "id STRING, text STRING, day_bucket INT").select(
+    return local_table(spark, rows, "id STRING, text STRING, day_bucket INT").select(
         "id", "text",
         F.lit(-1).cast("bigint").alias("conversation_id"),
         F.lit(0).alias("turn_index"),
@@ -121,4 +122,4 @@ def seed_chunks(spark: SparkSession, seeds=None, lexicon: Lexicon | None = None)
 
 def demo_queries(spark: SparkSession) -> DataFrame:
     rows = [(i, query, entity) for i, (query, entity) in enumerate(K.DEMO_QUERIES)]
-    return spark.createDataFrame(rows, "qid BIGINT, query STRING, entity STRING")
+    return local_table(spark, rows, "qid BIGINT, query STRING, entity STRING")
