@@ -79,8 +79,8 @@ def answer_text(entity: Column, top: Column, conflicts: Column) -> Column:
 def confidence(mean_cosine: Column, conflicts: Column) -> Column:
     """Mean cosine of the first three hits, lowered when they conflict; 0 without hits."""
     penalty = F.when(F.size(F.coalesce(conflicts, F.array())) > 0, K.CONTRADICTION_PENALTY).otherwise(1.0)
-    bounded = F.greatest(F.least(mean_cosine * penalty, F.lit(1.0)), F.lit(0.0))
-    return F.coalesce(F.round(bounded, 4), F.lit(0.0))
+    bounded = F.greatest(F.least(F.coalesce(mean_cosine, F.lit(0.0)) * penalty, F.lit(1.0)), F.lit(0.0))
+    return F.round(bounded, 4)
 
 
 def assemble(queries: DataFrame, ranked: DataFrame, scored: DataFrame) -> DataFrame:

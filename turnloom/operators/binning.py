@@ -148,7 +148,8 @@ def bin_by_timestamp(df: DataFrame, n_bins: int = K.N_BINS, time_col: str | None
         day = F.when(F.col("_micros").isNotNull(), (n_bins - 1) // 2)
     else:
         # The smallest bin whose right edge is not before the time, in whole numbers.
-        day = F.greatest(F.expr(f"((_micros - {low}L) * {n_bins}L - 1L) div {high - low}L"), F.lit(0))
+        cut = F.expr(f"((_micros - {low}L) * {n_bins}L - 1L) div {high - low}L")
+        day = F.when(F.col("_micros").isNotNull(), F.greatest(cut, F.lit(0)))
     return df.withColumn("_micros", micros).withColumn("day", day.cast("int")).drop("_micros")
 
 
