@@ -23,7 +23,7 @@ DEFAULT = Lexicon()
 # --- turns ----------------------------------------------------------------------
 
 def turns_strict(spark, sf):
-    return turn_ops.explode_turns(I.dialogues(spark, sf))
+    return turn_ops.explode_turns(I.dialogues(spark, sf))  # numbered within each dialogue
 
 
 def turns_lenient(spark, sf):

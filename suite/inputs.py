@@ -115,23 +115,23 @@ turns AS (
 
 
 def dialogues(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """``conversation_id, raw``: a conversation's turns as prefixed lines in one text.
+    """``conversation_id, raw``: every text of ``conversations`` as one multi-line dialogue cell.
 
-    Only building this test input gathers whole conversations; the library reads them whole from
-    its source.
+    Users' lines all carry a speaker prefix, an assistant's only the first, the system's none.
     """
-    line = F.concat(F.lit("User "), F.col("speaker").cast("string"), F.lit(": "), F.col("text"))
-    gathered = plain_turns(spark, sf_dir).groupBy("conversation_id").agg(
-        F.array_sort(F.collect_list(F.struct("turn_index", line.alias("line")))).alias("lines"))
-    return gathered.select("conversation_id", F.array_join(F.col("lines.line"), "\n").alias("raw"))
+    c = table(spark, sf_dir, "conversations")
+    prefixed = F.concat(F.lit("User 1: "), F.replace("text", F.lit("\n"), F.lit("\nuser 2 :")))
+    raw = (F.when(F.col("role") == "user", prefixed)
+           .when(F.col("role") == "assistant", F.concat(F.lit("User 2: "), F.col("text"))).otherwise(F.col("text")))
+    return spread(c.select((F.col("conv_id") * 100000 + F.col("turn")).alias("conversation_id"), raw.alias("raw")))
 
 
 SQL_DIALOGUES = """
 dialogues AS (
-  SELECT conv_id AS conversation_id,
-         string_agg('User ' || CASE role WHEN 'user' THEN '1' WHEN 'assistant' THEN '2' ELSE '3' END
-                    || ': ' || text, chr(10) ORDER BY turn) AS raw
-  FROM conversations GROUP BY conv_id)
+  SELECT conv_id * 100000 + turn AS conversation_id,
+         CASE role WHEN 'user' THEN 'User 1: ' || replace(text, chr(10), chr(10) || 'user 2 :')
+                   WHEN 'assistant' THEN 'User 2: ' || text ELSE text END AS raw
+  FROM conversations)
 """
 
 

@@ -8,7 +8,8 @@ from suite import inputs as I
 from suite import sqlparts as Q
 from turnloom import constants as K
 from turnloom.functions import text as T
-from turnloom.operators import answers, conflicts, ranking, vectors
+from turnloom.functions import sentiment
+from turnloom.operators import answers, binning, conflicts, ranking, vectors
 from turnloom.operators import turns as turn_ops
 from turnloom.plans import retrieval as plan
 from turnloom.sources import tables
@@ -24,9 +25,8 @@ def turn_pair_chunks(spark, sf):
 
 
 def dialogue_chunks(spark, sf):
-    """Chunks cut inside each dialogue, without a shuffle after the input is built."""
-    days = I.turns(spark, sf).select("conversation_id", "day").distinct()
-    return turn_ops.dialogue_chunks(I.dialogues(spark, sf).join(days, "conversation_id"), I.LEXICON)
+    """Chunks cut inside each dialogue, without a shuffle."""
+    return turn_ops.dialogue_chunks(binning.bin_by_rows(I.dialogues(spark, sf), 7), I.LEXICON)
 
 
 def _with_seeds(spark, sf):
@@ -100,7 +100,6 @@ def sentiment_groups(spark, sf):
 
 def _documents_index(spark, sf):
     """Vectors whose text and sentiment are those of the document with the same id."""
-    from turnloom.functions import sentiment
     docs = I.documents(spark, sf).select(F.col("doc_id").alias("id"), "text")
     return (_vectors(spark, sf).drop("sentiment").join(docs, "id")
             .withColumn("sentiment", sentiment.compound(F.col("text"), I.LEXICON)))
@@ -200,8 +199,7 @@ every_chunk AS (SELECT * FROM chunks UNION ALL
   SELECT 'syn_sister_' || CAST(i AS VARCHAR), text, CAST(-1 AS BIGINT), CAST(0 AS INTEGER), CAST(day AS INTEGER), compound, TRUE
   FROM seeds JOIN ss USING (i))"""
 _SQL_DIALOGUE_CHUNKS = f"""{I.SQL_DIALOGUES},
-convs AS (SELECT conv_id, row_number() OVER (ORDER BY conv_id) AS i, count(*) OVER () AS n
-          FROM (SELECT DISTINCT conv_id FROM conversations)),
+convs AS (SELECT conversation_id, row_number() OVER (ORDER BY conversation_id) AS i, count(*) OVER () AS n FROM dialogues),
 lines AS (SELECT conversation_id, unnest(l) AS line, unnest(range(len(l))) AS i
           FROM (SELECT conversation_id, string_split(raw, chr(10)) AS l FROM dialogues)),
 kept AS (
@@ -217,7 +215,7 @@ chunk_text AS (
 {Q.sentiment(I.LEXICON, 'chunk_text', 'conversation_id, turn_index', 'cs')}
 SELECT 'c' || CAST(conversation_id AS VARCHAR) || '_t' || CAST(turn_index AS VARCHAR) AS id, text, conversation_id,
        turn_index, CAST((v.i * 7 - 1) // v.n AS INTEGER) AS day_bucket, compound AS sentiment, FALSE AS synthetic
-FROM chunk_text JOIN cs USING (conversation_id, turn_index) JOIN convs v ON v.conv_id = conversation_id"""
+FROM chunk_text JOIN cs USING (conversation_id, turn_index) JOIN convs v USING (conversation_id)"""
 
 _SQL_HITS = """
 vecs AS (SELECT vec_id AS id, label, embedding, CAST(vec_id % 7 AS INTEGER) AS day_bucket,

@@ -74,18 +74,20 @@ def top_entities(mentions: DataFrame, k: int = K.TOP_ENTITIES) -> DataFrame:
         .select("day", "rank", "text", "label", "count", "distinct_convos"))
 
 
-def entity_rollup(mentions: DataFrame, labels: Sequence[str] = K.CANDIDATE_ENTITY_LABELS) -> DataFrame:
+def entity_rollup(mentions: DataFrame, labels: Sequence[str] = K.CANDIDATE_ENTITY_LABELS,
+                  n_bins: int = K.N_BINS) -> DataFrame:
     """One row per surface form with its volume, spread and sentiment statistics.
 
-    One aggregate: label counts and day sets are bounded by the label list and the number of days,
-    so only the conversation count needs a distinct.
+    One aggregate in fixed-size buffers: the labels are counted side by side and up to 64 days are
+    bits of one number, so only the conversation count needs a distinct.
     """
+    days = F.bit_count(F.bit_or(F.expr("shiftleft(1L, day)"))) if n_bins <= 64 else F.count_distinct("day")
     label_counts = [F.struct(F.col(f"n_{i}").alias("n"), F.lit(-i).alias("order"), F.lit(label).alias("label"))
                     for i, label in enumerate(sorted(labels))]
     rolled = mentions.groupBy("entity").agg(
         F.count("*").alias("total_mentions"),
         F.count_distinct("conversation_id").alias("distinct_conversations"),
-        F.size(F.collect_set("day")).cast("bigint").alias("distinct_day_buckets"),
+        days.cast("bigint").alias("distinct_day_buckets"),
         F.var_pop("compound").alias("sentiment_variance"),
         F.avg("compound").alias("sentiment_mean"),
         F.min("compound").alias("sentiment_min"),

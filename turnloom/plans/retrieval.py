@@ -16,9 +16,12 @@ def build_chunks(natural: DataFrame, seeds: DataFrame | None = None) -> DataFram
 
 
 def index_chunks(chunks: DataFrame, dimensions: int = 256) -> tuple[DataFrame, PipelineModel]:
-    """Chunks with embeddings, and the encoder to use for queries."""
+    """Chunks with embeddings, and the encoder to use for queries.
+
+    The index is stored once: a search reads its vectors first and its texts for the hits only.
+    """
     encoder = vectors.fit_encoder(chunks, dimensions)
-    return vectors.encode(chunks, encoder), encoder
+    return materialize(vectors.encode(chunks, encoder)), encoder
 
 
 def search(queries: DataFrame, index: DataFrame, k: int = K.TOP_K, max_day: int = K.MAX_DAY) -> DataFrame:
