@@ -53,7 +53,7 @@ ROWS = [(0, 1, 0, "apple pie is great"), (0, 1, 1, "the pie, the cake"), (0, 2,
 def test_topics_against_brute_force(spark, monkeypatch, block, widest):
     monkeypatch.setattr(topics, "_BLOCK", block)
     counts_by_term = topics._counts_by_term
-    monkeypatch.setattr(topics, "_counts_by_term", lambda terms, days: counts_by_term(terms, days, widest))
+    monkeypatch.setattr(topics, "_counts_by_term", lambda terms, days, least: counts_by_term(terms, days, least, widest))
     df = spark.createDataFrame(ROWS, "day INT, conversation_id BIGINT, turn_index INT, text STRING")
     got = defaultdict(list)
     for r in sorted(topics.top_topics(df, stop_words=["the", "is"]).collect(), key=lambda r: (r.day, r.rank)):

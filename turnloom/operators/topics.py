@@ -103,20 +103,24 @@ def term_counts(turns: DataFrame, stop_words=None) -> DataFrame:
     return _terms(turns, _Extent.of(turns), stop_words).groupBy("day", "term").agg(F.count("*").alias("tf"))
 
 
-def _counts_by_term(terms: DataFrame, days: list[int], widest: int = _MAX_COUNTERS) -> DataFrame:
-    """``term, days``: the days a term occurs on, each with its count.
+def _counts_by_term(terms: DataFrame, days: list[int], min_days: int, widest: int = _MAX_COUNTERS) -> DataFrame:
+    """``day, term, tf, df`` of the terms found on ``min_days`` days or more.
 
-    With few days a term keeps one counter per day, so occurrences are combined before the only
-    shuffle. With many, days are counted first and then listed: a term has one entry per day.
+    With few days a term keeps one counter per day and a bit per day seen, so occurrences are combined
+    before the only shuffle and rare terms go before anything else is built. With many, days are
+    counted first and then listed: a term has one entry per day.
     """
-    if len(days) > widest:
+    if not days or days[-1] - days[0] >= widest:
         counted = terms.groupBy("day", "term").agg(F.count("*").alias("tf"))
-        return counted.groupBy("term").agg(F.collect_list(F.struct("day", "tf")).alias("days"))
+        listed = counted.groupBy("term").agg(F.collect_list(F.struct("day", "tf")).alias("days"))
+        found = listed.select("term", F.size("days").alias("df"), "days").filter(F.col("df") >= min_days)
+        return found.select("term", "df", F.inline("days"))
     counters = [F.count_if(F.col("day") == day).alias(f"d{i}") for i, day in enumerate(days)]
+    seen = F.bit_count(F.bit_or(F.expr(f"shiftleft(1L, day - ({days[0]}))")))
+    found = terms.groupBy("term").agg(seen.alias("df"), *counters).filter(F.col("df") >= min_days)
     listed = F.array(*[F.struct(F.lit(day).alias("day"), F.col(f"d{i}").alias("tf"))
                        for i, day in enumerate(days)])
-    return terms.groupBy("term").agg(*counters).select(
-        "term", F.filter(listed, lambda at: at["tf"] > 0).alias("days"))
+    return found.select("term", "df", F.inline(listed)).filter("tf > 0")
 
 
 def top_topics(turns: DataFrame, k: int = K.TOP_TOPICS, min_days: int = 2, stop_words=None) -> DataFrame:
@@ -126,13 +130,9 @@ def top_topics(turns: DataFrame, k: int = K.TOP_TOPICS, min_days: int = 2, stop_
     alphabetically later term.
     """
     extent = _Extent.of(turns)
-    by_term = _counts_by_term(_terms(turns, extent, stop_words), extent.days)
-    idf = F.log((1 + len(extent.days)) / (1 + F.size("days"))) + 1
-    weighted = (
-        by_term.filter(F.size("days") >= min_days)
-        .select("term", idf.alias("idf"), F.explode("days").alias("at"))
-        .select(F.col("at.day").alias("day"), "term", (F.col("at.tf") * F.col("idf")).alias("weight"))
-    )
+    counted = _counts_by_term(_terms(turns, extent, stop_words), extent.days, min_days)
+    idf = F.log((1 + len(extent.days)) / (1 + F.col("df"))) + 1
+    weighted = counted.select("day", "term", (F.col("tf") * idf).alias("weight"))
     norms = weighted.groupBy("day").agg(F.sqrt(F.sum(F.col("weight") * F.col("weight"))).alias("norm"))
     best_first = W.partitionBy("day").orderBy(F.desc("weight"), F.desc("term"))
     best = weighted.withColumn("rank", F.row_number().over(best_first)).filter(F.col("rank") <= k)
