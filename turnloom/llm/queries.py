@@ -8,7 +8,8 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from turnloom.llm import bpe, line_dedup, quality_rules, secret_scan
+from turnloom.llm import bpe, line_dedup, quality_rules, secret_scan, warc
+from turnloom.llm.storage import shared_path
 
 BPE_FILE = os.environ.get("TURNLOOM_BPE_FILE", public_tokenizers.path("word_bpe_49k.json"))
 
@@ -82,9 +83,20 @@ def op7_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
         listed(F.col("spans")).alias("spans"))
 
 
+def op9_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    pages = table(spark, sf_dir, "pages").select("page_id", "url", "html")
+    folder = shared_path(spark, "warc")
+    warc.write(pages, folder)
+    kind = dict(pages.dtypes)["page_id"]
+    return warc.read(spark, folder, payload=False).select(
+        F.col("page_id").cast(kind), "payload_bytes", "payload_digest", "record_type", F.col("refers_to").cast(kind),
+        "problem")
+
+
 QUERIES = {
     "op1_bpe": (op1_bpe, None),
     "op4_quality_rules": (op4_quality_rules, None),
     "op6_line_dedup": (op6_line_dedup, SQL_LINE_DEDUP),
     "op7_secret_scan": (op7_secret_scan, None),
+    "op9_warc": (op9_warc, None),
 }
