@@ -8,11 +8,16 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from turnloom.llm import bpe, line_dedup, quality_rules, secret_scan, warc
+from turnloom.llm import (
+    bpe, grams, language_id, line_dedup, quality_classifier, quality_rules, secret_scan, token_counts, warc)
 from turnloom.llm.storage import shared_path
 
 BPE_FILE = os.environ.get("TURNLOOM_BPE_FILE", public_tokenizers.path("word_bpe_49k.json"))
 
+PIECES_FILE = os.environ.get("TURNLOOM_PIECES_FILE", public_tokenizers.path("piece_bpe_32k.model"))
+
+LABELS = 4096  # labelled rows that the quality classifier learns from, at most
+
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
@@ -32,6 +37,22 @@ def op1_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe_digests(table(spark, sf_dir, "documents"))
 
 
+def op2_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    labels = table(spark, sf_dir, "labels").select("doc_id", "quality").filter(~grams.held_out()).dropna()
+    labels = grams.sample(labels, [], LABELS, "doc_id")
+    model = quality_classifier.fit(docs.join(labels, "doc_id"), size=LABELS)
+    return quality_classifier.score(docs.withColumn("held_out", grams.held_out()), model, keep_text=False).select(
+        "doc_id", "held_out", "score", (F.col("score") >= 0.7).cast("int").alias("predicted"))
+
+
+def op3_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text", "lang")
+    model = language_id.fit(docs.filter(~grams.held_out()))
+    found = language_id.identify(docs.select("doc_id", grams.held_out().alias("held_out"), "text"), model, keep_text=False)
+    return found.select("doc_id", "held_out", F.col("lang_nearest").alias("lang_pred"), "score", "similarity", "rejected")
+
+
 def op4_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "text", "lang", "source")
     return quality_rules.judge(docs, keep_text=False).select(
@@ -83,6 +104,11 @@ def op7_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
         listed(F.col("spans")).alias("spans"))
 
 
+def op10_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    return token_counts.count_tokens(docs, PIECES_FILE, keep_text=False)
+
+
 def op9_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     pages = table(spark, sf_dir, "pages").select("page_id", "url", "html")
     folder = shared_path(spark, "warc")
@@ -95,8 +121,11 @@ def op9_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES = {
     "op1_bpe": (op1_bpe, None),
+    "op2_quality_classifier": (op2_quality_classifier, None),
+    "op3_language_id": (op3_language_id, None),
     "op4_quality_rules": (op4_quality_rules, None),
     "op6_line_dedup": (op6_line_dedup, SQL_LINE_DEDUP),
     "op7_secret_scan": (op7_secret_scan, None),
     "op9_warc": (op9_warc, None),
+    "op10_token_counts": (op10_token_counts, None),
 }
