@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from turnloom.llm import (
-    bpe, grams, language_id, line_dedup, quality_classifier, quality_rules, secret_scan, token_counts, warc)
+    bpe, decontamination, grams, language_id, line_dedup, quality_classifier, quality_rules, secret_scan, token_counts, warc)
 from turnloom.llm.storage import shared_path
 
 BPE_FILE = os.environ.get("TURNLOOM_BPE_FILE", public_tokenizers.path("word_bpe_49k.json"))
@@ -104,6 +104,13 @@ def op7_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
         listed(F.col("spans")).alias("spans"))
 
 
+def op8_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    benchmark = table(spark, sf_dir, "benchmark").select("item_id", "text")
+    return decontamination.flag(docs, benchmark, keep_text=False).select(
+        "doc_id", "contaminated", "n_items", "covered", F.col("item").alias("item_id"))
+
+
 def op10_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
     return token_counts.count_tokens(docs, PIECES_FILE, keep_text=False)
@@ -126,6 +133,7 @@ QUERIES = {
     "op4_quality_rules": (op4_quality_rules, None),
     "op6_line_dedup": (op6_line_dedup, SQL_LINE_DEDUP),
     "op7_secret_scan": (op7_secret_scan, None),
+    "op8_decontamination": (op8_decontamination, None),
     "op9_warc": (op9_warc, None),
     "op10_token_counts": (op10_token_counts, None),
 }
