@@ -31,12 +31,12 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from turnloom.llm import bloom
 from turnloom.llm.arrow import drop_column, mapped
+from turnloom.llm.storage import stored
 
 SPACES = " \t\n\x0b\x0c\r"
 UPPER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ"
-SEGMENT = 1 << 16
-PROBES = 4
 _LOWER = str.maketrans(UPPER, UPPER.lower())
 
 
@@ -50,68 +50,6 @@ def _with_keys(df: DataFrame, text: str, min_chars: int) -> DataFrame:
             .withColumn("_b", F.transform("_k", lambda k: F.xxhash64(F.lit(1), k))).drop("_k"))
 
 
-def _places(hashes: np.ndarray, bits: int) -> np.ndarray:
-    """The bits of each hash, one row each; ``bits`` is a power of two."""
-    h = hashes.astype(np.uint64)
-    step = (h >> np.uint64(32)) | np.uint64(1)
-    return (h[:, None] + np.arange(PROBES, dtype=np.uint64)[None, :] * step[:, None]) & np.uint64(bits - 1)
-
-
-def _set(filter_: np.ndarray, places: np.ndarray) -> None:
-    at = np.unique(places)
-    if len(at):
-        byte, mask = at >> np.uint64(3), np.left_shift(1, (at & np.uint64(7)).astype(np.int64)).astype(np.uint8)
-        first = np.flatnonzero(np.concatenate(([True], byte[1:] != byte[:-1])))
-        filter_[byte[first]] |= np.bitwise_or.reduceat(mask, first)
-
-
-def _has(filter_: np.ndarray, places: np.ndarray) -> np.ndarray:
-    shift = (places & np.uint64(7)).astype(np.uint8)
-    return ((filter_[places >> np.uint64(3)] >> shift) & 1).all(axis=1)
-
-
-def twice_seen(keyed: DataFrame, bits: int) -> bytes:
-    """The filter of keys that stand in two documents or more, of ``bits / 8`` bytes."""
-
-    def built(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        once, twice = np.zeros(bits // 8, np.uint8), np.zeros(bits // 8, np.uint8)
-        for batch in batches:
-            hashes = batch.column(0).flatten().to_numpy(zero_copy_only=False)
-            some, counts = np.unique(hashes, return_counts=True)
-            places = _places(some, bits)
-            _set(twice, places[(counts > 1) | _has(once, places)])
-            _set(once, places)
-        for i in range(0, bits // 8, SEGMENT):
-            if once[i:i + SEGMENT].any():
-                yield _segment(i // SEGMENT, once[i:i + SEGMENT], twice[i:i + SEGMENT])
-
-    def put_together(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        have: dict[int, tuple[np.ndarray, np.ndarray]] = {}
-        for batch in batches:
-            for i, a, b in zip(*(batch.column(k) for k in range(3))):
-                once, twice = (np.frombuffer(zlib.decompress(x.as_py()), np.uint8) for x in (a, b))
-                if i.as_py() in have:
-                    once_before, twice_before = have[i.as_py()]
-                    once, twice = once | once_before, twice | twice_before | (once & once_before)
-                have[i.as_py()] = once, twice
-        for i, (once, twice) in have.items():
-            if twice.any():
-                yield _segment(i, once[:0], twice)
-
-    def _segment(i: int, once: np.ndarray, twice: np.ndarray) -> pa.RecordBatch:
-        return pa.RecordBatch.from_arrays(
-            [pa.array([i], pa.int32()), *(pa.array([zlib.compress(x.tobytes(), 1)], pa.binary()) for x in (once, twice))],
-            names=["segment", "once", "twice"])
-
-    schema = "segment INT, once BINARY, twice BINARY"
-    segments = (keyed.select("_a").mapInArrow(built, schema).repartition("segment").mapInArrow(put_together, schema))
-    whole = np.zeros(bits // 8, np.uint8)
-    for row in segments.select("segment", "twice").collect():  # at most bits / 8 bytes
-        part = np.frombuffer(zlib.decompress(bytes(row.twice)), np.uint8)
-        whole[row.segment * SEGMENT:row.segment * SEGMENT + len(part)] = part
-    return whole.tobytes()
-
-
 def dedup_lines(df: DataFrame, text: str = "text", doc_id: str = "doc_id", out: str = "kept_text",
                 min_chars: int = 40, min_docs: int = 5, bits: int | None = None) -> DataFrame:
     """``df`` with ``n_lines``, ``n_dropped`` and the text that is left, in ``out``."""
@@ -120,11 +58,10 @@ def dedup_lines(df: DataFrame, text: str = "text", doc_id: str = "doc_id", out:
         df = drop_column(df, name)
     if out.lower() != text.lower():
         df = drop_column(df, out)
-    if bits is None:
-        bits = 1 << min(29, max(20, (df.count() * 256 - 1).bit_length()))
+    bits = bits or bloom.size_for(df.count(), 256)
     keyed = _with_keys(df.select(F.col(f"`{doc_id}`").alias("_id"), F.col(f"`{text}`").alias("_t")), "_t", min_chars)
     keyed = keyed.select("_id", "_a", "_b").filter(F.size("_a") > 0)
-    suspected = spark.sparkContext.broadcast(zlib.compress(twice_seen(keyed, bits), 1))
+    suspected = spark.sparkContext.broadcast(zlib.compress(bloom.build(keyed.select("_a"), bits, True), 1))
     id_type = df.schema[doc_id].dataType
 
     def suspects(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -133,16 +70,17 @@ def dedup_lines(df: DataFrame, text: str = "text", doc_id: str = "doc_id", out:
             if filter_ is None:
                 filter_ = np.frombuffer(zlib.decompress(suspected.value), np.uint8)
             a = batch.column(1).flatten().to_numpy(zero_copy_only=False)
-            found = np.flatnonzero(_has(filter_, _places(a, bits)))
+            found = np.flatnonzero(bloom.has(filter_, bloom.places(a, bits)))
             row = batch.column(1).value_parent_indices().to_numpy(zero_copy_only=False)[found]
             yield pa.RecordBatch.from_arrays(
                 [batch.column(0).take(pa.array(row)), pa.array(a[found]), batch.column(2).flatten().take(pa.array(found))],
                 names=["_id", "_a", "_b"])
 
-    pairs = keyed.mapInArrow(suspects, T.StructType([
-        T.StructField("_id", id_type), T.StructField("_a", T.LongType()), T.StructField("_b", T.LongType())]))
-    repeats = (pairs.groupBy("_a", "_b").agg(F.count("*").alias("n"), F.max("_id").alias("_last"))
-               .filter(F.col("n") >= min_docs).select("_a", "_b", "_last"))
+    pairs = stored(keyed.mapInArrow(suspects, T.StructType([
+        T.StructField("_id", id_type), T.StructField("_a", T.LongType()), T.StructField("_b", T.LongType())])), "lines-suspects")
+    # Stored as well, so that the join is dealt out anew and can split a line that very many documents share.
+    repeats = stored(pairs.groupBy("_a", "_b").agg(F.count("*").alias("n"), F.max("_id").alias("_last"))
+                     .filter(F.col("n") >= min_docs).select("_a", "_b", "_last"), "lines-repeats")
     drops = (pairs.join(repeats, ["_a", "_b"]).filter(~F.col("_id").eqNullSafe(F.col("_last")))
              .groupBy("_id").agg(F.collect_set("_a").alias("_drop")))
     own = [c for c in df.columns if c.lower() != out.lower()]

@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from turnloom.llm import (
-    bpe, decontamination, grams, language_id, line_dedup, quality_classifier, quality_rules, secret_scan, token_counts, warc)
+    bpe, decontamination, grams, language_id, line_dedup, near_dedup, quality_classifier, quality_rules, secret_scan, token_counts, warc)
 from turnloom.llm.storage import shared_path
 
 BPE_FILE = os.environ.get("TURNLOOM_BPE_FILE", public_tokenizers.path("word_bpe_49k.json"))
@@ -59,6 +59,10 @@ def op4_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
         "doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept", "distance")
 
 
+def op5_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return near_dedup.classes(table(spark, sf_dir, "documents").select("doc_id", "text"))
+
+
 def op6_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
     return line_dedup.dedup_lines(docs, out="text").select(
@@ -131,6 +135,7 @@ QUERIES = {
     "op2_quality_classifier": (op2_quality_classifier, None),
     "op3_language_id": (op3_language_id, None),
     "op4_quality_rules": (op4_quality_rules, None),
+    "op5_near_dedup": (op5_near_dedup, None),
     "op6_line_dedup": (op6_line_dedup, SQL_LINE_DEDUP),
     "op7_secret_scan": (op7_secret_scan, None),
     "op8_decontamination": (op8_decontamination, None),
