@@ -34,7 +34,7 @@ LOUD = "ABCDEFGHIJKLMNOPQRSTUVWXYZ!"
 COUNTS = ["n_words", "word_chars", "n_symbols", "n_loud", "n_dup_lines", "n_repeat_words"]
 WINDOW = 8
 # Differences below these are immaterial, whatever the spread of a group: they are added to its variances.
-FLOORS = [0.5, 0.08, 0.12, 0.12, 0.06, 0.06]
+FLOORS = [0.5, 0.08, 0.07, 0.1, 0.06, 0.06]
 DIMENSIONS = len(FLOORS)
 _P = range(DIMENSIONS)
 _BINS_PER_OCTAVE = 8
@@ -212,7 +212,7 @@ def _groups(x: DataFrame, keys: list[str], min_rows: int) -> DataFrame:
 
 
 def judge(df: DataFrame, text: str = "text", lang: str = "lang", source: str = "source", keep_text: bool = True,
-          share: float = 0.75, min_rows: int = 200, tail: float = 1e-7) -> DataFrame:
+          share: float = 0.75, min_rows: int = 200, tail: float = 1e-3) -> DataFrame:
     """``df`` with the counts, ``base_failed``, ``distance`` and ``kept``.
 
     ``share`` of a group makes its tightest part; a document is rejected where the plain rules fail or
