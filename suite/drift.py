@@ -227,6 +227,27 @@ def entity_rollup(spark, sf):
         "sentiment_variance", "sentiment_mean", "sentiment_min", "sentiment_max", "concentration_ratio")})
 
 
+def entity_rollup_wide(spark, sf):
+    """The same over 90 periods, with surface forms that carry two labels."""
+    turns = I.turns(spark, sf, 90)
+    mentions = entities.gazetteer_mentions(turns.select("day", "conversation_id", "turn_index", "text"), I.gazetteer(spark))
+    mixed = F.when((F.col("conversation_id") + F.col("turn_index")) % 3 == 0, F.lit("EVENT")).otherwise(F.col("label"))
+    rolled = entities.entity_rollup(mentions.withColumn("label", mixed).withColumn("compound", F.col("turn_index") / F.lit(10.0)))
+    return rolled.withColumns({c: F.round(c, 4) for c in (
+        "sentiment_variance", "sentiment_mean", "sentiment_min", "sentiment_max", "concentration_ratio")})
+
+
+def sentiment_documents(spark, sf):
+    """Every document, with a lexicon of thousands of words."""
+    docs = I.documents(spark, sf)
+    return docs.select("doc_id", sentiment.compound(F.col("text"), I.LARGE_LEXICON).alias("compound"))
+
+
+def drift_timeline_gaps(spark, sf):
+    """The timeline of events of which one type has no time."""
+    return _flat(drift_plan.drift_timeline(I.utterances(spark, sf, "signup"), I.gazetteer(spark), DEFAULT, I.STOP_WORDS))
+
+
 def contradiction_candidates(spark, sf):
     return entities.contradiction_candidates(entities.entity_rollup(_scored_mentions(spark, sf)),
                                              concentration_min=0.3)
@@ -268,6 +289,19 @@ rounded AS (SELECT * REPLACE (round(sentiment_variance, 4) AS sentiment_variance
    round(concentration_ratio, 4) AS concentration_ratio), sentiment_variance AS exact FROM rolled)"""
 _QUALIFIED = "total_mentions >= 3 AND concentration_ratio > 0.3 AND distinct_day_buckets >= 3"
 SQL_ENTITY_ROLLUP = f"WITH {_SQL_ENTITY_ROLLUP} SELECT * EXCLUDE (exact) FROM rounded"
+SQL_ENTITY_ROLLUP_WIDE = f"""WITH {I.SQL_TURNS.replace('* 7 - 1', '* 90 - 1')}, {I.SQL_GAZETTEER}, {Q.MENTIONS},
+mentions AS (SELECT * REPLACE (CASE WHEN (conversation_id + turn_index) % 3 = 0 THEN 'EVENT' ELSE label END AS label),
+                    turn_index / 10.0::DOUBLE AS compound FROM all_mentions),
+labels AS (SELECT entity, label FROM (SELECT entity, label, count(*) AS n FROM mentions GROUP BY ALL)
+           QUALIFY row_number() OVER (PARTITION BY entity ORDER BY n DESC, label) = 1)
+SELECT entity, any_value(l.label) AS label, count(*) AS total_mentions,
+       count(DISTINCT conversation_id) AS distinct_conversations, count(DISTINCT day) AS distinct_day_buckets,
+       round(var_pop(compound), 4) AS sentiment_variance, round(avg(compound), 4) AS sentiment_mean,
+       round(min(compound), 4) AS sentiment_min, round(max(compound), 4) AS sentiment_max,
+       round(1.0::DOUBLE - count(DISTINCT conversation_id)::DOUBLE / count(*), 4) AS concentration_ratio
+FROM mentions JOIN labels l USING (entity) GROUP BY entity"""
+SQL_SENTIMENT_DOCUMENTS = f"""WITH texts AS (SELECT doc_id, text FROM documents), {Q.sentiment(I.LARGE_LEXICON, 'texts', 'doc_id')}
+SELECT doc_id, compound FROM scored"""
 SQL_CANDIDATES = f"""WITH {_SQL_ENTITY_ROLLUP}
 SELECT * EXCLUDE (exact) FROM rounded WHERE {_QUALIFIED} ORDER BY exact DESC, entity LIMIT 10"""
 SQL_CANDIDATE_COUNTS = f"""WITH {_SQL_ENTITY_ROLLUP}
@@ -347,6 +381,8 @@ flat AS (
 
 SQL_TIMELINE = f"WITH {_sql_flat(I.SQL_TURNS, I.LEXICON)} SELECT * EXCLUDE (five_topics, five_entities) FROM flat"
 SQL_TIMELINE_EVENTS = f"WITH {_sql_flat(I.SQL_UTTERANCES, DEFAULT)} SELECT * EXCLUDE (five_topics, five_entities) FROM flat"
+SQL_TIMELINE_GAPS = (f"WITH {_sql_flat(I.sql_utterances('signup'), DEFAULT)} "
+                     "SELECT * EXCLUDE (five_topics, five_entities) FROM flat")
 SQL_SUMMARY = f"""WITH {_sql_flat(I.SQL_TURNS, I.LEXICON)}
 SELECT day, mood, tone, avg_compound, drift_score, drift_from_prev, five_topics AS top_topics,
        five_entities AS top_entities, trigger_value AS trigger FROM flat"""
@@ -379,6 +415,9 @@ QUERIES = {
     "entity_mentions": (entity_mentions, SQL_MENTIONS),
     "entities_top": (entities_top, SQL_ENTITIES),
     "entity_rollup": (entity_rollup, SQL_ENTITY_ROLLUP),
+    "entity_rollup_wide": (entity_rollup_wide, SQL_ENTITY_ROLLUP_WIDE),
+    "sentiment_documents": (sentiment_documents, SQL_SENTIMENT_DOCUMENTS),
+    "drift_timeline_gaps": (drift_timeline_gaps, SQL_TIMELINE_GAPS),
     "contradiction_candidates": (contradiction_candidates, SQL_CANDIDATES),
     "candidate_counts": (candidate_counts, SQL_CANDIDATE_COUNTS),
     "drift_timeline": (drift_timeline, SQL_TIMELINE),

@@ -17,6 +17,13 @@ LEXICON = Lexicon(
     negations=("in", "an", "er"),
     contrast="and",
 )
+# Thousands of words by a rule: every two syllables of the invented language, valences in turn.
+_SYLLABLES = ("an ar at be ble bo ch ci con de der die ea ed eine en er es eux for ga ge ha he ie in ing ion is it keit la le "
+              "li lich lo ly ment mi nd nt on or ou pa que ra re rr sch sh st ta th ti tion to tre ue un ung ver wh zu").split()
+LARGE_LEXICON = Lexicon(
+    valences={a + b: ((7 * i + 3 * j) % 41 - 20) / 10 for i, a in enumerate(_SYLLABLES) for j, b in enumerate(_SYLLABLES)
+              if (7 * i + 3 * j) % 41 != 20},
+    boosters=dict(LEXICON.boosters), negations=LEXICON.negations, contrast=LEXICON.contrast)
 GAZETTEER = [
     ("The", "ORG"), ("Of", "PERSON"), ("And", "GPE"), ("Ci", "GPE"), ("In", "EVENT"), ("To", "PERSON"),
     ("Is", "ORG"), ("Der", "PERSON"), ("De", "GPE"), ("La", "ORG"), ("En", "PERSON"), ("It", "PERSON"),
@@ -79,10 +86,16 @@ turns AS (
 """
 
 
-def utterances(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """One English sentence per event; a user's events are a conversation, time makes the period."""
+def utterances(spark: SparkSession, sf_dir: str, untimed: str | None = None) -> DataFrame:
+    """One English sentence per event; a user's events are a conversation, time makes the period.
+
+    Events of the type ``untimed`` have no time.
+    """
     columns = ["event_id", "user_id", "ts", "event_type", "value"]
-    e = spread(binning.bin_by_timestamp(table(spark, sf_dir, "events").select(*columns), 7, "ts"))
+    e = table(spark, sf_dir, "events").select(*columns)
+    if untimed is not None:
+        e = e.withColumn("ts", F.when(F.col("event_type") != untimed, F.col("ts")))
+    e = spread(binning.bin_by_timestamp(e, 7, "ts"))
     text = F.lit("")
     case = None
     for kind, smallest, before, after in SENTENCES:
@@ -104,9 +117,12 @@ def _sql_sentence() -> str:
     return "CASE " + " ".join(whens) + " ELSE '' END"
 
 
-SQL_UTTERANCES = f"""
+def sql_utterances(untimed: str | None = None) -> str:
+    """The events as turns; those without a time are in no period."""
+    kept = "" if untimed is None else f" WHERE event_type <> {quoted(untimed)}"
+    return f"""
 stamped AS (SELECT *, epoch_us(ts) AS us, min(epoch_us(ts)) OVER () AS lo, max(epoch_us(ts)) OVER () AS hi
-            FROM events),
+            FROM events{kept}),
 turns AS (
   SELECT user_id AS conversation_id, event_id AS turn_index, {_sql_sentence()} AS text,
          CAST(greatest(CAST(ceil(CAST((us - lo) * 7 AS DOUBLE) / (hi - lo)) AS BIGINT) - 1, 0) AS INTEGER) AS day
@@ -114,6 +130,9 @@ turns AS (
 """
 
 
+SQL_UTTERANCES = sql_utterances()
+
+
 def dialogues(spark: SparkSession, sf_dir: str) -> DataFrame:
     """``conversation_id, raw``: every text of ``conversations`` as one multi-line dialogue cell.
 

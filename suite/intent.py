@@ -65,6 +65,24 @@ def message_sample(spark, sf):
     return sampling.sample_messages(I.dialogues(spark, sf), 100)
 
 
+def message_sample_sparse(spark, sf):
+    """The same where two conversations of three hold nothing but a speaker's prefix."""
+    cells = I.dialogues(spark, sf)
+    raw = F.when(F.col("conversation_id") % 3 == 0, F.col("raw")).otherwise(F.lit("User 1: \n \nUser 2:"))
+    return sampling.sample_messages(cells.withColumn("raw", raw), 100)
+
+
+def _sql_message_sample(raw: str) -> str:
+    return f"""WITH {I.SQL_DIALOGUES},
+        cells AS (SELECT conversation_id, {raw} AS raw FROM dialogues),
+        lines AS (SELECT conversation_id, md5('7|' || CAST(conversation_id AS VARCHAR)) AS key,
+                         unnest(string_split(raw, chr(10))) AS line_text,
+                         unnest(range(len(string_split(raw, chr(10))))) AS line FROM cells),
+        said AS (SELECT conversation_id, key, CAST(line AS INTEGER) AS line,
+                        trim(regexp_replace(line_text, '(?i)^\\s*User\\s*[0-9]+\\s*:\\s*', '')) AS text FROM lines)
+        SELECT conversation_id, line, text FROM said WHERE text <> '' ORDER BY key, conversation_id, line LIMIT 100"""
+
+
 def _quality(spark, sf):
     """Stored quality as truth, document length as prediction, both as intent labels."""
     labels = I.table(spark, sf, "labels").select("doc_id", "quality", "toxic")
@@ -101,13 +119,13 @@ def class_weights(spark, sf):
 
 def train_intent(spark, sf):
     """Metrics record of a model trained on the weak labels."""
-    _, record = plan.train_and_evaluate(_labelled(spark, sf), max_iter=100)
+    _, record = plan.train_and_evaluate(_labelled(spark, sf))
     return record.select("dev_source", "n_train", "n_dev", "vocab_size", "macro_f1_dev", F.to_json("per_class").alias("per_class"))
 
 
 def classify_intent(spark, sf):
     """Train on the sentences' weak labels, then classify every conversation turn."""
-    model = intent.train(materialize(_labelled(spark, sf)), max_iter=50)
+    model = intent.train(materialize(_labelled(spark, sf)))
     turns = I.plain_turns(spark, sf).select("conversation_id", "turn_index", "text")
     return intent.classify(turns, model).select("conversation_id", "turn_index", "label", "confidence")
 
@@ -202,13 +220,9 @@ QUERIES = {
     "label_agreement": (label_agreement, f"""WITH {_SQL_LABELLED}, {_SQL_GOLD}
         SELECT count_if(gold_label = label)::BIGINT AS n_agree, count(*) AS n,
                round(avg(CASE WHEN gold_label = label THEN 1.0::DOUBLE ELSE 0 END), 4) AS rate FROM gold"""),
-    "message_sample": (message_sample, f"""WITH {I.SQL_DIALOGUES},
-        lines AS (SELECT conversation_id, md5('7|' || CAST(conversation_id AS VARCHAR)) AS key,
-                         unnest(string_split(raw, chr(10))) AS line_text,
-                         unnest(range(len(string_split(raw, chr(10))))) AS line FROM dialogues),
-        said AS (SELECT conversation_id, key, CAST(line AS INTEGER) AS line,
-                        trim(regexp_replace(line_text, '(?i)^\\s*User\\s*[0-9]+\\s*:\\s*', '')) AS text FROM lines)
-        SELECT conversation_id, line, text FROM said WHERE text <> '' ORDER BY key, conversation_id, line LIMIT 100"""),
+    "message_sample": (message_sample, _sql_message_sample("raw")),
+    "message_sample_sparse": (message_sample_sparse, _sql_message_sample(
+        "CASE WHEN conversation_id % 3 = 0 THEN raw ELSE 'User 1: ' || chr(10) || ' ' || chr(10) || 'User 2:' END")),
     "confusion_matrix": (confusion_matrix, f"""WITH {_LABEL_ROWS}, {_SQL_QUALITY}
         SELECT t.label AS true_label, g.label AS pred_label,
                (SELECT count(*) FROM pred p WHERE p.label = t.label AND p.prediction = g.label) AS n

@@ -96,12 +96,14 @@ def sentiment_groups(spark, sf):
     return groups.select("qid", "sign", F.array_join(F.transform("ids", lambda x: x.cast("string")), ",").alias("ids"))
 
 
-# --- contradictions and answers: vectors with the document of the same number ----
+# --- contradictions and answers: all documents, the given vectors dealt out to them in turn ----
 
 def _documents_index(spark, sf):
-    """Vectors whose text and sentiment are those of the document with the same id."""
-    docs = I.documents(spark, sf).select(F.col("doc_id").alias("id"), "text")
-    return (_vectors(spark, sf).drop("sentiment").join(docs, "id")
+    """Every document with its own sentiment and the vector whose number is its id modulo their count."""
+    v = _vectors(spark, sf)
+    docs = I.documents(spark, sf).select(F.col("doc_id").alias("id"), "text").withColumn("vec", F.col("id") % v.count())
+    return (docs.join(v.select(F.col("id").alias("vec"), "embedding", "synthetic"), "vec").drop("vec")
+            .withColumn("day_bucket", (F.col("id") % 7).cast("int"))
             .withColumn("sentiment", sentiment.compound(F.col("text"), I.LEXICON)))
 
 
@@ -227,7 +229,7 @@ vnorm AS (SELECT id, sqrt(sum(x * x)) AS n FROM cells GROUP BY id),
 dots AS (SELECT qid, id, sum(m * x) AS d FROM means JOIN cells USING (pos) GROUP BY qid, id),
 cosines AS (SELECT CAST(qid AS BIGINT) AS qid, id, d / (q.n * v.n) AS cosine
             FROM dots JOIN qnorm q USING (qid) JOIN vnorm v USING (id)),
-pool AS (SELECT c.* FROM cosines c {only}),
+pool AS ({pool}),
 hits AS (SELECT *, CAST(row_number() OVER (PARTITION BY qid ORDER BY cosine DESC, id) AS INTEGER) AS cosine_rank FROM pool
          QUALIFY cosine_rank <= {k})"""
 _SQL_RANKED = """{hits},
@@ -244,14 +246,16 @@ ablated AS (SELECT *, CAST(row_number() OVER (PARTITION BY qid ORDER BY cosine_s
 
 
 def _ranked_sql(k=K.TOP_K, documents=False) -> str:
-    only = "JOIN documents ON doc_id = c.id" if documents else ""
+    dealt = "(SELECT count(*) FROM embeddings)"
+    pool = (f"SELECT qid, doc_id AS id, cosine FROM cosines c JOIN documents ON doc_id % {dealt} = c.id" if documents
+            else "SELECT * FROM cosines")
     prefix = ""
     if documents:
         prefix = (f"texts AS (SELECT doc_id AS id, text FROM documents), {Q.sentiment(I.LEXICON, 'texts', 'id', 'ds')}, ")
-    detailed = ("(SELECT v.id, v.day_bucket, v.synthetic, s.compound AS sentiment, t.text FROM vecs v "
-                "JOIN texts t USING (id) JOIN ds s USING (id))") if documents else "vecs"
+    detailed = ("(SELECT t.id, CAST(t.id % 7 AS INTEGER) AS day_bucket, v.synthetic, s.compound AS sentiment, t.text "
+                f"FROM texts t JOIN ds s USING (id) JOIN vecs v ON t.id % {dealt} = v.id)") if documents else "vecs"
     return prefix + _SQL_RANKED.format(
-        hits=_SQL_HITS.format(k=k, only=only), details=detailed,
+        hits=_SQL_HITS.format(k=k, pool=pool), details=detailed,
         text=", d.text" if documents else "", text_only=", text" if documents else "")
 
 
@@ -341,7 +345,7 @@ QUERIES = {
     "chunk_counts": (chunk_counts, f"""WITH {_SQL_SEEDED}
         SELECT count_if(NOT synthetic)::BIGINT AS n_natural, count_if(synthetic)::BIGINT AS n_synthetic,
                count(*) AS n_total FROM every_chunk"""),
-    "topk_cosine": (topk_cosine, f"""WITH {_SQL_HITS.format(k=15, only='')}
+    "topk_cosine": (topk_cosine, f"""WITH {_SQL_HITS.format(k=15, pool='SELECT * FROM cosines')}
         SELECT qid, cosine_rank, id, round(cosine, 4) AS cosine FROM hits"""),
     "composite_rerank": (composite_rerank, f"WITH {_ranked_sql()} SELECT * FROM placed"),
     "rank_ablation": (rank_ablation, f"""WITH {_ranked_sql()}

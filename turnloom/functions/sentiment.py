@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import json
 import string
+import zlib
 from dataclasses import dataclass, field
 
 from pyspark.sql import Column
@@ -11,8 +12,8 @@ from pyspark.sql import functions as F
 
 from turnloom import constants as K
 
-# A word list is a dictionary the planner embeds in the plan; anything larger is not a word list.
-MAX_LEXICON = 100_000
+# Words per map on average: a map is searched from its beginning, so these stay small.
+_PER_MAP = 4
 
 
 def _default_boosters() -> dict[str, float]:
@@ -29,17 +30,19 @@ class Lexicon:
     negations: tuple[str, ...] = tuple(K.NEGATIONS)
     contrast: str = "but"
 
-    def __post_init__(self):
-        if len(self.valences) > MAX_LEXICON:
-            raise ValueError(f"a lexicon holds at most {MAX_LEXICON} words")
-
 
 def _lookup(table: dict[str, float], word: Column) -> Column:
     if not table:
         return F.lit(0.0)
-    # One literal that the planner folds to a map, instead of a plan node per word.
-    entries = F.from_json(F.lit(json.dumps(table)), "map<string,double>")
-    return F.coalesce(entries[word], F.lit(0.0))
+    # One literal that the planner folds to an array of small maps; a word's checksum says in which to look,
+    # so a look-up takes as long in a large table as in a small one.
+    size = -(-len(table) // _PER_MAP)
+    maps: list[dict[str, float]] = [{} for _ in range(size)]
+    for entry, value in table.items():
+        maps[zlib.crc32(entry.encode("utf-8")) % size][entry] = value
+    entries = F.from_json(F.lit(json.dumps(maps)), "array<map<string,double>>")
+    at = (F.crc32(word.cast("binary")) % size).cast("int")
+    return F.coalesce(F.get(entries, at)[word], F.lit(0.0))
 
 
 def _let(value: Column, body) -> Column:

@@ -63,7 +63,8 @@ def keys_at_ranks(df: DataFrame, key: str, ranks: list[int], n: int, low: int, h
     Each pass cuts the interval around every wanted rank into a fixed number of cells, counts them
     with one aggregate and keeps the cell that holds the rank. A pass returns at most ``_CELLS``
     counts per boundary whatever the table's size, reads only the key column, and the interval
-    filter reaches the scan.
+    filter reaches the scan. Raises where fewer keys than a rank asks for lie between ``low`` and ``high``;
+    null keys have no rank.
     """
     wanted = {rank: (low, high, 0) for rank in set(ranks)}
     while any(lo < hi for lo, hi, _ in wanted.values()):
@@ -85,28 +86,34 @@ def keys_at_ranks(df: DataFrame, key: str, ranks: list[int], n: int, low: int, h
             if lo == hi:
                 continue
             width = -(-(hi - lo + 1) // _CELLS)
-            for index, count in cells[(lo, hi)]:
+            for index, count in cells.get((lo, hi), ()):
                 if rank < before + count:
                     start = lo + index * width
                     wanted[rank] = (start, min(start + width - 1, hi), before)
                     break
                 before += count
+            else:
+                raise ValueError(f"no key at rank {rank} of '{key}'")
     return [wanted[rank][0] for rank in ranks]
 
 
 def _bin_by_unique_key(df: DataFrame, key: str, n_bins: int) -> Column:
-    """Bin of each row when rows are laid out in ``key`` order and cut into equal runs."""
+    """Bin of each row when rows are laid out in ``key`` order and cut into equal runs; null for a null key."""
     if n_bins < 1:
         raise ValueError("n_bins must be >= 1")
-    n, low, high = df.agg(F.count("*"), F.min(key), F.max(key)).first()
+    n, low, high = df.agg(F.count(key), F.min(key), F.max(key)).first()
+    known = F.col(key).isNotNull()
     if n == 0 or n_bins == 1:
-        return F.lit(0)
+        return F.when(known, 0)
     starts = keys_at_ranks(df, key, [b * n // n_bins for b in range(1, n_bins)], n, low, high)
-    return sum((F.when(F.col(key) >= F.lit(start), 1).otherwise(0) for start in starts), F.lit(0))
+    return F.when(known, sum((F.when(F.col(key) >= F.lit(start), 1).otherwise(0) for start in starts), F.lit(0)))
 
 
 def bin_by_rows(df: DataFrame, n_bins: int = K.N_BINS, order_by: str = "conversation_id") -> DataFrame:
-    """Equal runs of rows in ``order_by`` order (a unique integer column). Rows are not moved."""
+    """Equal runs of rows in ``order_by`` order (a unique integer column). Rows are not moved.
+
+    Rows without a key get a null day.
+    """
     return df.withColumn("day", _bin_by_unique_key(df.select(order_by), order_by, n_bins).cast("int"))
 
 
@@ -115,7 +122,7 @@ def bin_by_session(df: DataFrame, n_bins: int = K.N_BINS, session_col: str = "se
     """Equal runs of sessions in order of first appearance; a session's rows share their day.
 
     ``order_by`` is a unique integer row order. Without it sessions are ordered by their own
-    integer id, which needs no join at all.
+    integer id, which needs no join at all. Rows without a session get a null day.
     """
     if session_col not in df.columns:
         raise KeyError(f"session column '{session_col}' not in the table")
@@ -126,7 +133,7 @@ def bin_by_session(df: DataFrame, n_bins: int = K.N_BINS, session_col: str = "se
     days = sessions.select(
         session_col, _bin_by_unique_key(sessions.select("first_row"), "first_row", n_bins)
         .cast("int").alias("day"))
-    return df.join(days, session_col)
+    return df.join(days.dropna(subset=[session_col]), session_col, "left")
 
 
 def bin_by_timestamp(df: DataFrame, n_bins: int = K.N_BINS, time_col: str | None = None) -> DataFrame:

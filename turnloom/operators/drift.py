@@ -26,7 +26,8 @@ def drift_score(delta: Column, overlap: Column, mood_changed: Column, tone_chang
 
 
 def detect_drift(profile: DataFrame) -> DataFrame:
-    """Compare each day with the one before it; the first day shows no change."""
+    """Compare each day with the one before it; the first day shows no change. A row without a day is no day."""
+    profile = profile.filter(F.col("day").isNotNull())
     terms = F.transform("top_topics", lambda t: t["term"])
     days = profile.select("day", "avg_compound", "mood", "tone", terms.alias("terms"))
     by_day = W.orderBy("day")  # one row per day

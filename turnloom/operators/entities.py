@@ -74,30 +74,27 @@ def top_entities(mentions: DataFrame, k: int = K.TOP_ENTITIES) -> DataFrame:
         .select("day", "rank", "text", "label", "count", "distinct_convos"))
 
 
-def entity_rollup(mentions: DataFrame, labels: Sequence[str] = K.CANDIDATE_ENTITY_LABELS,
-                  n_bins: int = K.N_BINS) -> DataFrame:
-    """One row per surface form with its volume, spread and sentiment statistics.
+def entity_rollup(mentions: DataFrame) -> DataFrame:
+    """One row per surface form with its most frequent label, volume, spread and sentiment statistics.
 
-    One aggregate in fixed-size buffers: the labels are counted side by side and up to 64 days are
-    bits of one number, so only the conversation count needs a distinct.
+    Labels are counted as they come; of equally frequent ones the first in alphabetical order counts.
+    A mention without a day adds to everything but the number of days.
     """
-    days = F.bit_count(F.bit_or(F.expr("shiftleft(1L, day)"))) if n_bins <= 64 else F.count_distinct("day")
-    label_counts = [F.struct(F.col(f"n_{i}").alias("n"), F.lit(-i).alias("order"), F.lit(label).alias("label"))
-                    for i, label in enumerate(sorted(labels))]
+    by_label = mentions.groupBy("entity", "label").agg(F.count("*").alias("n"))
+    first = W.partitionBy("entity").orderBy(F.desc("n"), F.asc_nulls_last("label"))
+    label = (by_label.withColumn("place", F.row_number().over(first)).filter("place = 1")
+             .select(F.col("entity").alias("of"), "label"))
     rolled = mentions.groupBy("entity").agg(
         F.count("*").alias("total_mentions"),
         F.count_distinct("conversation_id").alias("distinct_conversations"),
-        days.cast("bigint").alias("distinct_day_buckets"),
+        F.count_distinct("day").alias("distinct_day_buckets"),
         F.var_pop("compound").alias("sentiment_variance"),
         F.avg("compound").alias("sentiment_mean"),
         F.min("compound").alias("sentiment_min"),
         F.max("compound").alias("sentiment_max"),
-        *[F.count_if(F.col("label") == label).alias(f"n_{i}") for i, label in enumerate(sorted(labels))],
     )
-    return rolled.select(
-        "entity",
-        F.array_max(F.array(*label_counts))["label"].alias("label"),
-        "total_mentions", "distinct_conversations", "distinct_day_buckets",
+    return rolled.join(label, F.col("entity").eqNullSafe(F.col("of"))).select(
+        "entity", "label", "total_mentions", "distinct_conversations", "distinct_day_buckets",
         F.coalesce("sentiment_variance", F.lit(0.0)).alias("sentiment_variance"),
         "sentiment_mean", "sentiment_min", "sentiment_max",
         measures.concentration(F.col("total_mentions"), F.col("distinct_conversations"))

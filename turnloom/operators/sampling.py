@@ -47,15 +47,15 @@ def gold_table(sample: DataFrame, gold_rules=rules.GOLD_RULES) -> DataFrame:
 def sample_messages(conversations: DataFrame, n: int = 100, seed: int = K.MESSAGE_SEED) -> DataFrame:
     """The first ``n`` lines of ``conversation_id, raw`` with conversations in shuffled order.
 
-    Every conversation holds at least one line, so the first ``n`` conversations are enough; only
-    they are opened. ``limit`` under an order keeps n rows per task.
+    Conversations without a line that says something are passed over, so the first ``n`` of the others
+    are enough; only they are unfolded. ``limit`` under an order keeps n rows per task.
     """
-    spoken = conversations.filter(F.col("raw").rlike(r"\S"))
+    said = F.transform(F.split("raw", "\n"), lambda line: T.strip(F.regexp_replace(line, K.TURN_PREFIX, "")))
     order = shuffle_key(seed, F.col("conversation_id").cast("string"))
-    first = spoken.withColumn("key", order).orderBy("key", "conversation_id").limit(n)
-    lines = (
-        first.select("key", "conversation_id", F.posexplode(F.split("raw", "\n")).alias("line", "text"))
-        .withColumn("text", T.strip(F.regexp_replace("text", K.TURN_PREFIX, "")))
-        .filter("text <> ''"))
+    spoken = (conversations.select("conversation_id", order.alias("key"), said.alias("lines"))
+              .filter(F.exists("lines", lambda line: line != "")))
+    first = spoken.orderBy("key", "conversation_id").limit(n)
+    lines = (first.select("key", "conversation_id", F.posexplode("lines").alias("line", "text"))
+             .filter("text <> ''"))
     return (lines.orderBy("key", "conversation_id", "line").limit(n)
             .select("conversation_id", "line", "text"))

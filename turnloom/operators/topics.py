@@ -98,8 +98,9 @@ def _terms(turns: DataFrame, extent: _Extent, stop_words=None) -> DataFrame:
 def term_counts(turns: DataFrame, stop_words=None) -> DataFrame:
     """``day, term, tf`` over one- and two-word terms of ``day, conversation_id, turn_index, text``.
 
-    Stop words go before pairing, so pairs bridge them as well as turn borders.
+    Stop words go before pairing, so pairs bridge them as well as turn borders. Turns without a day count nowhere.
     """
+    turns = turns.filter(F.col("day").isNotNull())
     return _terms(turns, _Extent.of(turns), stop_words).groupBy("day", "term").agg(F.count("*").alias("tf"))
 
 
@@ -127,8 +128,9 @@ def top_topics(turns: DataFrame, k: int = K.TOP_TOPICS, min_days: int = 2, stop_
     """``day, rank, term, score``: the k best terms of each day, terms seen in ``min_days`` days only.
 
     Score is tf × (ln((1 + D) / (1 + df)) + 1), scaled to unit length per day. Ties go to the
-    alphabetically later term.
+    alphabetically later term. Turns without a day count nowhere.
     """
+    turns = turns.filter(F.col("day").isNotNull())
     extent = _Extent.of(turns)
     counted = _counts_by_term(_terms(turns, extent, stop_words), extent.days, min_days)
     idf = F.log((1 + len(extent.days)) / (1 + F.col("df"))) + 1

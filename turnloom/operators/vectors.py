@@ -88,9 +88,11 @@ def top_k(queries: DataFrame, vectors: DataFrame, k: int = K.TOP_K) -> DataFrame
     ``queries(qid, embedding)``; fewer when there are fewer vectors.
 
     Each task multiplies its vectors with the query block, batch by batch, and passes on k candidates
-    per query, so the shuffle holds candidates only, however many copies of a vector there are. A block has a fixed maximum size; a larger batch of
-    queries is split by hash and scans the vectors once per block.
+    per query, so the shuffle holds candidates only, however many copies of a vector there are. A block has
+    a fixed maximum size; a larger batch of queries is split by hash and scans the vectors once per block.
+    Rows without an embedding are neither found nor asked for.
     """
+    queries, vectors = (t.filter(F.col("embedding").isNotNull()) for t in (queries, vectors))
     n = queries.count()
     blocks = -(-n // MAX_QUERIES) if n > MAX_QUERIES else 1
     id_type = vectors.schema["id"].dataType.simpleString()

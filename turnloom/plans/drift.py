@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
 
 from turnloom import constants as K
 from turnloom.functions.sentiment import Lexicon
@@ -27,5 +28,6 @@ def daily_profiles(turns: DataFrame, gazetteer: DataFrame, lexicon: Lexicon | No
 def drift_timeline(turns: DataFrame, gazetteer: DataFrame, lexicon: Lexicon | None = None,
                    stop_words=None, extractor=entities.gazetteer_mentions) -> DataFrame:
     """Profiles, drift and triggers. The profile has one row per day but reading it is expensive
-    and four comparisons do, so it is computed once."""
+    and four comparisons do, so it is computed once. Turns without a day are left out."""
+    turns = turns.filter(F.col("day").isNotNull())
     return drift.timeline(materialize(daily_profiles(turns, gazetteer, lexicon, stop_words, extractor)))

@@ -18,6 +18,6 @@ def scored_mentions(turns: DataFrame, gazetteer: DataFrame, lexicon: Lexicon | N
 
 
 def contradiction_candidates(turns: DataFrame, gazetteer: DataFrame, lexicon: Lexicon | None = None,
-                             **limits) -> DataFrame:
+                             extractor=entities.gazetteer_mentions, **limits) -> DataFrame:
     return entities.contradiction_candidates(
-        entities.entity_rollup(scored_mentions(turns, gazetteer, lexicon)), **limits)
+        entities.entity_rollup(scored_mentions(turns, gazetteer, lexicon, extractor)), **limits)

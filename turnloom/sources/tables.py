@@ -18,7 +18,8 @@ TREND_SCHEMA = ("day INT, mood STRING, tone STRING, avg_compound DOUBLE, drift_s
                 "drift_from_prev BOOLEAN, top_topics ARRAY<STRUCT<term: STRING>>, "
                 "top_entities ARRAY<STRUCT<text: STRING>>, trigger STRUCT<kind: STRING, value: STRING>")
 # Cell texts that a CSV reader takes for "missing".
-MISSING_MARKERS = ["", "NA", "N/A", "NULL", "NaN", "None", "n/a", "nan", "null", "<NA>", "#N/A"]
+MISSING_MARKERS = ["", "#N/A", "#N/A N/A", "#NA", "-1.#IND", "-1.#QNAN", "-NaN", "-nan", "1.#IND", "1.#QNAN", "<NA>",
+                   "N/A", "NA", "NULL", "NaN", "None", "n/a", "nan", "null"]
 
 
 def read_raw(spark: SparkSession, path: str) -> DataFrame:
@@ -103,7 +104,7 @@ def read_timeline(spark: SparkSession, path: str) -> DataFrame:
 def read_lexicon(spark: SparkSession, path: str, **modifiers) -> Lexicon:
     """Word list in the published tab-separated form: word, mean valence, further columns."""
     table = (spark.read.option("sep", "\t").option("quote", "").schema("word STRING, valence DOUBLE")
-             .csv(path).dropna().limit(sentiment.MAX_LEXICON + 1))
+             .csv(path).dropna())
     return Lexicon({row.word: row.valence for row in table.collect()}, **modifiers)
 
 
