@@ -9,10 +9,11 @@ texts. Texts linked by ``threshold`` or more, directly or over others, form a cl
 
 * Document frequencies are counted in ``cells`` hashed cells over all documents. A cell also counts other
   shingles that fall into it, so rare shingles share a weight where the table is much larger than the cells.
-* A band's bucket is dealt into parts of about ``part`` texts by a hash, and all pairs of a part are candidates.
-  In a bucket of several parts every text is a candidate with each part's most connected text too, the one
-  whose buckets are largest: the original of many copies is more connected than a copy. With the repetition
-  over all bands this links large groups without making all their pairs. Nothing is dropped.
+* First every text of a bucket is a candidate with the bucket's most connected text, the one whose buckets are
+  largest: the original of many copies is more connected than a copy. Then buckets are dealt into parts of
+  about ``part`` texts by a hash, and the pairs of a part that the first links do not join yet are candidates
+  too. With the repetition over all bands this joins large groups without making all their pairs; no text and no
+  bucket is left out.
 * Classes come from repeated joins over the verified links; nothing is gathered on the driver.
 
 Documents without words are never compared; each is a class of its own. Repeated rows and exact copies share
@@ -191,29 +192,39 @@ def signatures(docs: DataFrame, text: str, weights: np.ndarray, s: Settings) ->
         T.StructField("_sketch", T.BinaryType())]))
 
 
-def candidates(texts: DataFrame, s: Settings) -> DataFrame:
-    """``a, b``: pairs of keys in one bucket whose samples do not rule out ``threshold``."""
+def buckets(texts: DataFrame, s: Settings) -> DataFrame:
+    """``band, h, m, _key``: the members of every bucket of ``m > 1`` texts."""
     rows = texts.select("_key", F.posexplode("_bands").alias("band", "h"))
     sizes = rows.groupBy("band", "h").agg(F.count("*").alias("m")).filter(F.col("m") > 1)
-    members = rows.join(sizes, ["band", "h"])
-    members = stored(members.withColumn("part", F.pmod(F.xxhash64("_key", "band"), F.ceil(F.col("m") / s.part)).cast("int")),
-                     "dedup-buckets")
-    other = members.select("band", "h", "part", F.col("_key").alias("b"))
-    near = (members.select("band", "h", "part", F.col("_key").alias("a")).join(other, ["band", "h", "part"])
-            .filter("a < b").select("a", "b"))
-    large = members.filter(F.col("m") > s.part)
+    return rows.join(sizes, ["band", "h"])
+
+
+def central_pairs(members: DataFrame) -> DataFrame:
+    """``a, b``: every member of a bucket with the bucket's most connected text, the one whose buckets are largest."""
     reach = members.groupBy("_key").agg(F.sum("m").alias("reach"))
-    centres = (large.join(reach, "_key").groupBy("band", "h", "part")
+    centres = (members.join(reach, "_key").groupBy("band", "h")
                .agg(F.max(F.struct("reach", "_key")).alias("c")).select("band", "h", F.col("c._key").alias("c")))
-    # Of a bucket's parts, the eight with the best connected texts; parts are dealt by a hash, so these are central.
-    centres = (centres.join(reach.withColumnRenamed("_key", "c"), "c").groupBy("band", "h")
-               .agg(F.slice(F.sort_array(F.collect_list(F.struct("reach", "c")), False), 1, 8).alias("cs"))
-               .select("band", "h", F.explode("cs.c").alias("c")))
-    central = (large.join(centres, ["band", "h"]).filter("_key <> c")
-               .select(F.least("_key", "c").alias("a"), F.greatest("_key", "c").alias("b")))
-    pairs = near.unionByName(central).distinct()
+    return (members.join(stored(centres, "dedup-centres"), ["band", "h"]).filter("_key <> c")
+            .select(F.least("_key", "c").alias("a"), F.greatest("_key", "c").alias("b")).distinct())
+
+
+def remaining_pairs(members: DataFrame, roots: DataFrame, s: Settings) -> DataFrame:
+    """``a, b``: pairs of one part of a bucket that are not in one class yet."""
+    part = F.pmod(F.xxhash64("_key", "band"), F.ceil(F.col("m") / s.part)).cast("int")
+    rooted = (members.withColumn("part", part).join(roots, "_key", "left")
+              .select("band", "h", "part", "_key", F.coalesce("_root", "_key").alias("root")))
+    # Only parts with two classes or more have anything left to compare.
+    open_ = (rooted.groupBy("band", "h", "part").agg(F.min("root").alias("x"), F.max("root").alias("y"))
+             .filter("x <> y").select("band", "h", "part"))
+    rooted = stored(rooted.join(open_, ["band", "h", "part"]), "dedup-open")
+    a, b = (rooted.select("band", "h", "part", F.col("_key").alias(k), F.col("root").alias(f"r{k}")) for k in "ab")
+    return a.join(b, ["band", "h", "part"]).filter("a < b AND ra <> rb").select("a", "b").distinct()
+
+
+def not_ruled_out(pairs: DataFrame, texts: DataFrame, s: Settings) -> DataFrame:
+    """The pairs whose samples agree often enough."""
     sketches = texts.select("_key", "_sketch")
-    drawn = (pairs.join(sketches.toDF("a", "x"), "a").join(sketches.toDF("b", "y"), "b"))
+    drawn = pairs.join(sketches.toDF("a", "x"), "a").join(sketches.toDF("b", "y"), "b")
 
     def close(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -278,43 +289,69 @@ def components(edges: DataFrame) -> DataFrame:
         now = now.select("_key", "_root")
 
 
-def classes(docs: DataFrame, text: str = "text", doc_id: str = "doc_id", settings: Settings = Settings()) -> DataFrame:
-    """``doc_id, class_id, n_links, first``: a row per row of ``docs``.
-
-    ``class_id`` is the smallest id of the class, ``n_links`` the number of other texts this text is linked with,
-    and ``first`` says whether this row's id is the class id.
-    """
-    s = settings
-    docs = docs.select(F.col(f"`{doc_id}`").alias("_id"), F.col(f"`{text}`").cast("string").alias("_text"))
-    weights = shingle_weights(docs, "_text", s)
-    signed = stored(signatures(docs.withColumn("_h", F.xxhash64("_text")), "_text", weights, s), "dedup-signatures")
-    # Equal sets may differ in punctuation: one of their texts stands for all, the one with the smallest hash.
-    texts = signed.filter(F.col("_key").isNotNull()).groupBy("_key").agg(
-        F.min("_h").alias("_h"), F.first("_bands").alias("_bands"), F.first("_sketch").alias("_sketch"))
-    texts = stored(texts, "dedup-texts")
-    pairs = stored(candidates(texts, s), "dedup-pairs")
+def _verified(pairs: DataFrame, texts: DataFrame, docs: DataFrame, weights: np.ndarray, s: Settings) -> DataFrame:
+    """Links among ``pairs`` of keys, whose texts are looked up in ``docs``."""
+    pairs = stored(not_ruled_out(pairs, texts, s), "dedup-pairs")
     asked = pairs.select(F.col("a").alias("_key")).unionByName(pairs.select(F.col("b").alias("_key"))).distinct()
     wanted = texts.select("_key", F.col("_h").alias("_w")).join(asked, "_key")
     held = (docs.select("_text", F.xxhash64("_text").alias("_w")).join(wanted, "_w")
             .groupBy("_key").agg(F.first("_text").alias("_text")))
-    found = stored(links(pairs, stored(held, "dedup-held"), weights, s), "dedup-links")
+    return stored(links(pairs, stored(held, "dedup-held"), weights, s), "dedup-links")
+
+
+def _classified(docs: DataFrame, s: Settings) -> DataFrame:
+    """``_id, _h, class_id, n_links`` of each row of ``docs(_id, _text)``; ``_h`` is the text's hash."""
+    weights = shingle_weights(docs, "_text", s)
+    signed = stored(signatures(docs.withColumn("_h", F.xxhash64("_text")), "_text", weights, s), "dedup-signatures")
+    # Equal sets may differ in punctuation: one of their texts stands for all, the one with the smallest hash.
+    texts = stored(signed.filter(F.col("_key").isNotNull()).groupBy("_key").agg(
+        F.min("_h").alias("_h"), F.first("_bands").alias("_bands"), F.first("_sketch").alias("_sketch")), "dedup-texts")
+    members = stored(buckets(texts, s), "dedup-buckets")
+    central = _verified(central_pairs(members), texts, docs, weights, s)
+    rest = _verified(remaining_pairs(members, components(central), s), texts, docs, weights, s)
+    found = central.unionByName(rest)
     roots = components(found)
     count = (found.select(F.col("a").alias("_key")).unionByName(found.select(F.col("b").alias("_key")))
              .groupBy("_key").agg(F.count("*").alias("n")))
-    rows = signed.select("_id", "_key")
     known = texts.select("_key").join(roots, "_key", "left").join(count, "_key", "left").select(
         "_key", F.coalesce("_root", "_key").alias("_root"), F.coalesce("n", F.lit(0)).cast("long").alias("n"))
-    smallest = rows.filter(F.col("_key").isNotNull()).groupBy("_key").agg(F.min("_id").alias("i"))
-    smallest = (smallest.join(known, "_key").withColumn("class_id", F.lit(None).cast(docs.schema["_id"].dataType)))
+    smallest = (signed.filter(F.col("_key").isNotNull()).groupBy("_key").agg(F.min("_id").alias("i")).join(known, "_key"))
     of_class = smallest.groupBy("_root").agg(F.min("i").alias("class_id"))
-    by_key = smallest.drop("class_id", "i").join(of_class, "_root").select("_key", "class_id", "n")
-    out = rows.join(by_key, "_key", "left").select(
-        F.col("_id").alias(doc_id), F.when(F.col("_key").isNull(), F.col("_id")).otherwise(F.col("class_id")).alias("class_id"),
+    by_key = stored(smallest.join(of_class, "_root").select("_key", "class_id", "n"), "dedup-classes")
+    return signed.select("_id", "_h", "_key").join(by_key, "_key", "left").select(
+        "_id", "_h", F.when(F.col("_key").isNull(), F.col("_id")).otherwise(F.col("class_id")).alias("class_id"),
         F.coalesce("n", F.lit(0).cast("long")).alias("n_links"))
-    return out.withColumn("first", F.col(f"`{doc_id}`").eqNullSafe(F.col("class_id")))
+
+
+def _narrow(docs: DataFrame, text: str, doc_id: str) -> DataFrame:
+    return docs.select(F.col(f"`{doc_id}`").alias("_id"), F.col(f"`{text}`").cast("string").alias("_text"))
+
+
+def classes(docs: DataFrame, text: str = "text", doc_id: str = "doc_id", settings: Settings = Settings()) -> DataFrame:
+    """``doc_id, class_id, n_links, first``: a row per row of ``docs``.
+
+    ``class_id`` is the smallest id of the class, ``n_links`` the number of other texts this text was found to be
+    linked with while the classes were made, and ``first`` says whether this row's id is the class id.
+    """
+    return _classified(_narrow(docs, text, doc_id), settings).select(
+        F.col("_id").alias(doc_id), "class_id", "n_links", F.col("_id").eqNullSafe(F.col("class_id")).alias("first"))
 
 
 def keep_first(docs: DataFrame, text: str = "text", doc_id: str = "doc_id", settings: Settings = Settings()) -> DataFrame:
-    """``docs`` without the documents whose class has a smaller id; rows that share the smallest id all stay."""
-    gone = classes(docs, text, doc_id, settings).filter(~F.col("first")).select(F.col(f"`{doc_id}`").alias("_gone")).distinct()
-    return docs.join(gone, docs[f"`{doc_id}`"].eqNullSafe(gone["_gone"]), "left_anti")
+    """``docs`` with one document of each class, the one with the smallest id.
+
+    Of rows that repeat both id and text one stays.
+    """
+    docs = drop_column(drop_column(docs, "_rid"), "_rh")
+    rows = stored(_classified(_narrow(docs, text, doc_id), settings), "dedup-rows")
+    counted = rows.groupBy("_id", "_h").agg(
+        F.max(F.col("_id").eqNullSafe(F.col("class_id"))).alias("first"), F.count("*").alias("n"))
+    changed = counted.filter(~F.col("first") | (F.col("n") > 1)).withColumnsRenamed({"_id": "_rid", "_h": "_rh"})
+    hashed = docs.withColumn("_dh", F.xxhash64(F.col(f"`{text}`").cast("string")))
+    same = hashed[f"`{doc_id}`"].eqNullSafe(changed["_rid"]) & hashed["_dh"].eqNullSafe(changed["_rh"])
+    once = hashed.join(changed, same, "left_anti")
+    again = changed.filter("first")
+    if again.isEmpty():
+        return once.drop("_dh")
+    same = hashed[f"`{doc_id}`"].eqNullSafe(again["_rid"]) & hashed["_dh"].eqNullSafe(again["_rh"])
+    return once.unionByName(hashed.join(again, same, "left_semi").dropDuplicates([doc_id, "_dh"])).drop("_dh")
