@@ -29,7 +29,7 @@ def sample(df: DataFrame, by: list[str], size: int, key: str) -> DataFrame:
     if by:
         hashed = hashed.join(counts, by)
     else:
-        hashed = hashed.withColumn("_n", F.lit(counts.first()[0]))
+        hashed = hashed.withColumn("_n", F.lit(max(counts.first()[0], 1)))
     near = hashed.filter(F.col("_h") < SCALE * F.least(F.lit(1.0), F.lit(1.3) * size / F.col("_n") + 20 / F.col("_n")))
     if not by:
         return near.orderBy("_h", key).limit(size).drop("_h", "_n")
