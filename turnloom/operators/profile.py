@@ -6,7 +6,9 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from turnloom.functions import sentiment, style
+from turnloom.functions import text as T
 from turnloom.functions.sentiment import Lexicon
+from turnloom.operators import topics
 
 _RATES = {
     "question_rate": ("n_question", 5),
@@ -22,16 +24,34 @@ def scored_turns(turns: DataFrame, lexicon: Lexicon | None = None) -> DataFrame:
     return turns.withColumn("compound", sentiment.compound(F.col("text"), lexicon))
 
 
+def _counts() -> dict:
+    counts = style.counts(F.col("text"))
+    counts.pop("n_chars")
+    return counts
+
+
+def projected_turns(turns: DataFrame, lexicon: Lexicon | None = None, stop_words=None) -> DataFrame:
+    """Turns with everything that per-period tables are made of: sentiment, style counts and topic tokens.
+
+    One pass over the text; write the result once and let each rollup read the columns it needs.
+    """
+    words = topics.default_stop_words() if stop_words is None else stop_words
+    return scored_turns(turns, lexicon).select(
+        "day", "conversation_id", "turn_index", "text", "compound",
+        *[column.alias(name) for name, column in _counts().items()],
+        T.topic_tokens(F.col("text"), list(words)).alias("tokens"))
+
+
 def daily_rollup(turns: DataFrame) -> DataFrame:
-    """One row per ``day`` from ``day, conversation_id, text, compound``.
+    """One row per ``day`` from ``day, conversation_id, text, compound``, or from projected turns.
 
     All measures are sums of per-turn counts, so tasks combine them before the shuffle and a day
     holding most of the corpus costs no more than any other.
     """
-    counts = style.counts(F.col("text"))
-    counts.pop("n_chars")
+    counts = _counts()
     per_turn = turns.select("day", "conversation_id", "compound",
-                            *[column.alias(name) for name, column in counts.items()])
+                            *[F.col(name) if name in turns.columns else column.alias(name)
+                              for name, column in counts.items()])
     sums = per_turn.groupBy("day").agg(
         F.count("*").alias("n_turns"),
         F.count_distinct("conversation_id").alias("n_conversations"),

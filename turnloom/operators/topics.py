@@ -87,9 +87,9 @@ def _border_pairs(turns: DataFrame, extent: _Extent) -> DataFrame:
 
 
 def _terms(turns: DataFrame, extent: _Extent, stop_words=None) -> DataFrame:
-    """``day, term``, one row per occurrence."""
+    """``day, term``, one row per occurrence; a column ``tokens`` of projected turns is taken as it is."""
     stop_words = default_stop_words() if stop_words is None else stop_words
-    tokens = T.topic_tokens(F.col("text"), list(stop_words))
+    tokens = F.col("tokens") if "tokens" in turns.columns else T.topic_tokens(F.col("text"), list(stop_words))
     worded = turns.select("day", "conversation_id", "turn_index", tokens.alias("tokens"))
     inside = worded.select("day", F.explode(F.concat("tokens", T.pairs_of(F.col("tokens")))).alias("term"))
     return inside.unionByName(_border_pairs(worded, extent))

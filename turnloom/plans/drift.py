@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from turnloom import constants as K
 from turnloom.functions.sentiment import Lexicon
 from turnloom.operators import drift, entities, profile, topics
-from turnloom.scaling import materialize
+from turnloom.scaling import materialize, stored
 
 
 def daily_profiles(turns: DataFrame, gazetteer: DataFrame, lexicon: Lexicon | None = None,
@@ -16,8 +16,10 @@ def daily_profiles(turns: DataFrame, gazetteer: DataFrame, lexicon: Lexicon | No
     """One nested record per day of ``day, conversation_id, turn_index, text``.
 
     ``extractor(turns, gazetteer)`` may be any DataFrame function, such as a ``mapInPandas`` model.
+    Turns are projected in one pass and stored; each part of the profile reads its columns of that table.
     """
-    rollup = profile.daily_rollup(profile.scored_turns(turns, lexicon))
+    turns = stored(profile.projected_turns(turns, lexicon, stop_words), "projected-turns")
+    rollup = profile.daily_rollup(turns)
     top_terms = topics.topic_concentration(turns, topics.top_topics(turns, stop_words=stop_words))
     mentions = entities.keep_mentions(
         extractor(turns.select("day", "conversation_id", "turn_index", "text"), gazetteer),

@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 
 from turnloom import constants as K
 from turnloom.operators import answers, conflicts, ranking, vectors
-from turnloom.scaling import materialize
+from turnloom.scaling import materialize, stored
 
 
 def build_chunks(natural: DataFrame, seeds: DataFrame | None = None) -> DataFrame:
@@ -18,10 +18,10 @@ def build_chunks(natural: DataFrame, seeds: DataFrame | None = None) -> DataFram
 def index_chunks(chunks: DataFrame, dimensions: int = 256) -> tuple[DataFrame, PipelineModel]:
     """Chunks with embeddings, and the encoder to use for queries.
 
-    The index is stored once: a search reads its vectors first and its texts for the hits only.
+    The index is stored once as Parquet: a search reads its vectors first and its texts for the hits only.
     """
     encoder = vectors.fit_encoder(chunks, dimensions)
-    return materialize(vectors.encode(chunks, encoder)), encoder
+    return stored(vectors.encode(chunks, encoder), "index"), encoder
 
 
 def search(queries: DataFrame, index: DataFrame, k: int = K.TOP_K, max_day: int = K.MAX_DAY) -> DataFrame:
