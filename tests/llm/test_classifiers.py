@@ -30,9 +30,9 @@ def test_held_out_is_crc32_of_the_decimal_id(spark):
 
 def test_sample_is_bounded_and_takes_whole_groups_that_are_small(spark):
     df = spark.createDataFrame([(i, "big" if i % 50 else "small", f"t{i}") for i in range(5000)], "i INT, g STRING, k STRING")
-    counts = {r.g: r["count"] for r in grams.sample(df, ["g"], 200, "k").groupBy("g").count().collect()}
+    counts = {r.g: r["count"] for r in grams.sample(df, "g", 200, "k").groupBy("g").count().collect()}
     assert counts["small"] == 100 and counts["big"] == 200
-    assert grams.sample(df, [], 300, "k").count() == 300
+    assert grams.sample(df, None, 300, "k").count() == 300
 
 
 def test_gram_counts():

@@ -19,22 +19,29 @@ def held_out(doc_id: str = "doc_id") -> Column:
     return F.coalesce(crc % 4 == 2, F.lit(False))
 
 
-def sample(df: DataFrame, by: list[str], size: int, key: str) -> DataFrame:
-    """At most ``size`` rows of each combination of ``by``, chosen by a hash of ``key``.
+def sample(df: DataFrame, by: str | None, size: int, key: str, most_groups: int = 1000) -> DataFrame:
+    """At most ``size`` rows of each value of ``by`` (or of all rows), chosen by a hash of ``key``.
 
-    Counts set a threshold on the hash, so hardly more rows than these are sorted, however large a group is.
+    Counts, one per group on the driver, set a threshold on the hash in the scan, so hardly more rows than
+    these are moved or sorted, however large a group is. Raises if there are more than ``most_groups``.
     """
-    counts = df.groupBy(*by).agg(F.count("*").alias("_n")) if by else df.agg(F.count("*").alias("_n"))
-    hashed = df.withColumn("_h", F.pmod(F.xxhash64(F.col(f"`{key}`")), F.lit(SCALE)))
-    if by:
-        hashed = hashed.join(counts, by)
+    if by is None:
+        sizes = {None: df.count()}
     else:
-        hashed = hashed.withColumn("_n", F.lit(max(counts.first()[0], 1)))
-    near = hashed.filter(F.col("_h") < SCALE * F.least(F.lit(1.0), F.lit(1.3) * size / F.col("_n") + 20 / F.col("_n")))
-    if not by:
-        return near.orderBy("_h", key).limit(size).drop("_h", "_n")
-    order = W.partitionBy(*by).orderBy("_h", key)
-    return near.withColumn("_k", F.row_number().over(order)).filter(F.col("_k") <= size).drop("_h", "_n", "_k")
+        rows = df.groupBy(by).count().limit(most_groups + 1).collect()
+        if len(rows) > most_groups:
+            raise ValueError(f"more than {most_groups} values of '{by}'")
+        sizes = {r[0]: r["count"] for r in rows if r[0] is not None}
+    limits = {g: int(SCALE * min(1.0, (1.3 * size + 20) / max(n, 1))) for g, n in sizes.items()}
+    hashed = df.withColumn("_h", F.pmod(F.xxhash64(F.col(f"`{key}`")), F.lit(SCALE)))
+    if by is None:
+        return hashed.filter(F.col("_h") < limits[None]).orderBy("_h", key).limit(size).drop("_h")
+    if not limits:
+        return df.limit(0)
+    limit = F.create_map(*(F.lit(x) for pair in limits.items() for x in pair))[F.col(f"`{by}`")]
+    order = W.partitionBy(by).orderBy("_h", key)
+    return (hashed.filter(F.col("_h") < limit).withColumn("_k", F.row_number().over(order))
+            .filter(F.col("_k") <= size).drop("_h", "_k"))
 
 
 def counted(data: np.ndarray, row: np.ndarray, n: int, sizes: tuple[int, ...], width: int) -> np.ndarray:

@@ -77,7 +77,7 @@ def clustered(x: np.ndarray, clusters: int, rounds: int = 8) -> tuple[np.ndarray
 def fit(df: DataFrame, text: str = "text", lang: str = "lang", per_language: int = 500, clusters: int = 3) -> Model:
     """Centroids of each language in ``df``; a language's sample is clustered in one task."""
     rows = df.select(F.col(f"`{text}`").alias("text"), F.col(f"`{lang}`").cast("string").alias("lang")).dropna()
-    chosen = stored(grams.sample(rows.filter(F.col("text").rlike(r"\p{L}")), ["lang"], per_language, "text"), "langid-sample")
+    chosen = stored(grams.sample(rows.filter(F.col("text").rlike(r"\p{L}")), "lang", per_language, "text"), "langid-sample")
 
     def found(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         total, n = np.zeros(WIDTH, np.int64), 0

@@ -73,7 +73,7 @@ def fit(df: DataFrame, text: str = "text", label: str = "quality", size: int = 4
     """The model for 0/1 labels; the sample's decomposition runs in one task."""
     rows = (df.select(F.col(f"`{text}`").alias("text"), F.col(f"`{label}`").cast("int").alias("label")).dropna()
             .filter(F.col("text") != ""))
-    chosen = grams.sample(rows, [], size, "text").coalesce(1)
+    chosen = grams.sample(rows, None, size, "text").coalesce(1)
 
     def learnt(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         blocks, labels = [], []

@@ -40,7 +40,7 @@ def op1_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op2_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
     labels = table(spark, sf_dir, "labels").select("doc_id", "quality").filter(~grams.held_out()).dropna()
-    labels = grams.sample(labels, [], LABELS, "doc_id")
+    labels = grams.sample(labels, None, LABELS, "doc_id")
     model = quality_classifier.fit(docs.join(labels, "doc_id"), size=LABELS)
     return quality_classifier.score(docs.withColumn("held_out", grams.held_out()), model, keep_text=False).select(
         "doc_id", "held_out", "score", (F.col("score") >= 0.7).cast("int").alias("predicted"))
