@@ -253,6 +253,15 @@ def contradiction_candidates(spark, sf):
                                              concentration_min=0.3)
 
 
+def candidate_record(spark, sf):
+    """The stored record: filters, counts and the names of the candidates in order."""
+    record = entity_plan.candidate_record(I.turns(spark, sf), I.gazetteer(spark), I.LEXICON, concentration_min=0.3)
+    return record.select(
+        "info.n_bins", F.array_join("info.entity_labels", ",").alias("entity_labels"), "info.filters.total_mentions_min",
+        "info.filters.concentration_ratio_min_exclusive", "info.filters.distinct_day_buckets_min", "info.rank_by",
+        "info.n_unique_entities", "info.n_qualified", F.array_join("top.entity", "|").alias("top"))
+
+
 def candidate_counts(spark, sf):
     return entities.candidate_counts(entities.entity_rollup(_scored_mentions(spark, sf)), concentration_min=0.3)
 
@@ -304,6 +313,12 @@ SQL_SENTIMENT_DOCUMENTS = f"""WITH texts AS (SELECT doc_id, text FROM documents)
 SELECT doc_id, compound FROM scored"""
 SQL_CANDIDATES = f"""WITH {_SQL_ENTITY_ROLLUP}
 SELECT * EXCLUDE (exact) FROM rounded WHERE {_QUALIFIED} ORDER BY exact DESC, entity LIMIT 10"""
+SQL_CANDIDATE_RECORD = f"""WITH {_SQL_ENTITY_ROLLUP},
+top AS (SELECT * FROM rounded WHERE {_QUALIFIED} ORDER BY exact DESC, entity LIMIT 10)
+SELECT CAST(7 AS INTEGER) AS n_bins, 'GPE,ORG,PERSON' AS entity_labels, CAST(3 AS INTEGER) AS total_mentions_min,
+       0.3::DOUBLE AS concentration_ratio_min_exclusive, CAST(3 AS INTEGER) AS distinct_day_buckets_min,
+       'sentiment_variance_desc' AS rank_by, count(*) AS n_unique_entities, count_if({_QUALIFIED})::BIGINT AS n_qualified,
+       (SELECT string_agg(entity, '|' ORDER BY exact DESC, entity) FROM top) AS top FROM rolled"""
 SQL_CANDIDATE_COUNTS = f"""WITH {_SQL_ENTITY_ROLLUP}
 SELECT count(*) AS n_unique_entities, count_if({_QUALIFIED})::BIGINT AS n_qualified FROM rolled"""
 
@@ -415,6 +430,7 @@ QUERIES = {
     "entity_mentions": (entity_mentions, SQL_MENTIONS),
     "entities_top": (entities_top, SQL_ENTITIES),
     "entity_rollup": (entity_rollup, SQL_ENTITY_ROLLUP),
+    "candidate_record": (candidate_record, SQL_CANDIDATE_RECORD),
     "entity_rollup_wide": (entity_rollup_wide, SQL_ENTITY_ROLLUP_WIDE),
     "sentiment_documents": (sentiment_documents, SQL_SENTIMENT_DOCUMENTS),
     "drift_timeline_gaps": (drift_timeline_gaps, SQL_TIMELINE_GAPS),

@@ -158,3 +158,13 @@ def test_rules(one):
     assert one(rules.weak_label(TEXT), *[w[0] for w in WEAK]) == [(w[1], w[2]) for w in WEAK]
     assert one(rules.auto_gold(TEXT), *[g[0] for g in GOLD]) == [(g[1], g[2]) for g in GOLD]
     assert set(K.LABELS) >= {w[1] for w in WEAK + GOLD}
+
+
+@pytest.mark.parametrize("size", [1, 60, 20_000])
+def test_lexicon_of_any_size(one, size):
+    valences = {f"word{i}": (i % 7 + 1) / 2 for i in range(size)}
+    valences["größe"] = -2.5
+    lexicon = Lexicon(valences=valences, boosters={}, negations=())
+    texts = ["word0 x", f"word{size - 1} y", "größe z", f"word{size} w"]
+    expected = [round(v / (v * v + K.NORMALISATION_ALPHA) ** 0.5, 4) for v in (0.5, ((size - 1) % 7 + 1) / 2, -2.5, 0.0)]
+    assert one(sentiment.compound(F.col("text"), lexicon), *texts) == expected

@@ -4,6 +4,7 @@ from turnloom import constants as K
 from turnloom.functions import rules
 from turnloom.operators import evaluation, intent, sampling
 from turnloom.plans import intent as plan
+from turnloom.sources import sinks, tables
 
 # Published confusion matrix, rows true, in label order.
 MATRIX = [[0, 0, 0, 0, 0], [0, 14, 0, 0, 0], [0, 0, 3, 0, 0], [3, 5, 2, 29, 1], [27, 11, 26, 0, 29]]
@@ -92,3 +93,20 @@ def test_rules_are_a_parameter(spark):
     mine = (rules.Rule("billing", "kw:bill", ("invoice|bill",)),)
     df = spark.createDataFrame([("the invoice",), ("other",)], "text STRING")
     assert [r.label for r in plan.label_lines(df, mine).collect()] == ["billing", "unknown"]
+
+
+def test_sample_passes_over_cells_with_prefixes_only(spark):
+    rows = [(i, "User 1: \n User 2:") for i in range(50)] + [(100 + i, f"User 1: line {i}") for i in range(50)]
+    df = spark.createDataFrame(rows, "conversation_id LONG, raw STRING")
+    assert sampling.sample_messages(df, 20).count() == 20
+    assert sampling.sample_messages(df, 90).count() == 50
+
+
+def test_model_round_trip(spark, tmp_path):
+    rows = spark.createDataFrame([(f"please call number {i % 3}", "reminder") for i in range(9)]
+                                 + [(f"lovely day again {i % 3}", "small-talk") for i in range(9)], "text STRING, label STRING")
+    model = intent.train(rows, min_df=1)
+    sinks.write_model(model, spark, str(tmp_path / "m"))
+    again, vocabulary = tables.read_model(spark, str(tmp_path / "m"))
+    assert [r.term for r in vocabulary.orderBy("position").collect()] == list(model.stages[0].vocabulary)
+    assert intent.classify(rows, again).collect() == intent.classify(rows, model).collect()

@@ -91,3 +91,23 @@ def test_keys_at_ranks_needs_no_uniform_keys(spark):
     df = spark.createDataFrame([(k,) for k in keys], "k BIGINT")
     ranks = [0, 1, len(keys) // 2, len(keys) - 1]
     assert binning.keys_at_ranks(df, "k", ranks, len(keys), keys[0], keys[-1]) == [keys[r] for r in ranks]
+
+
+def test_null_keys_have_no_day_and_no_rank(spark):
+    rows = [(i, None if i % 5 == 0 else i // 3) for i in range(40)]
+    df = spark.createDataFrame(rows, "row LONG, session_id LONG")
+    for order_by in (None, "row"):
+        out = binning.bin_by_session(df, 4, order_by=order_by).collect()
+        assert len(out) == 40 and all((r.day is None) == (r.session_id is None) for r in out)
+        assert {r.day for r in out} == {0, 1, 2, 3, None}
+    keyed = df.select(F.when(F.col("row") % 4 != 0, F.col("row")).alias("k"))
+    assert {tuple(r) for r in binning.bin_by_rows(keyed, 3, "k").groupBy("day").count().collect()} == {
+        (None, 10), (0, 10), (1, 10), (2, 10)}
+    none = spark.createDataFrame([(None,)], "k LONG")
+    assert binning.bin_by_rows(none, 3, "k").first().day is None
+
+
+def test_a_rank_beyond_the_keys_raises(spark):
+    df = spark.createDataFrame([(i,) for i in (1, 5, None, 9000)], "k LONG")
+    with pytest.raises(ValueError, match="no key at rank"):
+        binning.keys_at_ranks(df, "k", [3], 4, 1, 9000)

@@ -174,3 +174,21 @@ def test_rollup_is_one_row_per_day(spark):
     assert (rows[0].n_turns, rows[0].n_conversations) == (2, 1)
     assert (rows[0].question_rate, rows[0].caps_ratio, rows[0].contraction_rate) == (0.25, 0.25, 0.25)
     assert rows[1].avg_word_len == 0.0
+
+
+def test_rollup_counts_any_number_of_days_and_the_labels_there_are(spark):
+    rows = [(day, day % 40, 0, 0, 0, "Ann", "EVENT" if day % 3 else "GPE", 0.1) for day in range(130)] + [
+        (None, 1, 1, 0, 0, "Ann", "GPE", 0.1), (0, 1, 0, 0, 0, None, "ORG", 0.2)]
+    rolled = {r.entity: r for r in entities.entity_rollup(mention(spark, rows)).collect()}
+    assert (rolled["Ann"].distinct_day_buckets, rolled["Ann"].label, rolled["Ann"].total_mentions) == (130, "EVENT", 131)
+    assert rolled[None].label == "ORG"
+
+
+def test_a_null_day_is_no_day(spark):
+    rows = [(None, 0.9, "happy", "formal", [], []), (0, 0.1, "neutral", "casual", [], []), (1, 0.1, "neutral", "casual", [], [])]
+    changes = {r.day: r for r in drift.detect_drift(profiles(spark, rows)).collect()}
+    assert sorted(changes) == [0, 1] and not changes[0].drift_from_prev and changes[0].drift_score == 0
+    turns = spark.createDataFrame([(None, 1, 0, "stray words here"), (0, 1, 1, "good words here"), (1, 2, 0, "good words there")],
+                                  "day INT, conversation_id BIGINT, turn_index INT, text STRING")
+    assert {r.day for r in topics.top_topics(turns, stop_words=()).collect()} == {0, 1}
+    assert "stray" not in {r.term for r in topics.term_counts(turns, stop_words=()).collect()}

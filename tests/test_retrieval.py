@@ -140,3 +140,9 @@ def test_resolve_demo_queries(spark):
         assert r.source_chunks and 0 <= r.confidence <= 1 and len(r.contradictions or []) <= 10
         assert any(c.synthetic for c in r.source_chunks)
         assert r.answer.startswith("You've mentioned your sister across 5 occasions")
+
+
+def test_null_vectors_are_passed_over(spark):
+    df = spark.createDataFrame([(1, [1.0, 0.0]), (2, None), (3, [0.0, 1.0])], "id LONG, embedding ARRAY<DOUBLE>")
+    asked = spark.createDataFrame([(1, [1.0, 0.0]), (2, None)], "qid LONG, embedding ARRAY<DOUBLE>")
+    assert [(r.qid, r.id) for r in vectors.top_k(asked, df, 5).orderBy("qid", "cosine_rank").collect()] == [(1, 1), (1, 3)]

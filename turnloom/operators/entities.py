@@ -123,3 +123,27 @@ def candidate_counts(rollup: DataFrame, **limits) -> DataFrame:
         qualified(rollup, **limits).select("entity").withColumn("ok", F.lit(1)))
     return marked.agg(F.count_if(F.col("ok") == 0).alias("n_unique_entities"),
                       F.count_if(F.col("ok") == 1).alias("n_qualified"))
+
+
+def candidate_record(rollup: DataFrame, k: int = K.CANDIDATE_LIMIT, n_bins: int = K.N_BINS,
+                     labels: Sequence[str] = K.CANDIDATE_ENTITY_LABELS,
+                     mentions_min: int = K.CANDIDATE_MENTIONS_MIN, concentration_min: float = K.CONCENTRATION_MIN,
+                     days_min: int = K.CANDIDATE_DAYS_MIN) -> DataFrame:
+    """One row: ``info`` with the filters and counts, and ``top``, the k candidates in order.
+
+    Reads ``rollup`` twice; store it where that is expensive.
+    """
+    limits = {"mentions_min": mentions_min, "concentration_min": concentration_min, "days_min": days_min}
+    best = contradiction_candidates(rollup, k, **limits)
+    exact = rollup.select(F.col("entity").alias("of"), F.col("sentiment_variance").alias("exact"))
+    fields = F.struct(*best.columns)
+    order = F.struct((-F.col("exact")).alias("variance"), F.col("entity"), fields.alias("row"))
+    top = (best.join(exact, F.col("entity") == F.col("of")).agg(F.transform(F.array_sort(F.collect_list(order)), lambda x: x["row"]).alias("top")))
+    filters = F.struct(F.lit(mentions_min).alias("total_mentions_min"),
+                       F.lit(concentration_min).alias("concentration_ratio_min_exclusive"),
+                       F.lit(days_min).alias("distinct_day_buckets_min"))
+    info = F.struct(F.lit(n_bins).alias("n_bins"), F.array(*[F.lit(x) for x in sorted(labels)]).alias("entity_labels"),
+                    filters.alias("filters"), F.lit("sentiment_variance_desc").alias("rank_by"),
+                    "n_unique_entities", "n_qualified")
+    counts = candidate_counts(rollup, **limits).select(F.lit(1).alias("one"), info.alias("info"))
+    return counts.join(top.withColumn("one", F.lit(1)), "one").select("info", "top")  # one row each

@@ -3,10 +3,12 @@
 from __future__ import annotations
 
 from pyspark.errors import AnalysisException
-from pyspark.sql import DataFrame
+from pyspark.ml import PipelineModel
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from turnloom.operators.binning import Binning
+from turnloom.scaling import local_table
 
 
 def write_profile(days: DataFrame, info: Binning, path: str) -> None:
@@ -41,6 +43,14 @@ def write_vectors(vectors: DataFrame, path: str) -> None:
         "overwrite").parquet(path)
 
 
+def write_model(model: PipelineModel, spark: SparkSession, path: str) -> None:
+    """A trained intent model in ``path/model`` and its vocabulary ``position, term, idf`` in ``path/vocabulary``."""
+    model.write().overwrite().save(f"{path}/model")
+    terms = zip(model.stages[0].vocabulary, model.stages[1].getScalingVec().toArray().tolist())
+    rows = [(i, term, idf) for i, (term, idf) in enumerate(terms)]  # at most the model's number of features
+    write_table(local_table(spark, rows, "position INT, term STRING, idf DOUBLE"), f"{path}/vocabulary")
+
+
 def write_if_stale(rows: DataFrame, path: str, force: bool = False) -> bool:
     """Write unless the stored table already has as many rows; True when written."""
     if not force:

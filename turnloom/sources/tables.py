@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from pyspark.errors import AnalysisException
+from pyspark.ml import PipelineModel
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
@@ -95,6 +96,11 @@ def read_vectors(spark: SparkSession, path: str) -> DataFrame:
     return spark.read.parquet(path)
 
 
+def read_model(spark: SparkSession, path: str) -> tuple[PipelineModel, DataFrame]:
+    """A model and its vocabulary as ``write_model`` stores them."""
+    return PipelineModel.load(f"{path}/model"), spark.read.parquet(f"{path}/vocabulary")
+
+
 def read_timeline(spark: SparkSession, path: str) -> DataFrame:
     """A stored drift timeline, or an empty one when none was written yet."""
     stored = _read_if_present(lambda: spark.read.json(path))
