@@ -29,6 +29,7 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute  # noqa: F401
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -208,17 +209,40 @@ def central_pairs(members: DataFrame) -> DataFrame:
             .select(F.least("_key", "c").alias("a"), F.greatest("_key", "c").alias("b")).distinct())
 
 
-def remaining_pairs(members: DataFrame, roots: DataFrame, s: Settings) -> DataFrame:
-    """``a, b``: pairs of one part of a bucket that are not in one class yet."""
+def remaining_pairs(members: DataFrame, texts: DataFrame, roots: DataFrame, s: Settings) -> DataFrame:
+    """``a, b``: pairs of one part of a bucket that are not in one class yet and whose samples agree often enough."""
     part = F.pmod(F.xxhash64("_key", "band"), F.ceil(F.col("m") / s.part)).cast("int")
     rooted = (members.withColumn("part", part).join(roots, "_key", "left")
               .select("band", "h", "part", "_key", F.coalesce("_root", "_key").alias("root")))
     # Only parts with two classes or more have anything left to compare.
     open_ = (rooted.groupBy("band", "h", "part").agg(F.min("root").alias("x"), F.max("root").alias("y"))
              .filter("x <> y").select("band", "h", "part"))
-    rooted = stored(rooted.join(open_, ["band", "h", "part"]), "dedup-open")
-    a, b = (rooted.select("band", "h", "part", F.col("_key").alias(k), F.col("root").alias(f"r{k}")) for k in "ab")
-    return a.join(b, ["band", "h", "part"]).filter("a < b AND ra <> rb").select("a", "b").distinct()
+    parts = (rooted.join(open_, ["band", "h", "part"]).join(texts.select("_key", "_sketch"), "_key")
+             .groupBy("band", "h", "part").agg(F.collect_list(F.struct("_key", "root", "_sketch")).alias("p")))
+
+    def compared(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            rows = batch.column(0)
+            flat = rows.flatten()
+            if not len(flat):
+                continue
+            keys, sketch = flat.field(0), np.frombuffer(b"".join(flat.field(2).to_pylist()), np.uint8).reshape(len(flat), -1)
+            root = np.unique(np.array(flat.field(1).to_pylist(), dtype="V16"), return_inverse=True)[1]
+            ends = np.cumsum(pa.compute.list_value_length(rows).to_numpy())
+            left, right = [], []
+            for start, end in zip([0, *ends[:-1]], ends):  # a part has some two dozen texts
+                i, j = np.triu_indices(end - start, 1)
+                i, j = i + start, j + start
+                differ = root[i] != root[j]
+                i, j = i[differ], j[differ]
+                close = (sketch[i] == sketch[j]).mean(axis=1) >= s.estimate
+                left.append(i[close])
+                right.append(j[close])
+            x, y = (keys.take(pa.array(np.concatenate(v))) for v in (left, right))
+            yield pa.RecordBatch.from_arrays([x, y], names=["x", "y"])
+
+    pairs = parts.select("p").mapInArrow(compared, "x BINARY, y BINARY")
+    return pairs.select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b")).distinct()
 
 
 def not_ruled_out(pairs: DataFrame, texts: DataFrame, s: Settings) -> DataFrame:
@@ -291,7 +315,7 @@ def components(edges: DataFrame) -> DataFrame:
 
 def _verified(pairs: DataFrame, texts: DataFrame, docs: DataFrame, weights: np.ndarray, s: Settings) -> DataFrame:
     """Links among ``pairs`` of keys, whose texts are looked up in ``docs``."""
-    pairs = stored(not_ruled_out(pairs, texts, s), "dedup-pairs")
+    pairs = stored(pairs, "dedup-pairs")
     asked = pairs.select(F.col("a").alias("_key")).unionByName(pairs.select(F.col("b").alias("_key"))).distinct()
     wanted = texts.select("_key", F.col("_h").alias("_w")).join(asked, "_key")
     held = (docs.select("_text", F.xxhash64("_text").alias("_w")).join(wanted, "_w")
@@ -307,8 +331,8 @@ def _classified(docs: DataFrame, s: Settings) -> DataFrame:
     texts = stored(signed.filter(F.col("_key").isNotNull()).groupBy("_key").agg(
         F.min("_h").alias("_h"), F.first("_bands").alias("_bands"), F.first("_sketch").alias("_sketch")), "dedup-texts")
     members = stored(buckets(texts, s), "dedup-buckets")
-    central = _verified(central_pairs(members), texts, docs, weights, s)
-    rest = _verified(remaining_pairs(members, components(central), s), texts, docs, weights, s)
+    central = _verified(not_ruled_out(central_pairs(members), texts, s), texts, docs, weights, s)
+    rest = _verified(remaining_pairs(members, texts, components(central), s), texts, docs, weights, s)
     found = central.unionByName(rest)
     roots = components(found)
     count = (found.select(F.col("a").alias("_key")).unionByName(found.select(F.col("b").alias("_key")))
