@@ -49,28 +49,26 @@ def spread(df: DataFrame) -> DataFrame:
 
 
 def ship(spark: SparkSession, *folders: str) -> None:
-    """Send packages to the executors, once per application, so that tasks can import them anywhere.
+    """Send packages to the executors, each once per application, so that tasks can import them anywhere.
 
     ``folders`` are package folders; this library's own by default.
     """
     context = spark.sparkContext
-    if context.applicationId in _SHIPPED:
-        return
-    folders = folders or (os.path.dirname(os.path.abspath(__file__)),)
-    path = os.path.join(_own_folder(), "packages.zip")
-    with zipfile.ZipFile(path, "w", zipfile.ZIP_DEFLATED) as archive:
-        for folder in folders:
-            above = os.path.dirname(folder)
+    for folder in folders or (os.path.dirname(os.path.abspath(__file__)),):
+        if (context.applicationId, folder) in _SHIPPED:
+            continue
+        path = os.path.join(_own_folder(), f"{os.path.basename(folder)}.zip")
+        with zipfile.ZipFile(path, "w", zipfile.ZIP_DEFLATED) as archive:
             for at, _, names in os.walk(folder):
                 for name in sorted(names):
                     if name.endswith(".py"):
                         full = os.path.join(at, name)
-                        archive.write(full, os.path.relpath(full, above))
-    context.addPyFile(path)
-    _SHIPPED.add(context.applicationId)
+                        archive.write(full, os.path.relpath(full, os.path.dirname(folder)))
+        context.addPyFile(path)
+        _SHIPPED.add((context.applicationId, folder))
 
 
-_SHIPPED: set[str] = set()
+_SHIPPED: set[tuple[str, str]] = set()
 
 
 def _own_folder() -> str:
