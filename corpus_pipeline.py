@@ -7,9 +7,12 @@ every stage's result to the shared folder and reads it back, so a later failure
 
 from __future__ import annotations
 
+import functools
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from turnloom import scaling
 from turnloom.llm import decontamination, line_dedup, near_dedup, quality_rules, queries
 from turnloom.llm.storage import stored
 
@@ -43,13 +46,23 @@ def encode_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame
     return queries.bpe_digests(docs)
 
 
-STAGES = [
+def _shipped(stage):
+    """``stage`` after the library has been sent to the executors."""
+    @functools.wraps(stage)
+    def run_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+        scaling.ship(spark)
+        return stage(spark, docs, sf_dir)
+
+    return run_stage
+
+
+STAGES = [(name, _shipped(stage)) for name, stage in (
     ("quality_rules", quality_stage),
     ("line_dedup", lines_stage),
     ("near_dedup", near_dedup_stage),
     ("decontamination", decontamination_stage),
     ("encode", encode_stage),
-]
+)]
 
 # Tokenisation, robust estimates and sampling have no SQL form; tests/llm hold the stages against plain versions.
 ORACLE_SQL = None

@@ -1,14 +1,16 @@
 """Near duplicates by consistent weighted sampling of word shingles.
 
 A document is the weighted set of its shingles (``size`` words): a shingle weighs its count times a damped
-IDF, ``1 + idf_weight * log(1 + N / df) / log(1 + N)``. Documents with equal sets are one text. Improved
+IDF, ``1 + idf_weight * log(1 + 1 / share) / log(1 + 1 / rare)`` for the share of documents that hold it, ``rare``
+at least. Documents with equal sets are one text. Improved
 consistent weighted sampling draws ``bands * rows`` samples of each set; two sets agree in a sample with a
 probability equal to their weighted Jaccard similarity. Texts that agree in a whole band are candidates,
 their samples estimate the similarity, and candidates not clearly below are verified exactly on their whole
 texts. Texts linked by ``threshold`` or more, directly or over others, form a class.
 
 * Document frequencies are counted in ``cells`` hashed cells over all documents. A cell also counts other
-  shingles that fall into it, so rare shingles share a weight where the table is much larger than the cells.
+  shingles that fall into it. Shingles in less than ``rare`` of the documents weigh the same, so the shingles
+  of a few copies weigh as much as those that their edits made.
 * First every text of a bucket is a candidate with the bucket's most connected text, the one whose buckets are
   largest: the original of many copies is more connected than a copy. Then buckets are dealt into parts of
   about ``part`` texts by a hash, and the pairs of a part that the first links do not join yet are candidates
@@ -50,6 +52,7 @@ class Settings:
     bands: int = 15
     rows: int = 4
     idf_weight: float = 0.5
+    rare: float = 0.001
     cells: int = 1 << 20
     part: int = 24
     #: Candidates whose samples agree in a smaller share are not verified: four standard errors below.
@@ -128,7 +131,8 @@ def shingle_weights(docs: DataFrame, text: str, s: Settings) -> np.ndarray:
             n = int(counts[0])
         else:
             df[row.segment * _SEGMENT:row.segment * _SEGMENT + len(counts)] = counts
-    return (1 + s.idf_weight * np.log1p(n / np.maximum(df, 1)) / np.log1p(max(n, 1))).astype(np.float32)
+    share = np.maximum(df / max(n, 1), s.rare)
+    return (1 + s.idf_weight * np.log1p(1 / share) / np.log1p(1 / s.rare)).astype(np.float32)
 
 
 def samples(x: Shingles, weight: np.ndarray, n_samples: int) -> np.ndarray:
