@@ -113,6 +113,18 @@ def vocabulary_conversations(spark, sf):
     return intent.vocabulary(I.plain_turns(spark, sf)).withColumn("idf", F.round("idf", 6))
 
 
+def vocabulary_top(spark, sf):
+    """A limit on the number of terms that acts."""
+    return intent.vocabulary(I.plain_turns(spark, sf), max_features=300).withColumn("idf", F.round("idf", 6))
+
+
+def labelled_csv(spark, sf):
+    """Labelled rows as CSV lines and back."""
+    fields = ["event_id", "text", "label", "source_rule"]
+    lines = _labelled(spark, sf).select(F.to_csv(F.struct(*fields)).alias("line"))
+    return lines.select(F.from_csv("line", "event_id LONG, text STRING, label STRING, source_rule STRING").alias("r")).select("r.*")
+
+
 def class_weights(spark, sf):
     return intent.balanced_weights(_labelled(spark, sf)).withColumn("weight", F.round("weight", 6))
 
@@ -195,13 +207,13 @@ rates AS (SELECT *, CASE WHEN n_pred > 0 THEN tp / n_pred ELSE 0 END AS p,
 f AS (SELECT *, CASE WHEN p + r > 0 THEN 2 * p * r / (p + r) ELSE 0 END AS f1 FROM rates)"""
 
 # Accents are stripped by DuckDB's own function; it covers the Latin letters of the test tables.
-def _sql_vocabulary(rows: str, source: str) -> str:
+def _sql_vocabulary(rows: str, source: str, limit: int = 10000) -> str:
     return f"""WITH {rows},
 docs AS (SELECT row_number() OVER () AS doc, regexp_extract_all(strip_accents(lower(text)), '[\\p{{L}}\\p{{M}}\\p{{N}}_]{{2,}}') AS l FROM {source}),
 grams AS (SELECT doc, unnest(list_concat(l, list_transform(range(1, len(l)), lambda i: l[i] || ' ' || l[i + 1]))) AS term FROM docs),
 counted AS (SELECT term, count(*) AS tf, count(DISTINCT doc) AS df FROM grams GROUP BY term HAVING count(DISTINCT doc) >= 2)
 SELECT term, tf, df, round(ln((1 + (SELECT count(*) FROM docs)) / (1 + df)) + 1, 6) AS idf
-FROM counted ORDER BY tf DESC, term LIMIT 10000"""
+FROM counted ORDER BY tf DESC, term LIMIT {limit}"""
 
 
 QUERIES = {
@@ -233,6 +245,8 @@ QUERIES = {
         SELECT count(*) AS n_labels, round(avg(f1), 4) AS macro_f1 FROM f WHERE n_true + n_pred > 0"""),
     "vocabulary": (vocabulary, _sql_vocabulary(I.SQL_UTTERANCES, "turns")),
     "vocabulary_conversations": (vocabulary_conversations, _sql_vocabulary("x AS (SELECT 1)", "conversations")),
+    "vocabulary_top": (vocabulary_top, _sql_vocabulary("x AS (SELECT 1)", "conversations", 300)),
+    "labelled_csv": (labelled_csv, f"WITH {_SQL_LABELLED} SELECT event_id, text, label, source_rule FROM labelled"),
     "class_weights": (class_weights, f"""WITH {_SQL_LABELLED}
         SELECT label, round((SELECT count(*) FROM labelled) / ((SELECT count(DISTINCT label) FROM labelled) * count(*)), 6)
                AS weight, count(*) AS n FROM labelled GROUP BY label"""),

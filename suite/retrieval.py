@@ -34,6 +34,12 @@ def _with_seeds(spark, sf):
                              tables.seed_chunks(spark, lexicon=I.LEXICON))
 
 
+def chunks_json(spark, sf):
+    """Chunks as JSON lines and back, in the stored record's schema."""
+    lines = _with_seeds(spark, sf).select(F.to_json(F.struct("*")).alias("line"))
+    return lines.select(F.from_json("line", tables.CHUNK_SCHEMA).alias("r")).select("r.*")
+
+
 def chunks_with_seeds(spark, sf):
     return _with_seeds(spark, sf)
 
@@ -341,6 +347,7 @@ parts AS (
 QUERIES = {
     "turn_pair_chunks": (turn_pair_chunks, f"WITH {_SQL_CHUNKS} SELECT * FROM chunks"),
     "dialogue_chunks": (dialogue_chunks, f"WITH {_SQL_DIALOGUE_CHUNKS}"),
+    "chunks_json": (chunks_json, f"WITH {_SQL_SEEDED} SELECT * FROM every_chunk"),
     "chunks_with_seeds": (chunks_with_seeds, f"WITH {_SQL_SEEDED} SELECT * FROM every_chunk"),
     "chunk_counts": (chunk_counts, f"""WITH {_SQL_SEEDED}
         SELECT count_if(NOT synthetic)::BIGINT AS n_natural, count_if(synthetic)::BIGINT AS n_synthetic,
