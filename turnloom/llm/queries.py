@@ -130,6 +130,51 @@ def op9_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
         "problem")
 
 
+def _either_case(words: str) -> str:
+    return "".join(f"[{c.upper()}{c}]" if c.isalpha() else c for c in words)
+
+
+_SECRET_RULES = [
+    ("assign", _either_case("(?:password|passwd|secret|token|api_?key)")
+     + r'''["'']?\x20*[:=]\x20*["'']?([A-Za-z0-9+/_.=-]+)''', 1, 12),
+    ("access", "AKIA[A-Z0-9]+", 0, 18), ("hex", "[0-9a-f]+", 0, 16), ("private_key", "-----BEGIN [A-Z ]*PRIVATE KEY-----", 0, 1)]
+
+
+def _sql_matches(rank: int, kind: str, pattern: str, group: int, least: int) -> str:
+    found = f"regexp_extract_all(text, '{pattern}', 0)"
+    return f"""SELECT doc_id, '{kind}' AS kind, {rank} AS rank, {least} AS least, unnest(range(len({found}))) AS i,
+               unnest({found}) AS whole, unnest(regexp_extract_all(text, '{pattern}', {group})) AS measured,
+               unnest(list_slice(string_split_regex(text, '{pattern}'), 1, len({found}))) AS gap FROM texts"""
+
+
+SQL_SECRET_SCAN = f"""
+WITH texts AS (SELECT doc_id, coalesce(text, '') AS text FROM documents),
+matches AS ({" UNION ALL ".join(_sql_matches(i, *rule) for i, rule in enumerate(_SECRET_RULES))}),
+placed AS (SELECT *, coalesce(sum(length(gap) + length(whole)) OVER (PARTITION BY doc_id, kind ORDER BY i
+                  ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) + length(gap) AS start FROM matches),
+spans AS (SELECT doc_id, kind, rank, CAST(start AS BIGINT) AS start,
+                 kind || ':' || CAST(start AS BIGINT) || ':' || CAST(start + length(whole) AS BIGINT) AS span
+          FROM placed WHERE length(measured) >= least)
+SELECT t.doc_id, count(*) FILTER (kind = 'assign') AS n_assign, count(*) FILTER (kind = 'access') AS n_access,
+       count(*) FILTER (kind = 'hex') AS n_hex,
+       sha256(coalesce(string_agg(span, ',' ORDER BY start, rank) FILTER (rank < 3), '')) AS base_sha256,
+       coalesce(string_agg(span, ',' ORDER BY start, rank), '') AS spans
+FROM texts t LEFT JOIN spans s USING (doc_id) GROUP BY t.doc_id
+"""
+
+# Five hexadecimal digits of the SHA-1 make four base-32 letters.
+SQL_WARC = """
+WITH hashed AS (SELECT page_id, octet_length(encode(coalesce(html, ''))) AS payload_bytes, sha1(coalesce(html, '')) AS h FROM pages),
+first AS (SELECT h, min(page_id) AS smallest FROM hashed GROUP BY h)
+SELECT page_id, CAST(payload_bytes AS BIGINT) AS payload_bytes,
+       list_aggregate(list_transform(range(32), lambda j: substr('ABCDEFGHIJKLMNOPQRSTUVWXYZ234567',
+         CAST((CAST('0x' || substr(h, CAST(j // 4 * 5 + 1 AS INTEGER), 5) AS INTEGER) >> CAST(15 - 5 * (j % 4) AS INTEGER)) & 31 AS INTEGER) + 1,
+         1)), 'string_agg', '') AS payload_digest,
+       CASE WHEN page_id = smallest THEN 'response' ELSE 'revisit' END AS record_type,
+       CASE WHEN page_id <> smallest THEN smallest END AS refers_to, CAST(NULL AS VARCHAR) AS problem
+FROM hashed JOIN first USING (h)
+"""
+
 QUERIES = {
     "op1_bpe": (op1_bpe, None),
     "op2_quality_classifier": (op2_quality_classifier, None),
@@ -137,8 +182,8 @@ QUERIES = {
     "op4_quality_rules": (op4_quality_rules, None),
     "op5_near_dedup": (op5_near_dedup, None),
     "op6_line_dedup": (op6_line_dedup, SQL_LINE_DEDUP),
-    "op7_secret_scan": (op7_secret_scan, None),
+    "op7_secret_scan": (op7_secret_scan, SQL_SECRET_SCAN),
     "op8_decontamination": (op8_decontamination, None),
-    "op9_warc": (op9_warc, None),
+    "op9_warc": (op9_warc, SQL_WARC),
     "op10_token_counts": (op10_token_counts, None),
 }
