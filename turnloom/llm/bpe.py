@@ -27,10 +27,10 @@ import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import types as T
 
-from turnloom.llm.arrow import drop_column, mapped
+from turnloom.llm.arrow import drop_column, mapped, pieces
 
 CHUNK = 1 << 16
-CACHED_WORDS = 300_000
+CACHED_WORDS = 200_000
 LONG_WORD = 200
 _SPACE = r"\p{White_Space}"
 
@@ -310,7 +310,7 @@ def encode(df: DataFrame, path: str, text: str = "text", ids: str = "ids", keep_
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         encoder = Encoder(tables(path))
-        for batch in batches:
+        for batch in pieces(batches):
             flat, ends = array("i"), [0]
             for value in batch.column(text):
                 flat.extend(encoder.encode(value.as_py() or ""))
@@ -333,7 +333,7 @@ def decode(df: DataFrame, path: str, ids: str = "ids", out: str = "decoded", kee
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         t = tables(path)
-        for batch in batches:
+        for batch in pieces(batches):
             column = batch.column(ids)
             texts = []
             for row in column:
