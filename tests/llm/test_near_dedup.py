@@ -84,3 +84,41 @@ def test_repeated_rows_null_ids_and_empty_table(spark):
     kept = sorted((r.doc_id, r.text) for r in nd.keep_first(df, settings=S).collect())
     assert kept == [(5, "quite other words stand here instead of those"), (5, text), (7, "")]
     assert nd.classes(df.limit(0), settings=S).count() == 0 and nd.keep_first(df.limit(0), settings=S).count() == 0
+
+
+def test_copies_of_copies_in_a_large_group(spark):
+    rng = random.Random(11)
+    copies = [_document(rng, 120)]
+    while len(copies) < 2000:
+        base = rng.choice(copies[1:]) if len(copies) > 1 and rng.random() < 0.35 else copies[0]
+        copies.append(_edited(rng, base, rng.randint(1, 4)))
+    docs = [(i, " ".join(w)) for i, w in enumerate(copies)]
+    df = spark.createDataFrame(docs, "doc_id LONG, text STRING").repartition(4)
+    weights = nd.shingle_weights(df.select("text"), "text", S)
+    x = nd.shingles(pa.array([t for _, t in docs]), S.size)
+    drawn = nd.samples(x, weights[nd._cell(x.hash, S.cells)] * x.count, S.bands * S.rows)
+    weight = x.count * weights[nd._cell(x.hash, S.cells)].astype(float)
+    known, at = np.unique(x.hash, return_inverse=True)
+    total = np.bincount(x.row, weight)
+    start = np.searchsorted(x.row, np.arange(x.n))
+    parent = list(range(len(docs)))
+
+    def root(i):
+        while parent[i] != i:
+            i = parent[i]
+        return i
+
+    for i in range(len(docs)):  # all pairs that share a band
+        row = np.zeros(len(known))
+        row[at[x.row == i]] = weight[x.row == i]
+        shared = np.add.reduceat(np.minimum(row[at], weight), start)
+        same = (drawn == drawn[i]).reshape(len(docs), S.bands, S.rows)
+        near = (shared >= S.threshold * (total + total[i] - shared)) & same.all(axis=2).any(axis=1) & (same.mean(axis=(1, 2)) >= S.estimate)
+        for j in np.flatnonzero(near[:i]):
+            parent[root(i)] = root(j)
+    least = {}
+    for i in range(len(docs)):
+        least.setdefault(root(i), i)
+    got = {r.doc_id: r.class_id for r in nd.classes(df, settings=nd.Settings(cells=1 << 14, block=300)).collect()}
+    assert 10 < len(least) < 1900
+    assert got == {i: least[root(i)] for i in range(len(docs))}

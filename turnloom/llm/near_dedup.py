@@ -14,8 +14,10 @@ texts. Texts linked by ``threshold`` or more, directly or over others, form a cl
 * First every text of a bucket is a candidate with the bucket's most connected text, the one whose buckets are
   largest: the original of many copies is more connected than a copy. Then buckets are dealt into parts of
   about ``part`` texts by a hash, and the pairs of a part that the first links do not join yet are candidates
-  too. With the repetition over all bands this joins large groups without making all their pairs; no text and no
-  bucket is left out.
+  too. With the repetition over all bands this joins most of a large group without making all its pairs.
+* Last, buckets of several parts whose texts are not all in one class are compared whole: every text outside the
+  bucket's largest class with every text of another class, in blocks of ``block`` by ``block`` texts inside tasks.
+  A block gives only links that join two classes, so what leaves the tasks does not grow with the pairs.
 * Classes come from repeated joins over the verified links; nothing is gathered on the driver.
 
 Documents without words are never compared; each is a class of its own. Repeated rows and exact copies share
@@ -55,6 +57,7 @@ class Settings:
     rare: float = 0.001
     cells: int = 1 << 20
     part: int = 24
+    block: int = 1024
     #: Candidates whose samples agree in a smaller share are not verified: four standard errors below.
     estimate: float = 0.6
 
@@ -249,6 +252,177 @@ def remaining_pairs(members: DataFrame, texts: DataFrame, roots: DataFrame, s: S
     return pairs.select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b")).distinct()
 
 
+_BLOCK_KEYS = ["band", "h", "q", "p"]
+
+
+def open_blocks(members: DataFrame, texts: DataFrame, roots: DataFrame, s: Settings) -> DataFrame:
+    """Rows of the blocks that compare buckets of several classes: ``_BLOCK_KEYS, side, stray, _key, root, …``.
+
+    Side 0 has the strays, the texts outside the bucket's largest class, in parts ``q``; side 1 has all texts, in
+    parts ``p``. Buckets of one part of ``remaining_pairs`` have been compared there.
+    """
+    rooted = (members.filter(F.col("m") > s.part).join(roots, "_key", "left")
+              .select("band", "h", "m", "_key", F.coalesce("_root", "_key").alias("root")))
+    largest = (rooted.groupBy("band", "h", "root").agg(F.count("*").alias("n")).groupBy("band", "h")
+               .agg(F.max(F.struct("n", "root")).alias("x"), F.sum("n").alias("all"))
+               .filter(F.col("x.n") < F.col("all"))
+               .select("band", "h", F.col("x.root").alias("most"), (F.col("all") - F.col("x.n")).alias("strays")))
+    dealt = rooted.join(largest, ["band", "h"]).join(texts.select("_key", "_sketch", "_bands"), "_key")
+    parts, stray_parts = (F.ceil(F.col(c) / s.block).cast("int") for c in ("m", "strays"))
+    own = F.pmod(F.xxhash64("_key", "band", F.lit(1)), F.lit(1 << 30)).cast("int")
+
+    def all_of(n):
+        return F.explode(F.sequence(F.lit(0), n - 1))
+
+    columns = ["_key", "root", "_sketch", "_bands"]
+    stray = F.col("root") != F.col("most")
+    left = (dealt.filter(stray).select("band", "h", F.pmod(own, stray_parts).alias("q"), all_of(parts).alias("p"),
+                                       F.lit(0).alias("side"), F.lit(True).alias("stray"), *columns))
+    right = dealt.select("band", "h", all_of(stray_parts).alias("q"), F.pmod(own, parts).alias("p"),
+                         F.lit(1).alias("side"), stray.alias("stray"), *columns)
+    return left.unionByName(right)
+
+
+def _by_block(rows: DataFrame) -> DataFrame:
+    """``rows`` dealt and sorted so that each block comes in one task, its strays first."""
+    n = int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    return rows.repartition(n, *_BLOCK_KEYS).sortWithinPartitions(*_BLOCK_KEYS, "side")
+
+
+def _runs(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[tuple, int, pa.RecordBatch]]:
+    """Block, side and rows, piece by piece."""
+    for batch in batches:
+        if not batch.num_rows:
+            continue
+        marks = np.stack([batch.column(c).to_numpy(zero_copy_only=False).astype(np.int64) for c in (*_BLOCK_KEYS, "side")], axis=1)
+        starts = np.flatnonzero(np.concatenate(([True], (marks[1:] != marks[:-1]).any(axis=1))))
+        for start, end in zip(starts.tolist(), [*starts[1:].tolist(), len(marks)]):
+            yield tuple(marks[start, :4].tolist()), int(marks[start, 4]), batch.slice(start, end - start)
+
+
+class _Side:
+    """Arrays of some rows of a block."""
+
+    def __init__(self, rows: pa.RecordBatch, s: Settings):
+        self.n = rows.num_rows
+        self.key = np.array(rows.column("_key").to_pylist(), dtype="V16")
+        self.root = np.array(rows.column("root").to_pylist(), dtype="V16")
+        self.order = self.key.view(">u8").reshape(-1, 2)
+        self.stray = rows.column("stray").to_numpy(zero_copy_only=False)
+        self.sketch = np.frombuffer(b"".join(rows.column("_sketch").to_pylist()), np.uint8).reshape(self.n, -1)
+        self.bands = rows.column("_bands").flatten().to_numpy(zero_copy_only=False).reshape(self.n, s.bands)
+
+
+def _candidates(left: _Side, right: _Side, j: int, band: int, s: Settings) -> np.ndarray:
+    """Texts on the left that ``right``'s text ``j`` is to be compared with in this bucket.
+
+    Pairs in one class, pairs that an earlier band compares and the second turn of two strays are left out.
+    """
+    i = np.flatnonzero((left.sketch == right.sketch[j]).mean(axis=1) >= s.estimate)
+    i = i[left.root[i] != right.root[j]]
+    if right.stray[j] and len(i):
+        a, b = left.order[i], right.order[j]
+        i = i[(a[:, 0] < b[0]) | ((a[:, 0] == b[0]) & (a[:, 1] < b[1]))]
+    return i[~(left.bands[i, :band] == right.bands[j, :band]).any(axis=1)] if len(i) else i
+
+
+def block_candidates(rows: DataFrame, s: Settings) -> DataFrame:
+    """The block rows that have a candidate, ``_BLOCK_KEYS, side, _key``."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        block, left = None, []
+        for now, side, piece in _runs(batches):
+            if now != block:
+                block, left = now, []
+            if not side:
+                left.append(_Side(piece, s))
+                continue
+            right = _Side(piece, s)
+            for x in left:
+                hit, other = np.zeros(x.n, bool), np.zeros(right.n, bool)
+                for j in range(right.n):
+                    i = _candidates(x, right, j, block[0], s)
+                    hit[i] = True
+                    other[j] = len(i) > 0
+                keys = [*x.key[hit].tolist(), *right.key[other].tolist()]
+                sides = [0] * int(hit.sum()) + [1] * int(other.sum())
+                if keys:
+                    yield pa.RecordBatch.from_arrays(
+                        [*(pa.array([v] * len(keys), t) for v, t in zip(block, (pa.int32(), pa.int64(), pa.int32(), pa.int32()))),
+                         pa.array(sides, pa.int32()), pa.array([bytes(k) for k in keys], pa.binary())], names=[*_BLOCK_KEYS, "side", "_key"])
+
+    return _by_block(rows).mapInArrow(run, "band INT, h BIGINT, q INT, p INT, side INT, _key BINARY").distinct()
+
+
+class _Texts:
+    """Weighted shingles of the left side, for one text to be held against many."""
+
+    def __init__(self, column: pa.Array, weights: np.ndarray, s: Settings):
+        x = shingles(column, s.size)
+        self.known, self.id = np.unique(x.hash, return_inverse=True)
+        self.weight = x.count * weights[_cell(x.hash, s.cells)].astype(float)
+        self.start = np.searchsorted(x.row, np.arange(x.n + 1))
+        self.total = np.bincount(x.row, self.weight, minlength=x.n)
+        self.held = np.zeros(len(self.known))
+
+    def similarity(self, i: np.ndarray, y: Shingles, weights: np.ndarray, cells: int) -> np.ndarray:
+        """Weighted Jaccard similarity of the texts ``i`` with the one in ``y``."""
+        w = y.count * weights[_cell(y.hash, cells)].astype(float)
+        at = np.minimum(np.searchsorted(self.known, y.hash), len(self.known) - 1)
+        both = self.known[at] == y.hash
+        self.held[at[both]] = w[both]
+        size = self.start[i + 1] - self.start[i]
+        begin = np.cumsum(size) - size
+        flat = np.arange(size.sum()) + np.repeat(self.start[i] - begin, size)
+        shared = np.add.reduceat(np.minimum(self.held[self.id[flat]], self.weight[flat]), begin)
+        self.held[at[both]] = 0
+        return shared / (self.total[i] + w.sum() - shared)
+
+
+def block_links(rows: DataFrame, weights: np.ndarray, s: Settings) -> DataFrame:
+    """``a, b, similarity``: links that join classes within each block; ``rows`` has ``_text`` too."""
+    sent = rows.sparkSession.sparkContext.broadcast(weights)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        block, left, parent = None, [], {}
+
+        def top(x: bytes) -> bytes:
+            while parent.get(x, x) != x:
+                parent[x] = x = parent.get(parent[x], parent[x])
+            return x
+
+        for now, side, piece in _runs(batches):
+            if now != block:
+                block, left, parent = now, [], {}
+            texts = piece.column("_text")
+            if not side:
+                for start, end in blocks(texts, _BLOCK):
+                    part = piece.slice(start, end - start)
+                    left.append((_Side(part, s), _Texts(part.column("_text"), sent.value, s)))
+                continue
+            right, out = _Side(piece, s), []
+            for j in range(right.n):
+                y = None
+                for x, held in left:
+                    i = _candidates(x, right, j, block[0], s)
+                    mine = top(bytes(right.root[j]))
+                    i = i[[top(bytes(r)) != mine for r in x.root[i]]] if len(i) else i
+                    if not len(i):
+                        continue
+                    y = y or shingles(texts.slice(j, 1), s.size)
+                    similarity = held.similarity(i, y, sent.value, s.cells)
+                    for k, v in zip(i.tolist(), similarity.tolist()):
+                        a, b = top(bytes(x.root[k])), top(bytes(right.root[j]))
+                        if v >= s.threshold and a != b:
+                            parent[a] = b
+                            out.append((*sorted((bytes(x.key[k]), bytes(right.key[j]))), v))
+            if out:
+                yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*out), (pa.binary(), pa.binary(), pa.float64()))],
+                                                 names=["a", "b", "similarity"])
+
+    return _by_block(rows).mapInArrow(run, "a BINARY, b BINARY, similarity DOUBLE")
+
+
 def not_ruled_out(pairs: DataFrame, texts: DataFrame, s: Settings) -> DataFrame:
     """The pairs whose samples agree often enough."""
     sketches = texts.select("_key", "_sketch")
@@ -321,10 +495,22 @@ def _verified(pairs: DataFrame, texts: DataFrame, docs: DataFrame, weights: np.n
     """Links among ``pairs`` of keys, whose texts are looked up in ``docs``."""
     pairs = stored(pairs, "dedup-pairs")
     asked = pairs.select(F.col("a").alias("_key")).unionByName(pairs.select(F.col("b").alias("_key"))).distinct()
+    return stored(links(pairs, _held(asked, texts, docs), weights, s), "dedup-links")
+
+
+def _held(asked: DataFrame, texts: DataFrame, docs: DataFrame) -> DataFrame:
+    """``_key, _text`` of the keys in ``asked``."""
     wanted = texts.select("_key", F.col("_h").alias("_w")).join(asked, "_key")
-    held = (docs.select("_text", F.xxhash64("_text").alias("_w")).join(wanted, "_w")
-            .groupBy("_key").agg(F.first("_text").alias("_text")))
-    return stored(links(pairs, stored(held, "dedup-held"), weights, s), "dedup-links")
+    return stored(docs.select("_text", F.xxhash64("_text").alias("_w")).join(wanted, "_w")
+                  .groupBy("_key").agg(F.first("_text").alias("_text")), "dedup-held")
+
+
+def _finished(found: DataFrame, members: DataFrame, texts: DataFrame, docs: DataFrame, weights: np.ndarray, s: Settings) -> DataFrame:
+    """Links between the classes that ``found`` makes, from all pairs of all buckets that hold several classes."""
+    rows = stored(open_blocks(members, texts, components(found), s), "dedup-blocks")
+    chosen = stored(block_candidates(rows, s), "dedup-chosen")
+    held = _held(chosen.select("_key").distinct(), texts, docs)
+    return stored(block_links(rows.join(chosen, [*_BLOCK_KEYS, "side", "_key"]).join(held, "_key"), weights, s), "dedup-links")
 
 
 def _classified(docs: DataFrame, s: Settings) -> DataFrame:
@@ -338,6 +524,8 @@ def _classified(docs: DataFrame, s: Settings) -> DataFrame:
     central = _verified(not_ruled_out(central_pairs(members), texts, s), texts, docs, weights, s)
     rest = _verified(remaining_pairs(members, texts, components(central), s), texts, docs, weights, s)
     found = central.unionByName(rest)
+    last = _finished(found, members, texts, docs, weights, s)
+    found = found.unionByName(last.groupBy("a", "b").agg(F.max("similarity").alias("similarity")))
     roots = components(found)
     count = (found.select(F.col("a").alias("_key")).unionByName(found.select(F.col("b").alias("_key")))
              .groupBy("_key").agg(F.count("*").alias("n")))
