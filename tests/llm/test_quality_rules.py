@@ -54,6 +54,16 @@ def test_estimate_ignores_a_far_fifth(spark):
     assert sum(far) in range(300, 310)
 
 
+def test_floors_let_a_tight_group_reject(spark):
+    rng = np.random.default_rng(2)
+    rows = rng.normal(size=(300, 6)) * 0.01 + 1
+    rows[0, 2] += 0.29  # a share of symbols that only junk has
+    rows[1, 2] += 0.12
+    x = _numbers(spark, rows)
+    d2 = rules._with_distance(x.join(rules.estimates(x), "_g")).select("x2", "d2", "scale").collect()
+    assert [round(r.x2, 1) for r in d2 if r.d2 > rules.chi_square(0.999) * r.scale] == [1.3]
+
+
 @pytest.mark.parametrize("p, k, value", [(0.5, 6, 5.348), (0.975, 6, 14.449), (0.999, 6, 22.458)])
 def test_chi_square(p, k, value):
     assert rules.chi_square(p, k) == pytest.approx(value, rel=0.01)

@@ -34,7 +34,7 @@ LOUD = "ABCDEFGHIJKLMNOPQRSTUVWXYZ!"
 COUNTS = ["n_words", "word_chars", "n_symbols", "n_loud", "n_dup_lines", "n_repeat_words"]
 WINDOW = 8
 # Differences below these are immaterial, whatever the spread of a group: they are added to its variances.
-FLOORS = [0.5, 0.08, 0.07, 0.1, 0.06, 0.06]
+FLOORS = [0.35, 0.056, 0.049, 0.07, 0.042, 0.042]
 DIMENSIONS = len(FLOORS)
 _P = range(DIMENSIONS)
 _BINS_PER_OCTAVE = 8
