@@ -89,3 +89,12 @@ def test_judge(spark):
     assert rules.judge(df.limit(0)).count() == 0
     few = rules.judge(df.filter("doc_id < 20"), min_rows=50).collect()
     assert all(r.distance is None and r.kept == (not r.base_failed) for r in few)
+
+
+def test_small_groups_are_estimated(spark):
+    rng = random.Random(8)
+    docs = [(i, _document(rng), "en", f"s{i % 3}") for i in range(90)]
+    junk = [(1000 + i, " ".join(w + "###" for w in _document(rng).split()), "en", f"s{i}") for i in range(3)]
+    out = rules.judge(spark.createDataFrame(docs + junk, "doc_id LONG, text STRING, lang STRING, source STRING")).collect()
+    assert all(r.distance is not None for r in out)
+    assert {r.doc_id for r in out if not r.kept and not r.base_failed} == {1000, 1001, 1002}

@@ -9,8 +9,9 @@ bin of its distance and adds up moments by group and bin, combined in the tasks
 group may hold any share of the rows; the nearest bins that together hold ``share`` of the group make the
 next estimate. Whichever start ends with the smaller determinant is taken, and reweighted once.
 
-Groups of fewer than ``min_rows`` documents are judged together with the other small groups of their
-language, or of all languages; if even these are fewer, by the plain rules alone. Null languages and
+Every group is estimated, however small: its centre and covariance are those of its own rows together with
+``prior`` rows of its language, whose estimate is shrunk towards that of all rows in the same way, so no verdict
+switches at a size. Null languages and
 sources are groups of their own. A null text has no words and fails the plain rules. Rows are judged one
 by one, so repeated rows get the same verdict; an empty table gives an empty table. Columns named like an
 output are replaced, all others pass through.
@@ -127,6 +128,11 @@ def _factored(df: DataFrame, keys: list[str]) -> DataFrame:
     df = df.select(*keys, *(((F.col(f"s{i}") / F.col("n"))).alias(f"m{i}") for i in _P),
                    *((F.col(f"s{i}_{j}") / F.col("n") - F.col(f"s{i}") * F.col(f"s{j}") / F.col("n") / F.col("n")
                       + (FLOORS[i] ** 2 if i == j else 0)).alias(f"c{i}_{j}") for i in _P for j in range(i + 1)))
+    return _cholesky(df, keys)
+
+
+def _cholesky(df: DataFrame, keys: list[str]) -> DataFrame:
+    """Centre and Cholesky factor from centre and covariance."""
     for j in _P:
         def rest(i, j=j):
             out = F.col(f"c{i}_{j}")
@@ -198,37 +204,64 @@ def _scaled(x: DataFrame, estimate: DataFrame, cut: float | None) -> DataFrame:
     return _factored(inner.groupBy("_g").agg(*_added(_SUMS)), ["_g"])
 
 
-def _groups(x: DataFrame, keys: list[str], min_rows: int) -> DataFrame:
-    """Group number of each combination of ``keys``; too small ones share a number or have none."""
+def _groups(x: DataFrame, keys: list[str]) -> DataFrame:
+    """Rows ``n``, number ``_g`` and language's number ``_up`` of each combination of ``keys``."""
     n = x.groupBy(*keys).agg(F.count("*").alias("n"))
-    first = keys[0]
-    small = n.filter(F.col("n") < min_rows).groupBy(first).agg(F.sum("n").alias("pool")).withColumnRenamed(first, "_first")
-    rest = small.filter(F.col("pool") < min_rows).agg(F.sum("pool")).first()[0] or 0
-    return (n.join(small, F.col(first).eqNullSafe(F.col("_first")), "left")
-            .select(*(F.col(k).alias(f"_{k}") for k in keys),
-                    F.when(F.col("n") >= min_rows, F.xxhash64(F.lit(2), *keys, *(F.col(k).isNull() for k in keys)))
-                    .when(F.col("pool") >= min_rows, F.xxhash64(F.lit(1), first, F.col(first).isNull()))
-                    .when(F.lit(rest >= min_rows), F.xxhash64(F.lit(0))).alias("_g")))
+    return n.select(*(F.col(k).alias(f"_{k}") for k in keys), "n",
+                    F.xxhash64(F.lit(2), *keys, *(F.col(k).isNull() for k in keys)).alias("_g"),
+                    F.xxhash64(F.lit(1), keys[0], F.col(keys[0]).isNull()).alias("_up"))
+
+
+def _covariances(found: DataFrame) -> DataFrame:
+    """``_g``, centre and covariance, with the scale of the distances in it."""
+    return found.select("_g", *(f"m{i}" for i in _P), *(
+        (F.col("scale") * sum((F.col(f"l{i}_{k}") * F.col(f"l{j}_{k}") for k in range(j + 1)), F.lit(0.0))).alias(f"c{i}_{j}")
+        for i in _P for j in range(i + 1)))
+
+
+def _shrunk(own: DataFrame, above: DataFrame, prior: int) -> DataFrame:
+    """Moments of the ``n`` rows of a group and ``prior`` rows of the group ``_up``, from the estimates of both."""
+    names = [*(f"m{i}" for i in _P), *(f"c{i}_{j}" for i in _P for j in range(i + 1))]
+    up = above.select(F.col("_g").alias("_up"), *(F.col(c).alias(f"u{c}") for c in names))
+    w = F.col("n") / (F.col("n") + prior)
+    apart = [F.col(f"m{i}") - F.col(f"um{i}") for i in _P]
+    return own.join(up, "_up").select("_g", *((w * F.col(f"m{i}") + (1 - w) * F.col(f"um{i}")).alias(f"m{i}") for i in _P), *(
+        (w * F.col(f"c{i}_{j}") + (1 - w) * F.col(f"uc{i}_{j}") + w * (1 - w) * apart[i] * apart[j]).alias(f"c{i}_{j}")
+        for i in _P for j in range(i + 1)))
+
+
+def shrunk_estimates(x: DataFrame, groups: DataFrame, share: float, prior: int) -> DataFrame:
+    """Like ``estimates``, of every group however small: shrunk towards its language's, and that towards that of all rows."""
+    every = F.xxhash64(F.lit(0))
+    levels = x.select(F.explode(F.array("_g", "_up", every)).alias("_g"), *(f"x{i}" for i in _P))
+    raw = stored(_covariances(estimates(levels, share)), "rules-levels")
+    languages = groups.groupBy(F.col("_up").alias("_g")).agg(F.sum("n").alias("n")).withColumn("_up", every)
+    top = raw.filter(F.col("_g") == every)
+    middle = stored(_shrunk(raw.join(languages, "_g"), top, prior), "rules-languages")
+    found = _shrunk(raw.join(groups.select("_g", "_up", "n"), "_g"), middle, prior)
+    return stored(_cholesky(found, ["_g"]).withColumn("scale", F.lit(1.0)), "rules-shrunk")
 
 
 def judge(df: DataFrame, text: str = "text", lang: str = "lang", source: str = "source", keep_text: bool = True,
-          share: float = 0.75, min_rows: int = 200, tail: float = 1e-3) -> DataFrame:
+          share: float = 0.75, min_rows: int = 30, tail: float = 1e-3, prior: int = 100) -> DataFrame:
     """``df`` with the counts, ``base_failed``, ``distance`` and ``kept``.
 
     ``share`` of a group makes its tightest part; a document is rejected where the plain rules fail or
-    its squared distance exceeds the chi-square quantile of ``1 - tail``. ``distance`` is null for documents
-    that have no group of ``min_rows``.
+    its squared distance exceeds the chi-square quantile of ``1 - tail``. A group's own estimate
+    counts as its rows do, its language's as ``prior`` rows. Tables of fewer than ``min_rows`` documents, too few for any
+    estimate, are judged by the plain rules alone, with a null ``distance``.
     """
-    for name in ["base_failed", "distance", "kept", "_g", "_lang", "_source"]:
+    for name in ["base_failed", "distance", "kept", "_g", "_up", "_lang", "_source"]:
         df = drop_column(df, name)
     own = df.columns if keep_text else [c for c in df.columns if c != text]
     counted = counts(df, text, keep_text)
     x = stored(counted.select("*", *(v.alias(f"x{i}") for i, v in enumerate(values()))), "rules-counts")
     keys = x.select(F.col(f"`{lang}`").alias("lang"), F.col(f"`{source}`").alias("source"))
-    groups = stored(_groups(keys, ["lang", "source"], min_rows), "rules-groups")
-    grouped = x.join(groups, x[f"`{lang}`"].eqNullSafe(groups["_lang"])
+    groups = stored(_groups(keys, ["lang", "source"]), "rules-groups")
+    enough = (groups.agg(F.sum("n")).first()[0] or 0) >= min_rows
+    grouped = x.join(groups.drop("n"), x[f"`{lang}`"].eqNullSafe(groups["_lang"])
                      & x[f"`{source}`"].eqNullSafe(groups["_source"]), "left")
-    found = estimates(grouped.select("_g", *(f"x{i}" for i in _P)).filter(F.col("_g").isNotNull()), share)
+    found = shrunk_estimates(grouped.filter(F.lit(enough)).select("_g", "_up", *(f"x{i}" for i in _P)), groups, share, prior)
     judged = _with_distance(grouped.join(found, "_g", "left"))
     far = F.col("d2") > chi_square(1 - tail) * F.col("scale")
     own = [c for c in own if c not in COUNTS]
