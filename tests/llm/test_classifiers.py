@@ -35,6 +35,11 @@ def test_sample_is_bounded_and_takes_whole_groups_that_are_small(spark):
     assert grams.sample(df, None, 300, "k").count() == 300
 
 
+def test_copies_count_once_in_the_sample(spark):
+    df = spark.createDataFrame([("x", f"t{i % 20}") for i in range(30000)], "g STRING, k STRING")
+    assert sorted(r.k for r in grams.sample(df, "g", 50, "k").collect()) == sorted(f"t{i}" for i in range(20))
+
+
 def test_gram_counts():
     data, row = np.frombuffer(b"abcab", np.uint8), np.array([0, 0, 0, 1, 1])
     counts = grams.counted(data, row, 2, (2,), 64)

@@ -22,13 +22,14 @@ def held_out(doc_id: str = "doc_id") -> Column:
 def sample(df: DataFrame, by: str | None, size: int, key: str, most_groups: int = 1000) -> DataFrame:
     """At most ``size`` rows of each value of ``by`` (or of all rows), chosen by a hash of ``key``.
 
+    With ``by``, rows of one value that share ``key`` count as one and give one row.
     Counts, one per group on the driver, set a threshold on the hash in the scan, so hardly more rows than
     these are moved or sorted, however large a group is. Raises if there are more than ``most_groups``.
     """
     if by is None:
         sizes = {None: df.count()}
     else:
-        rows = df.groupBy(by).count().limit(most_groups + 1).collect()
+        rows = df.select(by, F.xxhash64(F.col(f"`{key}`")).alias("_h")).distinct().groupBy(by).count().limit(most_groups + 1).collect()
         if len(rows) > most_groups:
             raise ValueError(f"more than {most_groups} values of '{by}'")
         sizes = {r[0]: r["count"] for r in rows if r[0] is not None}
@@ -40,7 +41,8 @@ def sample(df: DataFrame, by: str | None, size: int, key: str, most_groups: int
         return df.limit(0)
     limit = F.create_map(*(F.lit(x) for pair in limits.items() for x in pair))[F.col(f"`{by}`")]
     order = W.partitionBy(by).orderBy("_h", key)
-    return (hashed.filter(F.col("_h") < limit).withColumn("_k", F.row_number().over(order))
+    once = hashed.filter(F.col("_h") < limit).withColumn("_x", F.xxhash64(F.col(f"`{key}`"))).dropDuplicates([by, "_x"]).drop("_x")
+    return (once.withColumn("_k", F.row_number().over(order))
             .filter(F.col("_k") <= size).drop("_h", "_k"))
 
 
