@@ -9,7 +9,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from turnloom.llm import (
-    bpe, decontamination, grams, language_id, line_dedup, near_dedup, quality_classifier, quality_rules, secret_scan, token_counts, warc)
+    bpe, centroid_clustering, decontamination, grams, html_extraction, language_id, line_dedup, near_dedup, quality_classifier,
+    quality_rules, secret_scan, token_counts, warc, whitening)
 from turnloom.llm.storage import shared_path
 
 BPE_FILE = os.environ.get("TURNLOOM_BPE_FILE", public_tokenizers.path("word_bpe_49k.json"))
@@ -130,6 +131,19 @@ def op9_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
         "problem")
 
 
+def op11_centroid_clustering(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return centroid_clustering.cluster(table(spark, sf_dir, "embeddings").select("vec_id", "embedding"))
+
+
+def op12_html_extraction(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return html_extraction.extract(table(spark, sf_dir, "pages").select("page_id", "url", "html"))
+
+
+def op13_embedding_whitening(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = whitening.whiten(table(spark, sf_dir, "embeddings").select("vec_id", "embedding"))
+    return found.withColumn("deviation", F.expr("try_cast(deviation AS bigint)"))
+
+
 def _either_case(words: str) -> str:
     return "".join(f"[{c.upper()}{c}]" if c.isalpha() else c for c in words)
 
@@ -175,6 +189,41 @@ SELECT page_id, CAST(payload_bytes AS BIGINT) AS payload_bytes,
 FROM hashed JOIN first USING (h)
 """
 
+def _sql_round(last: str, this: str) -> str:
+    return f"""{this}_near AS (
+  SELECT id, row, arg_min(c, (distance, c)) AS c FROM (
+    SELECT x.id, x.row, m.c, sum((x.v - m.v) * (x.v - m.v)) AS distance FROM entries x JOIN {last} m USING (j) GROUP BY ALL)
+  GROUP BY ALL),
+{this}_mean AS (
+  SELECT n.c, x.j, sum(x.v) AS s, count(*) AS k FROM entries x JOIN {this}_near n USING (row) GROUP BY ALL),
+{this} AS (
+  SELECT l.c, l.j, CASE WHEN k IS NULL THEN l.v ELSE (s - ((s % k) + k) % k) // k END AS v
+  FROM {last} l LEFT JOIN {this}_mean USING (c, j))"""
+
+
+SQL_CLUSTERING = f"""
+WITH kept AS (
+  SELECT vec_id AS id, row_number() OVER () AS row, embedding AS e FROM embeddings
+  WHERE len(embedding) = 64 AND len(list_filter(embedding, lambda v: isfinite(v))) = 64),
+entries AS (
+  SELECT id, row, unnest(range(64)) AS j, CAST(floor(64 * CAST(unnest(e) AS DOUBLE)) AS BIGINT) AS v FROM kept),
+first AS (
+  SELECT row, row_number() OVER (ORDER BY sha256('1:' || id)) - 1 AS c FROM kept ORDER BY c LIMIT 16),
+m0 AS (SELECT c, j, CAST(v AS HUGEINT) AS v FROM entries JOIN first USING (row)),
+{_sql_round("m0", "m1")},
+{_sql_round("m1", "m2")},
+{_sql_round("m2", "m3")},
+found AS (
+  SELECT id, row, arg_min(c, (distance, c)) AS c, min(distance) AS distance FROM (
+    SELECT x.id, x.row, m.c, sum((x.v - m.v) * (x.v - m.v)) AS distance FROM entries x JOIN m3 m USING (j) GROUP BY ALL)
+  GROUP BY ALL),
+digests AS (SELECT c, sha256(string_agg(CAST(v AS VARCHAR), ',' ORDER BY j)) AS h FROM m3 GROUP BY c)
+SELECT id AS vec_id, CAST(c AS INTEGER) AS cluster, CAST(distance AS BIGINT) AS distance,
+       CAST(sum(distance) OVER (PARTITION BY c) AS BIGINT) AS cluster_inertia, CAST(sum(distance) OVER () AS BIGINT) AS inertia,
+       h AS centroid_sha256
+FROM found JOIN digests USING (c)
+"""
+
 QUERIES = {
     "op1_bpe": (op1_bpe, None),
     "op2_quality_classifier": (op2_quality_classifier, None),
@@ -186,4 +235,7 @@ QUERIES = {
     "op8_decontamination": (op8_decontamination, None),
     "op9_warc": (op9_warc, SQL_WARC),
     "op10_token_counts": (op10_token_counts, None),
+    "op11_centroid_clustering": (op11_centroid_clustering, SQL_CLUSTERING),
+    "op12_html_extraction": (op12_html_extraction, None),
+    "op13_embedding_whitening": (op13_embedding_whitening, None),
 }
