@@ -1,6 +1,7 @@
 """Near duplicates against all pairs, on planted groups."""
 
 import random
+from collections import Counter
 
 import numpy as np
 import pyarrow as pa
@@ -60,6 +61,8 @@ def test_classes_are_those_of_all_pairs(spark, docs):
     df = spark.createDataFrame(docs, "doc_id LONG, text STRING").repartition(4)
     got = {r.doc_id: r.class_id for r in nd.classes(df, settings=S).collect()}
     assert got == plain_classes(docs, nd.shingle_weights(df.select("text"), "text", S))
+    sizes = {r.class_id: r.class_size for r in nd.classes(df, settings=nd.Settings(cells=1 << 14, estimate=0.0, block=16)).collect()}
+    assert sizes == dict(Counter(got.values()))  # the same classes where every candidate is verified, in small blocks
     kept = [r.doc_id for r in nd.keep_first(df, settings=S).collect()]
     assert sorted(kept) == sorted({c for c in got.values()})
 

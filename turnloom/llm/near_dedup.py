@@ -11,11 +11,9 @@ texts. Texts linked by ``threshold`` or more, directly or over others, form a cl
 * Document frequencies are counted in ``cells`` hashed cells over all documents. A cell also counts other
   shingles that fall into it. Shingles in less than ``rare`` of the documents weigh the same, so the shingles
   of a few copies weigh as much as those that their edits made.
-* First every text of a bucket is a candidate with the bucket's most connected text, the one whose buckets are
-  largest: the original of many copies is more connected than a copy. Then buckets are dealt into parts of
-  about ``part`` texts by a hash, and the pairs of a part that the first links do not join yet are candidates
-  too. With the repetition over all bands this joins most of a large group without making all its pairs.
-* Last, buckets of several parts whose texts are not all in one class are compared whole: every text outside the
+* First every text is a candidate with one centre, the most connected text that it shares a bucket with: the
+  original of many copies is more connected than a copy. This joins most of a large group with a pair a text.
+* Then buckets whose texts are not all in one class are compared whole: every text outside the
   bucket's largest class with every text of another class, in blocks of ``block`` by ``block`` texts inside tasks.
   A block gives only links that join two classes, so what leaves the tasks does not grow with the pairs.
 * Classes come from repeated joins over the verified links; nothing is gathered on the driver.
@@ -56,9 +54,8 @@ class Settings:
     idf_weight: float = 0.5
     rare: float = 0.001
     cells: int = 1 << 20
-    part: int = 24
     block: int = 1024
-    #: Candidates whose samples agree in a smaller share are not verified: four standard errors below.
+    #: Candidates whose samples agree in a smaller share are not verified: four standard errors below; 0 verifies all.
     estimate: float = 0.6
 
 
@@ -208,50 +205,17 @@ def buckets(texts: DataFrame, s: Settings) -> DataFrame:
 
 
 def central_pairs(members: DataFrame) -> DataFrame:
-    """``a, b``: every member of a bucket with the bucket's most connected text, the one whose buckets are largest."""
+    """``a, b``: every text with one centre, the most connected text of all its buckets; at most a pair a text.
+
+    Most connected is the text whose buckets are largest: the original of many copies rather than a copy.
+    """
     reach = members.groupBy("_key").agg(F.sum("m").alias("reach"))
-    centres = (members.join(reach, "_key").groupBy("band", "h")
-               .agg(F.max(F.struct("reach", "_key")).alias("c")).select("band", "h", F.col("c._key").alias("c")))
-    return (members.join(stored(centres, "dedup-centres"), ["band", "h"]).filter("_key <> c")
+    centres = members.join(reach, "_key").groupBy("band", "h").agg(F.max(F.struct("reach", "_key")).alias("c"))
+    return (members.join(centres, ["band", "h"]).groupBy("_key").agg(F.max("c").alias("c"))
+            .select("_key", F.col("c._key").alias("c")).filter("_key <> c")
             .select(F.least("_key", "c").alias("a"), F.greatest("_key", "c").alias("b")).distinct())
 
 
-def remaining_pairs(members: DataFrame, texts: DataFrame, roots: DataFrame, s: Settings) -> DataFrame:
-    """``a, b``: pairs of one part of a bucket that are not in one class yet and whose samples agree often enough."""
-    part = F.pmod(F.xxhash64("_key", "band"), F.ceil(F.col("m") / s.part)).cast("int")
-    rooted = (members.withColumn("part", part).join(roots, "_key", "left")
-              .select("band", "h", "part", "_key", F.coalesce("_root", "_key").alias("root")))
-    # Only parts with two classes or more have anything left to compare.
-    open_ = (rooted.groupBy("band", "h", "part").agg(F.min("root").alias("x"), F.max("root").alias("y"))
-             .filter("x <> y").select("band", "h", "part"))
-    parts = (rooted.join(open_, ["band", "h", "part"]).join(texts.select("_key", "_sketch"), "_key")
-             .groupBy("band", "h", "part").agg(F.collect_list(F.struct("_key", "root", "_sketch")).alias("p")))
-
-    def compared(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            rows = batch.column(0)
-            flat = rows.flatten()
-            if not len(flat):
-                continue
-            keys, sketch = flat.field(0), np.frombuffer(b"".join(flat.field(2).to_pylist()), np.uint8).reshape(len(flat), -1)
-            root = np.unique(np.array(flat.field(1).to_pylist(), dtype="V16"), return_inverse=True)[1]
-            ends = np.cumsum(pa.compute.list_value_length(rows).to_numpy())
-            left, right = [], []
-            for start, end in zip([0, *ends[:-1]], ends):  # a part has some two dozen texts
-                i, j = np.triu_indices(end - start, 1)
-                i, j = i + start, j + start
-                differ = root[i] != root[j]
-                i, j = i[differ], j[differ]
-                close = (sketch[i] == sketch[j]).mean(axis=1) >= s.estimate
-                left.append(i[close])
-                right.append(j[close])
-            x, y = (keys.take(pa.array(np.concatenate(v))) for v in (left, right))
-            yield pa.RecordBatch.from_arrays([x, y], names=["x", "y"])
-
-    pairs = parts.select("p").mapInArrow(compared, "x BINARY, y BINARY")
-    return pairs.select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b")).distinct()
-
-
 _BLOCK_KEYS = ["band", "h", "q", "p"]
 
 
@@ -259,9 +223,9 @@ def open_blocks(members: DataFrame, texts: DataFrame, roots: DataFrame, s: Setti
     """Rows of the blocks that compare buckets of several classes: ``_BLOCK_KEYS, side, stray, _key, root, …``.
 
     Side 0 has the strays, the texts outside the bucket's largest class, in parts ``q``; side 1 has all texts, in
-    parts ``p``. Buckets of one part of ``remaining_pairs`` have been compared there.
+    parts ``p``.
     """
-    rooted = (members.filter(F.col("m") > s.part).join(roots, "_key", "left")
+    rooted = (members.join(roots, "_key", "left")
               .select("band", "h", "m", "_key", F.coalesce("_root", "_key").alias("root")))
     largest = (rooted.groupBy("band", "h", "root").agg(F.count("*").alias("n")).groupBy("band", "h")
                .agg(F.max(F.struct("n", "root")).alias("x"), F.sum("n").alias("all"))
@@ -284,9 +248,9 @@ def open_blocks(members: DataFrame, texts: DataFrame, roots: DataFrame, s: Setti
 
 
 def _by_block(rows: DataFrame) -> DataFrame:
-    """``rows`` dealt and sorted so that each block comes in one task, its strays first."""
+    """``rows`` dealt and sorted so that each block comes in one task, its strays first, in the same order always."""
     n = int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    return rows.repartition(n, *_BLOCK_KEYS).sortWithinPartitions(*_BLOCK_KEYS, "side")
+    return rows.repartition(n, *_BLOCK_KEYS).sortWithinPartitions(*_BLOCK_KEYS, "side", "_key")
 
 
 def _runs(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[tuple, int, pa.RecordBatch]]:
@@ -493,7 +457,6 @@ def components(edges: DataFrame) -> DataFrame:
 
 def _verified(pairs: DataFrame, texts: DataFrame, docs: DataFrame, weights: np.ndarray, s: Settings) -> DataFrame:
     """Links among ``pairs`` of keys, whose texts are looked up in ``docs``."""
-    pairs = stored(pairs, "dedup-pairs")
     asked = pairs.select(F.col("a").alias("_key")).unionByName(pairs.select(F.col("b").alias("_key"))).distinct()
     return stored(links(pairs, _held(asked, texts, docs), weights, s), "dedup-links")
 
@@ -514,29 +477,24 @@ def _finished(found: DataFrame, members: DataFrame, texts: DataFrame, docs: Data
 
 
 def _classified(docs: DataFrame, s: Settings) -> DataFrame:
-    """``_id, _h, class_id, n_links`` of each row of ``docs(_id, _text)``; ``_h`` is the text's hash."""
+    """``_id, _h, class_id, class_size`` of each row of ``docs(_id, _text)``; ``_h`` is the text's hash."""
     weights = shingle_weights(docs, "_text", s)
     signed = stored(signatures(docs.withColumn("_h", F.xxhash64("_text")), "_text", weights, s), "dedup-signatures")
     # Equal sets may differ in punctuation: one of their texts stands for all, the one with the smallest hash.
     texts = stored(signed.filter(F.col("_key").isNotNull()).groupBy("_key").agg(
         F.min("_h").alias("_h"), F.first("_bands").alias("_bands"), F.first("_sketch").alias("_sketch")), "dedup-texts")
     members = stored(buckets(texts, s), "dedup-buckets")
-    central = _verified(not_ruled_out(central_pairs(members), texts, s), texts, docs, weights, s)
-    rest = _verified(remaining_pairs(members, texts, components(central), s), texts, docs, weights, s)
-    found = central.unionByName(rest)
-    last = _finished(found, members, texts, docs, weights, s)
-    found = found.unionByName(last.groupBy("a", "b").agg(F.max("similarity").alias("similarity")))
-    roots = components(found)
-    count = (found.select(F.col("a").alias("_key")).unionByName(found.select(F.col("b").alias("_key")))
-             .groupBy("_key").agg(F.count("*").alias("n")))
-    known = texts.select("_key").join(roots, "_key", "left").join(count, "_key", "left").select(
-        "_key", F.coalesce("_root", "_key").alias("_root"), F.coalesce("n", F.lit(0)).cast("long").alias("n"))
-    smallest = (signed.filter(F.col("_key").isNotNull()).groupBy("_key").agg(F.min("_id").alias("i")).join(known, "_key"))
-    of_class = smallest.groupBy("_root").agg(F.min("i").alias("class_id"))
-    by_key = stored(smallest.join(of_class, "_root").select("_key", "class_id", "n"), "dedup-classes")
+    pairs = stored(not_ruled_out(central_pairs(members), texts, s), "dedup-pairs")
+    central = _verified(pairs, texts, docs, weights, s)
+    roots = components(central.unionByName(_finished(central, members, texts, docs, weights, s)))
+    known = texts.select("_key").join(roots, "_key", "left").select("_key", F.coalesce("_root", "_key").alias("_root"))
+    smallest = (signed.filter(F.col("_key").isNotNull()).groupBy("_key")
+                .agg(F.min("_id").alias("i"), F.count("*").alias("n")).join(known, "_key"))
+    of_class = smallest.groupBy("_root").agg(F.min("i").alias("class_id"), F.sum("n").alias("n"))
+    by_key = stored(smallest.select("_key", "_root").join(of_class, "_root").select("_key", "class_id", "n"), "dedup-classes")
     return signed.select("_id", "_h", "_key").join(by_key, "_key", "left").select(
         "_id", "_h", F.when(F.col("_key").isNull(), F.col("_id")).otherwise(F.col("class_id")).alias("class_id"),
-        F.coalesce("n", F.lit(0).cast("long")).alias("n_links"))
+        F.coalesce("n", F.lit(1).cast("long")).alias("class_size"))
 
 
 def _narrow(docs: DataFrame, text: str, doc_id: str) -> DataFrame:
@@ -544,13 +502,13 @@ def _narrow(docs: DataFrame, text: str, doc_id: str) -> DataFrame:
 
 
 def classes(docs: DataFrame, text: str = "text", doc_id: str = "doc_id", settings: Settings = Settings()) -> DataFrame:
-    """``doc_id, class_id, n_links, first``: a row per row of ``docs``.
+    """``doc_id, class_id, class_size, first``: a row per row of ``docs``.
 
-    ``class_id`` is the smallest id of the class, ``n_links`` the number of other texts this text was found to be
-    linked with while the classes were made, and ``first`` says whether this row's id is the class id.
+    ``class_id`` is the smallest id of the class, ``class_size`` its number of rows, and ``first`` says whether this
+    row's id is the class id.
     """
     return _classified(_narrow(docs, text, doc_id), settings).select(
-        F.col("_id").alias(doc_id), "class_id", "n_links", F.col("_id").eqNullSafe(F.col("class_id")).alias("first"))
+        F.col("_id").alias(doc_id), "class_id", "class_size", F.col("_id").eqNullSafe(F.col("class_id")).alias("first"))
 
 
 def keep_first(docs: DataFrame, text: str = "text", doc_id: str = "doc_id", settings: Settings = Settings()) -> DataFrame:
