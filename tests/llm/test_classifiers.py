@@ -105,3 +105,16 @@ def test_equal_texts_get_equal_vectors_in_any_batch():
     for features in (language_id.features, quality_classifier.features):
         x, y = (np.concatenate([v for *_, v in grams.vectors(c, features)]) for c in (a, b))
         assert np.array_equal(x, y[1:])
+
+
+def test_samples_of_many_groups_and_hot_ones(spark, monkeypatch):
+    rows = [(f"g{i}", f"text {i}") for i in range(1500)] + [("hot", f"hot {i}") for i in range(3000)] + [("hot", "same")] * 500
+    rows += [(None, "x"), ("nul", None)]
+    df = spark.createDataFrame(rows, "lang STRING, text STRING").repartition(3)
+    found = []
+    for sent in (grams.SENT, 0):  # thresholds sent to the tasks, or joined by salted keys
+        monkeypatch.setattr(grams, "SENT", sent)
+        out = grams.sample(df, "lang", 10, "text")
+        assert out.columns == ["lang", "text"]
+        found.append(sorted(map(tuple, out.collect()), key=repr))
+    assert found[0] == found[1] and len(found[0]) == 1500 + 10 + 1

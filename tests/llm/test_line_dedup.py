@@ -19,11 +19,11 @@ def plain(docs, min_docs=5):
     for n, (i, text) in enumerate(docs):
         for k in {key(line) for line in (text or "").split("\n")}:
             if len(k) >= 40:
-                held.setdefault(k, []).append((i is not None, i or 0))
+                held.setdefault(k, set()).add((i is not None, i or 0))
     out = []
     for i, text in docs:
         lines = (text or "").split("\n")
-        kept = [x for x in lines if len(held.get(key(x), [])) < min_docs or max(held[key(x)]) == (i is not None, i or 0)]
+        kept = [x for x in lines if len(held.get(key(x), ())) < min_docs or max(held[key(x)]) == (i is not None, i or 0)]
         out.append((i, len(lines), len(lines) - len(kept), "\n".join(kept)))
     return sorted(out, key=repr)
 
@@ -46,8 +46,18 @@ def test_against_plain(spark):
 def test_clashing_columns_and_empty_table(spark):
     df = spark.createDataFrame([(1, "a", "x", 2)], "doc_id LONG, text STRING, _a STRING, n_lines INT")
     out = line_dedup.dedup_lines(df, out="text")
-    assert set(out.columns) == {"doc_id", "text", "n_lines", "n_dropped"} and out.first().n_lines == 1
-    assert line_dedup.dedup_lines(df.limit(0)).count() == 0
+    assert set(out.columns) == {"doc_id", "text", "_a", "n_lines", "n_dropped"} and out.first().n_lines == 1
+    rows = [(i, LONG[0], i + 10, i + 20, i + 30, i + 40, i + 50) for i in range(6)]
+    df = spark.createDataFrame(rows, "_id LONG, text STRING, _a INT, _b INT, _k INT, _drop INT, row INT")
+    out = line_dedup.dedup_lines(df, doc_id="_id")
+    assert out.columns == [*df.columns, "n_lines", "n_dropped", "kept_text"]
+    assert line_dedup.dedup_lines(df.limit(0), doc_id="_id").count() == 0
+    assert sorted(tuple(r)[:7] for r in out.collect()) == rows and sum(r.n_dropped for r in out.collect()) == 5
+
+
+def test_rows_with_one_id_are_one_document(spark):
+    rows = [(1, LONG[0])] * 4 + [(2, LONG[0])]
+    assert {r.n_dropped for r in line_dedup.dedup_lines(spark.createDataFrame(rows, "doc_id LONG, text STRING")).collect()} == {0}
 
 
 @pytest.mark.parametrize("line", [LONG[0], "  ÄÖÜ " + LONG[1].upper() + "\r", "x" * 39, "\x0b" + "é" * 40])

@@ -125,3 +125,20 @@ def test_copies_of_copies_in_a_large_group(spark):
     got = {r.doc_id: r.class_id for r in nd.classes(df, settings=nd.Settings(cells=1 << 14, block=300)).collect()}
     assert 10 < len(least) < 1900
     assert got == {i: least[root(i)] for i in range(len(docs))}
+
+
+def test_clashing_columns(spark):
+    text = "some words that are the same in every one of these rows"
+    df = spark.createDataFrame([(1, text, 1, 2, 3, 4), (2, text + "!", 5, 6, 7, 8), (2, text + "!", 9, 6, 7, 8), (3, None, 9, 9, 9, 9)],
+                               "_id LONG, text STRING, _dh INT, _rid INT, _rh INT, row INT")
+    kept = nd.keep_first(df, doc_id="_id", settings=S)
+    assert kept.columns == df.columns
+    assert sorted((r._id, r._dh, r._rid, r._rh, r.row) for r in kept.collect()) == [(1, 1, 2, 3, 4), (3, 9, 9, 9, 9)]
+
+
+def test_words_of_any_script():
+    def count(text):
+        return len(nd.words(pa.array([text])).hash)
+
+    assert [count(t) for t in ("a b", "a b", "“a” – b…", "北京市", "北京a1市", "กำ", "naïve café", "한국어 말", "x́y", "", "¿qué?", "🙂 a", "ab東c")] == [
+        2, 2, 2, 3, 4, 2, 2, 2, 1, 0, 1, 1, 3]

@@ -224,13 +224,10 @@ class Encoder:
         found = self.cache.get(word)
         if found is None:
             data = word.encode("utf-8", "replace")
-            t = self.t
-            if len(data) > LONG_WORD:
-                run = Transducer(t)
-                return (*run.push(data), *run.finish())
-            ids = [t.inner[b] for b in data]
-            ids[-1] = t.last[data[-1]]
-            found = tuple(merged(ids, t.rank, t.result))
+            run = Transducer(self.t)
+            found = (*run.push(data), *run.finish())
+            if len(data) > LONG_WORD:  # not worth a place in the cache
+                return found
             if len(self.cache) >= CACHED_WORDS:
                 self.cache.clear()
             self.cache[word] = found

@@ -8,9 +8,12 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
+from turnloom.llm.storage import stored
 from turnloom.llm.words import blocks, text_bytes
 
 SCALE = 1 << 30
+SENT = 50_000
+SALTS = 64
 
 
 def held_out(doc_id: str = "doc_id") -> Column:
@@ -19,31 +22,31 @@ def held_out(doc_id: str = "doc_id") -> Column:
     return F.coalesce(crc % 4 == 2, F.lit(False))
 
 
-def sample(df: DataFrame, by: str | None, size: int, key: str, most_groups: int = 1000) -> DataFrame:
+def sample(df: DataFrame, by: str | None, size: int, key: str) -> DataFrame:
     """At most ``size`` rows of each value of ``by`` (or of all rows), chosen by a hash of ``key``.
 
-    With ``by``, rows of one value that share ``key`` count as one and give one row.
-    Counts, one per group on the driver, set a threshold on the hash in the scan, so hardly more rows than
-    these are moved or sorted, however large a group is. Raises if there are more than ``most_groups``.
+    With ``by``, rows of one value that share ``key`` count as one and give one row. Counts set a threshold on the
+    hash, so hardly more rows than these are moved or sorted, however large a group is. Thresholds are sent
+    to the tasks as long as there are at most ``SENT``; otherwise rows of a value are dealt over ``SALTS`` keys.
     """
-    if by is None:
-        sizes = {None: df.count()}
-    else:
-        rows = df.select(by, F.xxhash64(F.col(f"`{key}`")).alias("_h")).distinct().groupBy(by).count().limit(most_groups + 1).collect()
-        if len(rows) > most_groups:
-            raise ValueError(f"more than {most_groups} values of '{by}'")
-        sizes = {r[0]: r["count"] for r in rows if r[0] is not None}
-    limits = {g: int(SCALE * min(1.0, (1.3 * size + 20) / max(n, 1))) for g, n in sizes.items()}
+    def threshold(n):
+        return F.least(F.lit(1.0), F.lit(1.3 * size + 20) / F.greatest(n, F.lit(1))) * SCALE
+
     hashed = df.withColumn("_h", F.pmod(F.xxhash64(F.col(f"`{key}`")), F.lit(SCALE)))
     if by is None:
-        return hashed.filter(F.col("_h") < limits[None]).orderBy("_h", key).limit(size).drop("_h")
-    if not limits:
-        return df.limit(0)
-    limit = F.create_map(*(F.lit(x) for pair in limits.items() for x in pair))[F.col(f"`{by}`")]
-    order = W.partitionBy(by).orderBy("_h", key)
-    once = hashed.filter(F.col("_h") < limit).withColumn("_x", F.xxhash64(F.col(f"`{key}`"))).dropDuplicates([by, "_x"]).drop("_x")
-    return (once.withColumn("_k", F.row_number().over(order))
-            .filter(F.col("_k") <= size).drop("_h", "_k"))
+        return hashed.filter(F.col("_h") < threshold(F.lit(df.count()))).orderBy("_h", key).limit(size).drop("_h")
+    counts = (df.select(F.col(f"`{by}`").alias("_by"), F.xxhash64(F.col(f"`{key}`")).alias("_x")).filter("_by IS NOT NULL").distinct()
+              .groupBy("_by").agg(F.count("*").alias("n")))
+    limits = stored(counts.select("_by", threshold(F.col("n")).cast("long").alias("_limit")), "sample-limits")
+    if limits.count() <= SENT:
+        near = hashed.join(F.broadcast(limits), hashed[f"`{by}`"] == limits["_by"])
+    else:
+        salted = hashed.withColumn("_salt", F.pmod(F.col("_h"), F.lit(SALTS)).cast("int"))
+        every = limits.withColumn("_salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1)))).withColumnRenamed("_salt", "_of")
+        near = salted.join(every, (salted[f"`{by}`"] == every["_by"]) & (salted["_salt"] == every["_of"])).drop("_salt", "_of")
+    near = near.filter(F.col("_h") < F.col("_limit")).withColumn("_x", F.xxhash64(F.col(f"`{key}`")))
+    once = near.dropDuplicates([by, "_x"]).withColumn("_k", F.row_number().over(W.partitionBy(by).orderBy("_h", key)))
+    return once.filter(F.col("_k") <= size).drop("_h", "_k", "_x", "_by", "_limit")
 
 
 def counted(data: np.ndarray, row: np.ndarray, n: int, sizes: tuple[int, ...], width: int) -> np.ndarray:

@@ -19,6 +19,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import StringType, StructField, StructType
 
 from turnloom.llm import html_tree
+from turnloom.llm.rows import Carried
 
 # Names that say what an element is.
 DROPPED_TAGS = frozenset(
@@ -192,10 +193,8 @@ def extract(pages: DataFrame, html_col: str = "html", out: str = "text", size: s
     case of letters) are replaced; all others pass through, whatever their names. Rows are neither joined nor split,
     and a task holds a hundred pages at a time.
     """
-    replaced = {out.lower(), size.lower()}
-    keep = [c for c in pages.columns if c != html_col and c.lower() not in replaced]
-    fields = [F.col(f"`{c}`").alias(f"c{i}") for i, c in enumerate(keep)]
-    packed = pages.select(F.struct(*fields, F.lit(0).alias("last")).alias("row"), F.col(f"`{html_col}`").cast("string").alias("html"))
+    own = Carried(pages, [html_col, out, size])
+    packed = pages.select(own.packed(), F.col(f"`{html_col}`").cast("string").alias("html"))
 
     def read(batches):
         for batch in batches:
@@ -206,4 +205,4 @@ def extract(pages: DataFrame, html_col: str = "html", out: str = "text", size: s
 
     done = packed.mapInArrow(read, StructType([packed.schema["row"], StructField("text", StringType())]))
     return done.select(
-        *(F.col("row")[f"c{i}"].alias(c) for i, c in enumerate(keep)), F.col("text").alias(out), F.length("text").cast("long").alias(size))
+        *own.columns(), F.col("text").alias(out), F.length("text").cast("long").alias(size))

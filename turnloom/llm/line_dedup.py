@@ -14,8 +14,9 @@ document with the largest id among those that hold them.
 The filters have ``bits`` bits each, by default 256 for each document between 2^20 and 2^29 (64 MB). With
 more keys than they can tell apart, more keys are suspected and counted; the result stays the same.
 
-Keys are compared by two 64-bit hashes. A null or empty text is one empty line. Each row counts as one
-document; rows that share the largest id all keep their lines, and a null id is smaller than any other.
+Keys are compared by two 64-bit hashes. A null or empty text is one empty line. Rows with one id are one
+document, those without an id too; rows that share the largest id all keep their lines, and a null id is smaller
+than any other.
 An empty table gives an empty table; other columns pass through, ones named like an output are replaced.
 """
 
@@ -32,7 +33,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from turnloom.llm import bloom
-from turnloom.llm.arrow import drop_column, mapped
+from turnloom.llm.rows import Carried
 from turnloom.llm.storage import stored
 
 SPACES = " \t\n\x0b\x0c\r"
@@ -54,15 +55,13 @@ def dedup_lines(df: DataFrame, text: str = "text", doc_id: str = "doc_id", out:
                 min_chars: int = 40, min_docs: int = 5, bits: int | None = None) -> DataFrame:
     """``df`` with ``n_lines``, ``n_dropped`` and the text that is left, in ``out``."""
     spark = df.sparkSession
-    for name in ["n_lines", "n_dropped", "_a", "_b", "_k", "_id", "_drop"]:
-        df = drop_column(df, name)
-    if out.lower() != text.lower():
-        df = drop_column(df, out)
+    own = Carried(df, ["n_lines", "n_dropped", out])
+    work = df.select(own.packed(), F.col(f"`{doc_id}`").alias("_id"), F.col(f"`{text}`").cast("string").alias("_t"))
     bits = bits or bloom.size_for(df.count(), 256)
-    keyed = _with_keys(df.select(F.col(f"`{doc_id}`").alias("_id"), F.col(f"`{text}`").alias("_t")), "_t", min_chars)
+    keyed = _with_keys(work.select("_id", "_t"), "_t", min_chars)
     keyed = keyed.select("_id", "_a", "_b").filter(F.size("_a") > 0)
     suspected = spark.sparkContext.broadcast(zlib.compress(bloom.build(keyed.select("_a"), bits, True), 1))
-    id_type = df.schema[doc_id].dataType
+    id_type = work.schema["_id"].dataType
 
     def suspects(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         filter_ = None
@@ -79,17 +78,17 @@ def dedup_lines(df: DataFrame, text: str = "text", doc_id: str = "doc_id", out:
     pairs = stored(keyed.mapInArrow(suspects, T.StructType([
         T.StructField("_id", id_type), T.StructField("_a", T.LongType()), T.StructField("_b", T.LongType())])), "lines-suspects")
     # Stored as well, so that the join is dealt out anew and can split a line that very many documents share.
-    repeats = stored(pairs.groupBy("_a", "_b").agg(F.count("*").alias("n"), F.max("_id").alias("_last"))
+    repeats = stored(pairs.groupBy("_a", "_b", "_id").agg(F.lit(1).alias("one")).groupBy("_a", "_b")
+                     .agg(F.count("*").alias("n"), F.max("_id").alias("_last"))
                      .filter(F.col("n") >= min_docs).select("_a", "_b", "_last"), "lines-repeats")
     drops = (pairs.join(repeats, ["_a", "_b"]).filter(~F.col("_id").eqNullSafe(F.col("_last")))
-             .groupBy("_id").agg(F.collect_set("_a").alias("_drop")))
-    own = [c for c in df.columns if c.lower() != out.lower()]
-    joined = df.join(drops, df[f"`{doc_id}`"].eqNullSafe(drops["_id"]), "left").drop("_id")
+             .groupBy("_id").agg(F.collect_set("_a").alias("_drop")).withColumnRenamed("_id", "_of"))
+    joined = work.join(drops, work["_id"].eqNullSafe(drops["_of"]), "left").select("row", "_t", "_drop")
 
     def removed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             kept, n_lines, n_dropped = [], [], []
-            for value, drop in zip(batch.column(text), batch.column("_drop")):
+            for value, drop in zip(batch.column("_t"), batch.column("_drop")):
                 value = value.as_py() or ""
                 lines = n = value.count("\n") + 1
                 if drop.is_valid:
@@ -99,14 +98,14 @@ def dedup_lines(df: DataFrame, text: str = "text", doc_id: str = "doc_id", out:
                 kept.append(value)
                 n_lines.append(lines)
                 n_dropped.append(lines - n)
-            batch = mapped(batch, "n_lines", pa.array(n_lines, pa.int64()), without=("_drop",))
-            batch = mapped(batch, "n_dropped", pa.array(n_dropped, pa.int64()))
-            yield mapped(batch.select([c for c in batch.schema.names if c.lower() != out.lower()]), out, pa.array(kept, pa.string()))
-
-    fields = [df.schema[c] for c in own]
-    return joined.mapInArrow(removed, T.StructType([
-        *fields, T.StructField("n_lines", T.LongType()), T.StructField("n_dropped", T.LongType()),
-        T.StructField(out, T.StringType())]))
+            yield pa.RecordBatch.from_arrays(
+                [batch.column("row"), pa.array(n_lines, pa.int64()), pa.array(n_dropped, pa.int64()), pa.array(kept, pa.string())],
+                names=["row", "n_lines", "n_dropped", "kept"])
+
+    done = joined.mapInArrow(removed, T.StructType([
+        joined.schema["row"], T.StructField("n_lines", T.LongType()), T.StructField("n_dropped", T.LongType()),
+        T.StructField("kept", T.StringType())]))
+    return done.select(*own.columns(), "n_lines", "n_dropped", F.col("kept").alias(out))
 
 
 def _key_hash(line: str, min_chars: int) -> int | None:

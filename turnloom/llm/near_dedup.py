@@ -36,7 +36,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from turnloom.llm.arrow import drop_column, mapped
+from turnloom.llm.arrow import mapped
+from turnloom.llm.rows import Carried
 from turnloom.llm.storage import stored
 from turnloom.llm.words import blocks, mix, words
 
@@ -516,16 +517,16 @@ def keep_first(docs: DataFrame, text: str = "text", doc_id: str = "doc_id", sett
 
     Of rows that repeat both id and text one stays.
     """
-    docs = drop_column(drop_column(docs, "_rid"), "_rh")
+    own = Carried(docs)
     rows = stored(_classified(_narrow(docs, text, doc_id), settings), "dedup-rows")
     counted = rows.groupBy("_id", "_h").agg(
         F.max(F.col("_id").eqNullSafe(F.col("class_id"))).alias("first"), F.count("*").alias("n"))
-    changed = counted.filter(~F.col("first") | (F.col("n") > 1)).withColumnsRenamed({"_id": "_rid", "_h": "_rh"})
-    hashed = docs.withColumn("_dh", F.xxhash64(F.col(f"`{text}`").cast("string")))
-    same = hashed[f"`{doc_id}`"].eqNullSafe(changed["_rid"]) & hashed["_dh"].eqNullSafe(changed["_rh"])
-    once = hashed.join(changed, same, "left_anti")
+    changed = stored(counted.filter(~F.col("first") | (F.col("n") > 1)).withColumnsRenamed({"_id": "_rid", "_h": "_rh"}), "dedup-changed")
+    work = docs.select(own.packed(), F.col(f"`{doc_id}`").alias("_id"), F.xxhash64(F.col(f"`{text}`").cast("string")).alias("_h"))
+    same = work["_id"].eqNullSafe(changed["_rid"]) & work["_h"].eqNullSafe(changed["_rh"])
+    kept = work.join(changed, same, "left_anti")
     again = changed.filter("first")
-    if again.isEmpty():
-        return once.drop("_dh")
-    same = hashed[f"`{doc_id}`"].eqNullSafe(again["_rid"]) & hashed["_dh"].eqNullSafe(again["_rh"])
-    return once.unionByName(hashed.join(again, same, "left_semi").dropDuplicates([doc_id, "_dh"])).drop("_dh")
+    if not again.isEmpty():
+        same = work["_id"].eqNullSafe(again["_rid"]) & work["_h"].eqNullSafe(again["_rh"])
+        kept = kept.unionByName(work.join(again, same, "left_semi").dropDuplicates(["_id", "_h"]))
+    return kept.select(*own.columns())

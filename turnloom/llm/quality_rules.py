@@ -25,7 +25,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
-from turnloom.llm.arrow import drop_column
+from turnloom.llm.rows import Carried
 from turnloom.llm.storage import stored
 
 SPACES = " \t\n\x0b\x0c\r"
@@ -34,11 +34,20 @@ SYMBOLS = "#*$%&|<>"
 LOUD = "ABCDEFGHIJKLMNOPQRSTUVWXYZ!"
 COUNTS = ["n_words", "word_chars", "n_symbols", "n_loud", "n_dup_lines", "n_repeat_words"]
 WINDOW = 8
-# Differences below these are immaterial, whatever the spread of a group: they are added to its variances.
-FLOORS = [0.35, 0.056, 0.049, 0.07, 0.042, 0.042]
+# Values are damped as if so many words and characters of average text were added to each.
+DAMP_WORDS, DAMP_CHARS = 50, 250
+# What the counts of the shortest text that passes the plain rules scatter by chance alone, whatever the spread of a
+# group; added to its variances. A count scatters by its root, so its root by a half and its logarithm by
+# one over its root; the mean length of words by their own relative spread (0.55) over the root of their number;
+# one repeated window more or less, half of the time, is half a window of words.
+SHORTEST = 20
+_WORDS, _CHARS = SHORTEST + DAMP_WORDS, 5 * SHORTEST + DAMP_CHARS
+FLOORS = [SHORTEST ** -0.5, 0.55 * _WORDS ** -0.5, 0.5 * _CHARS ** -0.5, 0.5 * _CHARS ** -0.5, 0.5 * _WORDS ** -0.5, 0.5 * WINDOW / _WORDS]
 DIMENSIONS = len(FLOORS)
 _P = range(DIMENSIONS)
 _BINS_PER_OCTAVE = 8
+SENT = 20_000
+SALTS = 64
 
 
 def _without(text: Column, letters: str) -> Column:
@@ -57,19 +66,21 @@ def counts(df: DataFrame, text: str = "text", keep_text: bool = True) -> DataFra
     Words are runs without spaces. ``n_repeat_words`` counts the words that lie in a window of eight words
     found twice or more in the text; windows are compared by 64-bit hashes.
     """
-    for name in [*COUNTS, "_t", "_w", "_l", "_h", "_8", "_s", "_p"]:
-        df = drop_column(df, name)
-    own = [c for c in df.columns if keep_text or c != text]
-    own = [F.col(f"`{c}`") for c in own]
-    df = df.withColumn("_t", F.coalesce(F.col(f"`{text}`"), F.lit("")))
+    own = Carried(df, [*COUNTS, *([] if keep_text else [text])])
+    return _counted(df.select(own.packed(), F.coalesce(F.col(f"`{text}`").cast("string"), F.lit("")).alias("_t"))).select(
+        *own.columns(), *COUNTS)
+
+
+def _counted(df: DataFrame) -> DataFrame:
+    """The counts of ``_t`` beside ``row``."""
     lines = F.filter(F.split("_t", "\n"), lambda line: F.btrim(line, F.lit(SPACES)) != "")
     df = df.select(
-        *own, _without(F.col("_t"), SPACES).cast("long").alias("word_chars"),
+        "row", _without(F.col("_t"), SPACES).cast("long").alias("word_chars"),
         (F.length("_t") - _without(F.col("_t"), SYMBOLS)).cast("long").alias("n_symbols"),
         (F.length("_t") - _without(F.col("_t"), LOUD)).cast("long").alias("n_loud"),
         F.array_remove(F.split("_t", GAP), "").alias("_w"), lines.alias("_l"))
     df = df.select(
-        *own, "word_chars", "n_symbols", "n_loud", F.size("_w").alias("_n"),
+        "row", "word_chars", "n_symbols", "n_loud", F.size("_w").alias("_n"),
         (F.size("_l") - F.size(F.array_distinct("_l"))).cast("long").alias("n_dup_lines"),
         F.transform("_w", lambda w: F.xxhash64(w)).alias("_h"))
     size, step = F.col("_n"), 1
@@ -83,13 +94,13 @@ def counts(df: DataFrame, text: str = "text", keep_text: bool = True) -> DataFra
     df = df.withColumn("_p", F.sort_array(F.transform(repeated, lambda e: e["i"]))).drop("_s")
     reach = F.transform("_p", lambda p, i: F.least(F.lit(WINDOW), F.coalesce(F.get("_p", i + 1) - p, F.lit(WINDOW))))
     covered = F.coalesce(F.aggregate(reach, F.lit(0), lambda a, b: a + b), F.lit(0))
-    return df.select(*own, F.col("_n").cast("long").alias("n_words"), "word_chars", "n_symbols", "n_loud",
+    return df.select("row", F.col("_n").cast("long").alias("n_words"), "word_chars", "n_symbols", "n_loud",
                      "n_dup_lines", covered.cast("long").alias("n_repeat_words"))
 
 
 def base_failed() -> Column:
     """The plain rules: too few words, or too many of them in repeated windows."""
-    return (F.col("n_words") < 20) | (100 * F.col("n_repeat_words") > 30 * F.col("n_words"))
+    return (F.col("n_words") < SHORTEST) | (100 * F.col("n_repeat_words") > 30 * F.col("n_words"))
 
 
 def values() -> list[Column]:
@@ -97,7 +108,7 @@ def values() -> list[Column]:
 
     Shares are taken over the text and a fixed number of average words, so a short text cannot stray far.
     """
-    words, chars = F.col("n_words") + 50, F.col("word_chars") + 250
+    words, chars = F.col("n_words") + DAMP_WORDS, F.col("word_chars") + DAMP_CHARS
     return [
         F.log1p(F.col("n_words").cast("double")), F.log(chars / words),
         F.sqrt(F.col("n_symbols") / chars), F.sqrt((F.col("n_loud") + 5) / chars),
@@ -156,10 +167,23 @@ def _with_distance(df: DataFrame) -> DataFrame:
     return df.withColumn("d2", d2).drop(*(f"z{i}" for i in _P))
 
 
-def _binned(x: DataFrame, estimates: DataFrame, keys: list[str]) -> DataFrame:
+def _beside(x: DataFrame, estimates: DataFrame, rows: int) -> DataFrame:
+    """Rows with the estimate of their group; ``estimates`` is stored and has ``rows`` rows.
+
+    It is sent to the tasks as long as it has at most ``SENT`` of them (some 300 bytes each). Otherwise rows of a group
+    are dealt over ``SALTS`` keys, as one group may have any share of them.
+    """
+    if rows <= SENT:
+        return x.join(F.broadcast(estimates), "_g")
+    salted = x.withColumn("_salt", F.pmod(F.xxhash64(*(f"x{i}" for i in _P)), F.lit(SALTS)).cast("int"))
+    every = estimates.withColumn("_salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
+    return salted.join(every, ["_g", "_salt"]).drop("_salt")
+
+
+def _binned(x: DataFrame, estimates: DataFrame, rows: int, keys: list[str]) -> DataFrame:
     """Moments by group and bin of distance."""
     near = F.floor(_BINS_PER_OCTAVE * F.log2(F.col("d2") + 1e-3)).cast("int")
-    return (_with_distance(x.join(estimates, "_g")).withColumn("bin", near)
+    return (_with_distance(_beside(x, estimates, rows)).withColumn("bin", near)
             .groupBy(*keys, "bin").agg(*_moments()))
 
 
@@ -177,24 +201,26 @@ def estimates(x: DataFrame, share: float = 0.75, steps: int = 4) -> DataFrame:
           .alias(f"l{i}_{j}") for i in _P for j in range(i + 1)))
     plain = _factored(x.groupBy("_g").agg(*_moments()), ["_g"]).withColumn("start", F.lit(1))
     now = stored(robust.unionByName(plain), "rules-start")
+    rows = now.count()
     keys = ["_g", "start"]
     upto = W.partitionBy(*keys).orderBy("bin")
     for _ in range(steps):
-        bins = (_binned(x, now, keys)
+        bins = (_binned(x, now, rows, keys)
                 .withColumn("before", F.sum("n").over(upto) - F.col("n"))
                 .withColumn("all", F.sum("n").over(W.partitionBy(*keys))))
         inner = bins.filter(F.col("before") < share * F.col("all")).groupBy(*keys).agg(*_added(_SUMS))
         now = stored(_factored(inner, keys), "rules-step")
     spread = sum((F.log(F.col(f"l{i}_{i}")) for i in _P), F.lit(0.0))
     best = now.withColumn("k", F.row_number().over(W.partitionBy("_g").orderBy(spread, "start"))).filter("k = 1")
-    reweighted = _scaled(x, best.select("_g", *_ESTIMATE), chi_square(0.975))
-    return stored(_scaled(x, reweighted, None), "rules-estimate")
+    best = stored(best.select("_g", *_ESTIMATE), "rules-best")
+    reweighted = stored(_scaled(x, best, rows, chi_square(0.975)), "rules-reweighted")
+    return stored(_scaled(x, reweighted, rows, None), "rules-estimate")
 
 
-def _scaled(x: DataFrame, estimate: DataFrame, cut: float | None) -> DataFrame:
+def _scaled(x: DataFrame, estimate: DataFrame, rows: int, cut: float | None) -> DataFrame:
     """Scale of the distances by their median; with ``cut``, the estimate from the rows within it instead."""
     by = W.partitionBy("_g")
-    bins = (_binned(x, estimate, ["_g"])
+    bins = (_binned(x, estimate, rows, ["_g"])
             .withColumn("upto", F.sum("n").over(by.orderBy("bin"))).withColumn("all", F.sum("n").over(by))
             .withColumn("median", F.min(F.when(F.col("upto") >= 0.5 * F.col("all"), _edge(F.col("bin")))).over(by))
             .withColumn("scale", F.greatest(F.lit(1.0), F.col("median") / chi_square(0.5))))
@@ -204,12 +230,10 @@ def _scaled(x: DataFrame, estimate: DataFrame, cut: float | None) -> DataFrame:
     return _factored(inner.groupBy("_g").agg(*_added(_SUMS)), ["_g"])
 
 
-def _groups(x: DataFrame, keys: list[str]) -> DataFrame:
-    """Rows ``n``, number ``_g`` and language's number ``_up`` of each combination of ``keys``."""
-    n = x.groupBy(*keys).agg(F.count("*").alias("n"))
-    return n.select(*(F.col(k).alias(f"_{k}") for k in keys), "n",
-                    F.xxhash64(F.lit(2), *keys, *(F.col(k).isNull() for k in keys)).alias("_g"),
-                    F.xxhash64(F.lit(1), keys[0], F.col(keys[0]).isNull()).alias("_up"))
+def _numbers(lang: Column, source: Column) -> tuple[Column, Column]:
+    """Numbers ``_g`` of the language and source, and ``_up`` of the language; nulls are values of their own."""
+    return (F.xxhash64(F.lit(2), lang, source, lang.isNull(), source.isNull()).alias("_g"),
+            F.xxhash64(F.lit(1), lang, lang.isNull()).alias("_up"))
 
 
 def _covariances(found: DataFrame) -> DataFrame:
@@ -243,29 +267,23 @@ def shrunk_estimates(x: DataFrame, groups: DataFrame, share: float, prior: int)
 
 
 def judge(df: DataFrame, text: str = "text", lang: str = "lang", source: str = "source", keep_text: bool = True,
-          share: float = 0.75, min_rows: int = 30, tail: float = 1e-3, prior: int = 100) -> DataFrame:
+          share: float = 0.75, tail: float = 1e-3, prior: int = 100) -> DataFrame:
     """``df`` with the counts, ``base_failed``, ``distance`` and ``kept``.
 
     ``share`` of a group makes its tightest part; a document is rejected where the plain rules fail or
     its squared distance exceeds the chi-square quantile of ``1 - tail``. A group's own estimate
-    counts as its rows do, its language's as ``prior`` rows. Tables of fewer than ``min_rows`` documents, too few for any
-    estimate, are judged by the plain rules alone, with a null ``distance``.
+    counts as its rows do, its language's as ``prior`` rows, in tables of any size.
     """
-    for name in ["base_failed", "distance", "kept", "_g", "_up", "_lang", "_source"]:
-        df = drop_column(df, name)
-    own = df.columns if keep_text else [c for c in df.columns if c != text]
-    counted = counts(df, text, keep_text)
-    x = stored(counted.select("*", *(v.alias(f"x{i}") for i, v in enumerate(values()))), "rules-counts")
-    keys = x.select(F.col(f"`{lang}`").alias("lang"), F.col(f"`{source}`").alias("source"))
-    groups = stored(_groups(keys, ["lang", "source"]), "rules-groups")
-    enough = (groups.agg(F.sum("n")).first()[0] or 0) >= min_rows
-    grouped = x.join(groups.drop("n"), x[f"`{lang}`"].eqNullSafe(groups["_lang"])
-                     & x[f"`{source}`"].eqNullSafe(groups["_source"]), "left")
-    found = shrunk_estimates(grouped.filter(F.lit(enough)).select("_g", "_up", *(f"x{i}" for i in _P)), groups, share, prior)
-    judged = _with_distance(grouped.join(found, "_g", "left"))
+    own = Carried(df, [*COUNTS, "base_failed", "distance", "kept", *([] if keep_text else [text])])
+    group, up = _numbers(F.col(f"`{lang}`"), F.col(f"`{source}`"))
+    packed = F.struct(own.packed("own"), group, up).alias("row")
+    counted = _counted(df.select(packed, F.coalesce(F.col(f"`{text}`").cast("string"), F.lit("")).alias("_t")))
+    x = stored(counted.select(F.col("row.own").alias("row"), "row._g", "row._up", *COUNTS,
+                              *(v.alias(f"x{i}") for i, v in enumerate(values()))), "rules-counts")
+    groups = stored(x.groupBy("_g", "_up").agg(F.count("*").alias("n")), "rules-groups")
+    found = shrunk_estimates(x.select("_g", "_up", *(f"x{i}" for i in _P)), groups, share, prior)
+    judged = _with_distance(_beside(x, found, found.count()))
     far = F.col("d2") > chi_square(1 - tail) * F.col("scale")
-    own = [c for c in own if c not in COUNTS]
     return judged.select(
-        *(F.col(f"`{c}`") for c in own), *COUNTS, base_failed().alias("base_failed"),
-        F.sqrt(F.col("d2") / F.col("scale")).alias("distance"),
-        (~base_failed() & ~F.coalesce(far, F.lit(False))).alias("kept"))
+        *own.columns(), *COUNTS, base_failed().alias("base_failed"), F.sqrt(F.col("d2") / F.col("scale")).alias("distance"),
+        (~base_failed() & ~far).alias("kept"))
