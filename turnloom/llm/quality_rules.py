@@ -121,13 +121,14 @@ def chi_square(p: float, dimensions: int = DIMENSIONS) -> float:
     return dimensions * (1 - spread + NormalDist().inv_cdf(p) * spread ** 0.5) ** 3
 
 
+# One SQL string an expression: building these column by column costs more than running them on small tables.
 def _moments() -> list[Column]:
-    sums = [F.count("*").alias("n")] + [F.sum(f"x{i}").alias(f"s{i}") for i in _P]
-    return sums + [F.sum(F.col(f"x{i}") * F.col(f"x{j}")).alias(f"s{i}_{j}") for i in _P for j in range(i + 1)]
+    sums = ["count(*) AS n", *(f"sum(x{i}) AS s{i}" for i in _P), *(f"sum(x{i} * x{j}) AS s{i}_{j}" for i in _P for j in range(i + 1))]
+    return [F.expr(e) for e in sums]
 
 
 def _added(names: list[str]) -> list[Column]:
-    return [F.sum(c).alias(c) for c in names]
+    return [F.expr(f"sum({c}) AS {c}") for c in names]
 
 
 _SUMS = ["n", *(f"s{i}" for i in _P), *(f"s{i}_{j}" for i in _P for j in range(i + 1))]
@@ -136,35 +137,27 @@ _ESTIMATE = [*(f"m{i}" for i in _P), *(f"l{i}_{j}" for i in _P for j in range(i
 
 def _factored(df: DataFrame, keys: list[str]) -> DataFrame:
     """Centre and Cholesky factor of the covariance from moments; variances get the floors."""
-    df = df.select(*keys, *(((F.col(f"s{i}") / F.col("n"))).alias(f"m{i}") for i in _P),
-                   *((F.col(f"s{i}_{j}") / F.col("n") - F.col(f"s{i}") * F.col(f"s{j}") / F.col("n") / F.col("n")
-                      + (FLOORS[i] ** 2 if i == j else 0)).alias(f"c{i}_{j}") for i in _P for j in range(i + 1)))
-    return _cholesky(df, keys)
+    return _cholesky(df.selectExpr(
+        *keys, *(f"s{i} / n AS m{i}" for i in _P),
+        *(f"s{i}_{j} / n - s{i} * s{j} / n / n + {FLOORS[i] ** 2 if i == j else 0.0!r}D AS c{i}_{j}" for i in _P for j in range(i + 1))), keys)
 
 
 def _cholesky(df: DataFrame, keys: list[str]) -> DataFrame:
     """Centre and Cholesky factor from centre and covariance."""
+    steps = []
     for j in _P:
-        def rest(i, j=j):
-            out = F.col(f"c{i}_{j}")
-            for k in range(j):
-                out = out - F.col(f"l{i}_{k}") * F.col(f"l{j}_{k}")
-            return out
-        # Rounding may leave a variance below its floor.
-        pivot = F.sqrt(F.greatest(rest(j), F.lit(FLOORS[j] ** 2)))
-        df = df.withColumns({f"l{i}_{j}": (pivot if i == j else rest(i) / pivot) for i in range(j, DIMENSIONS)})
-    return df.select(*keys, *_ESTIMATE)
+        for i in range(j, DIMENSIONS):
+            rest = " - ".join([f"c{i}_{j}", *(f"l{i}_{k} * l{j}_{k}" for k in range(j))])
+            # Rounding may leave a variance below its floor.
+            steps.append(f"sqrt(greatest({rest}, {FLOORS[j] ** 2!r}D)) AS l{i}_{j}" if i == j else f"({rest}) / l{j}_{j} AS l{i}_{j}")
+    return df.selectExpr("*", *steps).select(*keys, *_ESTIMATE)
 
 
 def _with_distance(df: DataFrame) -> DataFrame:
     """``d2``, the squared Mahalanobis distance of ``x0…`` from the estimate beside them."""
-    for i in _P:
-        z = F.col(f"x{i}") - F.col(f"m{i}")
-        for k in range(i):
-            z = z - F.col(f"l{i}_{k}") * F.col(f"z{k}")
-        df = df.withColumn(f"z{i}", z / F.col(f"l{i}_{i}"))
-    d2 = sum((F.col(f"z{i}") * F.col(f"z{i}") for i in _P), F.lit(0.0))
-    return df.withColumn("d2", d2).drop(*(f"z{i}" for i in _P))
+    steps = [f"({' - '.join([f'x{i} - m{i}', *(f'l{i}_{k} * z{k}' for k in range(i))])}) / l{i}_{i} AS z{i}" for i in _P]
+    steps.append(f"{' + '.join(f'z{i} * z{i}' for i in _P)} AS d2")
+    return df.selectExpr("*", *steps).drop(*(f"z{i}" for i in _P))
 
 
 def _beside(x: DataFrame, estimates: DataFrame, rows: int) -> DataFrame:
@@ -193,12 +186,11 @@ def _edge(bin_: Column) -> Column:
 
 def estimates(x: DataFrame, share: float = 0.75, steps: int = 4) -> DataFrame:
     """Centre, Cholesky factor and distance scale of each group ``_g`` of ``x0…``; ``x`` is read by every step."""
-    middle = x.groupBy("_g").agg(*(F.percentile_approx(f"x{i}", [0.25, 0.5, 0.75], 1000).alias(f"q{i}") for i in _P))
-    zero, iqr = F.lit(0.0), 0.7413
-    robust = middle.select(
-        "_g", F.lit(0).alias("start"), *(F.col(f"q{i}")[1].alias(f"m{i}") for i in _P),
-        *((F.sqrt(F.pow(iqr * (F.col(f"q{i}")[2] - F.col(f"q{i}")[0]), 2) + FLOORS[i] ** 2) if i == j else zero)
-          .alias(f"l{i}_{j}") for i in _P for j in range(i + 1)))
+    middle = x.groupBy("_g").agg(*(F.expr(f"percentile_approx(x{i}, array(0.25D, 0.5D, 0.75D), 1000) AS q{i}") for i in _P))
+    robust = middle.selectExpr(
+        "_g", "0 AS start", *(f"q{i}[1] AS m{i}" for i in _P),
+        *(f"sqrt(pow(0.7413D * (q{i}[2] - q{i}[0]), 2) + {FLOORS[i] ** 2!r}D) AS l{i}_{j}" if i == j else f"0.0D AS l{i}_{j}"
+          for i in _P for j in range(i + 1)))
     plain = _factored(x.groupBy("_g").agg(*_moments()), ["_g"]).withColumn("start", F.lit(1))
     now = stored(robust.unionByName(plain), "rules-start")
     rows = now.count()
@@ -210,7 +202,7 @@ def estimates(x: DataFrame, share: float = 0.75, steps: int = 4) -> DataFrame:
                 .withColumn("all", F.sum("n").over(W.partitionBy(*keys))))
         inner = bins.filter(F.col("before") < share * F.col("all")).groupBy(*keys).agg(*_added(_SUMS))
         now = stored(_factored(inner, keys), "rules-step")
-    spread = sum((F.log(F.col(f"l{i}_{i}")) for i in _P), F.lit(0.0))
+    spread = F.expr(" + ".join(f"ln(l{i}_{i})" for i in _P))
     best = now.withColumn("k", F.row_number().over(W.partitionBy("_g").orderBy(spread, "start"))).filter("k = 1")
     best = stored(best.select("_g", *_ESTIMATE), "rules-best")
     reweighted = stored(_scaled(x, best, rows, chi_square(0.975)), "rules-reweighted")
@@ -238,19 +230,17 @@ def _numbers(lang: Column, source: Column) -> tuple[Column, Column]:
 
 def _covariances(found: DataFrame) -> DataFrame:
     """``_g``, centre and covariance, with the scale of the distances in it."""
-    return found.select("_g", *(f"m{i}" for i in _P), *(
-        (F.col("scale") * sum((F.col(f"l{i}_{k}") * F.col(f"l{j}_{k}") for k in range(j + 1)), F.lit(0.0))).alias(f"c{i}_{j}")
-        for i in _P for j in range(i + 1)))
+    return found.selectExpr("_g", *(f"m{i}" for i in _P), *(
+        f"scale * ({' + '.join(f'l{i}_{k} * l{j}_{k}' for k in range(j + 1))}) AS c{i}_{j}" for i in _P for j in range(i + 1)))
 
 
 def _shrunk(own: DataFrame, above: DataFrame, prior: int) -> DataFrame:
     """Moments of the ``n`` rows of a group and ``prior`` rows of the group ``_up``, from the estimates of both."""
     names = [*(f"m{i}" for i in _P), *(f"c{i}_{j}" for i in _P for j in range(i + 1))]
-    up = above.select(F.col("_g").alias("_up"), *(F.col(c).alias(f"u{c}") for c in names))
-    w = F.col("n") / (F.col("n") + prior)
-    apart = [F.col(f"m{i}") - F.col(f"um{i}") for i in _P]
-    return own.join(up, "_up").select("_g", *((w * F.col(f"m{i}") + (1 - w) * F.col(f"um{i}")).alias(f"m{i}") for i in _P), *(
-        (w * F.col(f"c{i}_{j}") + (1 - w) * F.col(f"uc{i}_{j}") + w * (1 - w) * apart[i] * apart[j]).alias(f"c{i}_{j}")
+    up = above.selectExpr("_g AS _up", *(f"{c} AS u{c}" for c in names))
+    joined = own.join(up, "_up").withColumn("w", F.expr(f"n / (n + {prior})"))
+    return joined.selectExpr("_g", *(f"w * m{i} + (1 - w) * um{i} AS m{i}" for i in _P), *(
+        f"w * c{i}_{j} + (1 - w) * uc{i}_{j} + w * (1 - w) * (m{i} - um{i}) * (m{j} - um{j}) AS c{i}_{j}"
         for i in _P for j in range(i + 1)))
 
 
