@@ -9,10 +9,11 @@ from suite import sqlparts as Q
 from turnloom import constants as K
 from turnloom.functions import text as T
 from turnloom.functions import sentiment
-from turnloom.operators import answers, binning, conflicts, ranking, vectors
+from turnloom.operators import answers, binning, cells, conflicts, ranking, vectors
 from turnloom.operators import turns as turn_ops
 from turnloom.plans import retrieval as plan
-from turnloom.sources import tables
+from turnloom.scaling import stored
+from turnloom.sources import sinks, tables
 
 NEGATIONS = ("in", "de", "der")
 NUMBER_WORDS = ("the", "on", "la", "die")
@@ -70,6 +71,20 @@ def topk_cosine(spark, sf):
     return found.withColumn("cosine", F.round("cosine", 4))
 
 
+def topk_approximate(spark, sf):
+    """Every vector whose id is divisible by 50 against all vectors, with the share of the exact hits that are found."""
+    pool = _vectors(spark, sf).select("id", "embedding")
+    queries = pool.filter("id % 50 = 0").select(F.col("id").alias("qid"), "embedding")
+    index = cells.build(pool)
+    found = stored(cells.search(queries, index, K.TOP_K, cells.cells_to_ask(index, pool)), "hits")
+    reached = cells.recall(found, vectors.top_k(queries, pool))
+    return found.select("qid", "cosine_rank", "id", F.round("cosine", 4).alias("cosine"), F.lit(round(reached, 4)).alias("recall"))
+
+
+def turn_fingerprints(spark, sf):
+    return sinks.fingerprints(I.plain_turns(spark, sf).withColumn("day", F.expr("conversation_id % 7")), "day")
+
+
 def _ranked(spark, sf, k=K.TOP_K):
     return plan.search(_centroids(spark, sf), _vectors(spark, sf), k)
 
@@ -354,6 +369,17 @@ QUERIES = {
                count(*) AS n_total FROM every_chunk"""),
     "topk_cosine": (topk_cosine, f"""WITH {_SQL_HITS.format(k=15, pool='SELECT * FROM cosines')}
         SELECT qid, cosine_rank, id, round(cosine, 4) AS cosine FROM hits"""),
+    "topk_approximate": (topk_approximate, None),
+    "turn_fingerprints": (turn_fingerprints, """
+        WITH rows AS (
+          SELECT conv_id % 7 AS period, conv_id AS a, conv_id % 7 AS b,
+                 CASE role WHEN 'user' THEN 1 WHEN 'assistant' THEN 2 ELSE 3 END AS c, text AS d, turn AS e FROM conversations),
+        digests AS (
+          SELECT period, md5(concat_ws('|', coalesce(length(a::VARCHAR) || ':' || a, '-'), coalesce(length(b::VARCHAR) || ':' || b, '-'),
+                                       coalesce(length(c::VARCHAR) || ':' || c, '-'), coalesce(length(d) || ':' || d, '-'),
+                                       coalesce(length(e::VARCHAR) || ':' || e, '-'))) AS h FROM rows)
+        SELECT period, count(*) AS n, sum(('0x' || substr(h, 1, 15))::BIGINT)::DECIMAL(38,0) AS h1,
+               sum(('0x' || substr(h, 16, 15))::BIGINT)::DECIMAL(38,0) AS h2 FROM digests GROUP BY period"""),
     "composite_rerank": (composite_rerank, f"WITH {_ranked_sql()} SELECT * FROM placed"),
     "rank_ablation": (rank_ablation, f"""WITH {_ranked_sql()}
         SELECT qid, id, rank, cosine_only_rank, cosine_only_rank - rank AS moved FROM ablated"""),

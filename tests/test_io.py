@@ -78,3 +78,25 @@ def test_stream_equals_batch(spark, tmp_path):
     streamed = sorted(spark.read.parquet(str(tmp_path / "out")).collect())
     assert streamed == sorted(scoring.score_stream(rows, Lexicon()).collect())
     assert {r.label for r in streamed} == {r.label for r in plan.label_lines(rows).collect()} == {"action-item"}
+
+
+def test_periods_are_rewritten_by_content(spark, tmp_path):
+    path = str(tmp_path / "p")
+    rows = [("01", i, f"text {i}", [i]) for i in range(5)] + [("02", 9, "a", None), ("02", 9, "a", None), (None, None, None, [1])]
+
+    def table(rows):
+        return spark.createDataFrame(rows, "day STRING, id INT, text STRING, tags ARRAY<INT>").repartition(3)
+
+    def stored():
+        return sorted(map(tuple, sinks.read_periods(spark, path, "day").select("day", "id", "text", "tags").collect()), key=repr)
+
+    assert sinks.write_stale_periods(table(rows), path, "day") == [None, "01", "02"]
+    assert stored() == sorted(rows, key=repr)
+    assert sinks.write_stale_periods(table(rows[::-1]), path, "day") == []  # the order of rows does not matter
+    changed = [(d, i, "text x" if i == 3 else t, g) for d, i, t, g in rows]
+    assert sinks.write_stale_periods(table(changed), path, "day") == ["01"]  # as many rows, one text differs
+    assert stored() == sorted(changed, key=repr)
+    assert sinks.write_stale_periods(table(changed[:6]), path, "day") == [None, "02"]  # one repeated row less, a period gone
+    assert stored() == sorted(changed[:6], key=repr)
+    assert sinks.write_stale_periods(table(rows).limit(0), path, "day") == ["01", "02"] and stored() == []
+    assert sinks.fingerprints(table([("1", 1, "ab", None)]), "day").collect() != sinks.fingerprints(table([("1", 1, "a", None)]), "day").collect()
