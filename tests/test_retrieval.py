@@ -146,3 +146,19 @@ def test_null_vectors_are_passed_over(spark):
     df = spark.createDataFrame([(1, [1.0, 0.0]), (2, None), (3, [0.0, 1.0])], "id LONG, embedding ARRAY<DOUBLE>")
     asked = spark.createDataFrame([(1, [1.0, 0.0]), (2, None)], "qid LONG, embedding ARRAY<DOUBLE>")
     assert [(r.qid, r.id) for r in vectors.top_k(asked, df, 5).orderBy("qid", "cosine_rank").collect()] == [(1, 1), (1, 3)]
+
+
+def test_a_callers_own_encoder(spark):
+    chunks = spark.createDataFrame([(f"c{i}", word * 3, i, 0, i % 7, 0.0, False) for i, word in enumerate(("aaa ", "bbb ", "ab "))],
+                                   tables.CHUNK_SCHEMA)
+
+    def letters(rows):
+        count = [(F.length("text") - F.length(F.regexp_replace("text", c, ""))).cast("double") for c in "ab"]
+        return rows.withColumn("embedding", F.array(*count))
+
+    index, encoder = plan.index_chunks(chunks, encoder=letters)
+    assert encoder is letters
+    asked = spark.createDataFrame([(1, "bbbb", "x"), (2, "aaaa", "x")], "qid LONG, query STRING, entity STRING")
+    ranked = plan.search(plan.encoded(asked.withColumn("text", F.col("query")), encoder), index, 1).collect()
+    assert {r.qid: r.id for r in ranked} == {1: "c1", 2: "c0"}
+    assert plan.resolve(asked, index, encoder, k=2).count() == 2
