@@ -69,6 +69,28 @@ def bin_session(spark, sf):
     return binning.bin_by_session(events, 7, "user_id", "event_id")
 
 
+def bin_rows_composite(spark, sf):
+    """Events in order of time, equal times by id."""
+    events = I.table(spark, sf, "events").select("event_id", "ts")
+    return binning.bin_by_rows(events, 7, ["ts", "event_id"]).select("event_id", "day")
+
+
+def _string_sessions(spark, sf):
+    session = F.concat("event_type", F.lit("/"), F.col("user_id").cast("string"))
+    return I.table(spark, sf, "events").select("event_id", "ts", session.alias("session_id"))
+
+
+def bin_session_string(spark, sf):
+    """Sessions in order of their own string id."""
+    return binning.bin_by_session(_string_sessions(spark, sf), 7).select("event_id", "session_id", "day")
+
+
+def bin_session_first_seen(spark, sf):
+    """Sessions with a string id in order of their first event by time and id."""
+    binned = binning.bin_by_session(_string_sessions(spark, sf), 7, order_by=["ts", "event_id"])
+    return binned.select("event_id", "session_id", "day")
+
+
 def bin_timestamp(spark, sf):
     events = I.table(spark, sf, "events").select("event_id", "ts")
     return binning.bin_by_timestamp(events, 7).select("event_id", "day")
@@ -88,6 +110,19 @@ SQL_BIN_SESSION = """
 WITH s AS (SELECT user_id, min(event_id) AS first_row FROM events GROUP BY user_id),
 d AS (SELECT user_id, CAST((row_number() OVER (ORDER BY first_row) * 7 - 1) // count(*) OVER () AS INTEGER) AS day FROM s)
 SELECT event_id, user_id, day FROM events JOIN d USING (user_id)"""
+SQL_BIN_ROWS_COMPOSITE = """
+SELECT event_id, CAST((row_number() OVER (ORDER BY ts, event_id) * 7 - 1) // count(*) OVER () AS INTEGER) AS day FROM events"""
+SQL_BIN_SESSION_STRING = """
+WITH e AS (SELECT event_id, event_type || '/' || user_id AS session_id FROM events),
+d AS (SELECT session_id, CAST((row_number() OVER (ORDER BY session_id) * 7 - 1) // count(*) OVER () AS INTEGER) AS day
+      FROM (SELECT DISTINCT session_id FROM e))
+SELECT event_id, session_id, day FROM e JOIN d USING (session_id)"""
+SQL_BIN_SESSION_FIRST_SEEN = """
+WITH e AS (SELECT event_id, event_type || '/' || user_id AS session_id, row_number() OVER (ORDER BY ts, event_id) AS place
+           FROM events),
+d AS (SELECT session_id, CAST((row_number() OVER (ORDER BY min(place)) * 7 - 1) // count(*) OVER () AS INTEGER) AS day
+      FROM e GROUP BY session_id)
+SELECT event_id, session_id, day FROM e JOIN d USING (session_id)"""
 SQL_BIN_TIMESTAMP = f"WITH {I.SQL_UTTERANCES} SELECT turn_index AS event_id, day FROM turns"
 SQL_ASSIGN = f"""WITH {I.SQL_TURNS}
 SELECT day, count(*) AS n, 'session' AS strategy, 'found grouping column ''conversation_id''' AS reason,
@@ -412,6 +447,9 @@ QUERIES = {
     "turn_days": (turn_days, SQL_TURN_DAYS),
     "bin_rows": (bin_rows, SQL_BIN_ROWS),
     "bin_session": (bin_session, SQL_BIN_SESSION),
+    "bin_rows_composite": (bin_rows_composite, SQL_BIN_ROWS_COMPOSITE),
+    "bin_session_string": (bin_session_string, SQL_BIN_SESSION_STRING),
+    "bin_session_first_seen": (bin_session_first_seen, SQL_BIN_SESSION_FIRST_SEEN),
     "bin_timestamp": (bin_timestamp, SQL_BIN_TIMESTAMP),
     "assign_days": (assign_days, SQL_ASSIGN),
     "surface_features": (surface_features, SQL_SURFACE),

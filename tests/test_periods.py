@@ -1,4 +1,5 @@
 import datetime as dt
+import decimal
 import random
 
 import numpy as np
@@ -6,7 +7,7 @@ import pandas as pd
 import pytest
 from pyspark.sql import functions as F
 
-from turnloom.operators import binning
+from turnloom.operators import binning, splitters
 
 
 def days(df, key):
@@ -36,6 +37,53 @@ def test_rows_with_sparse_keys(spark):
     assert days(binning.bin_by_rows(df, 9), "conversation_id") == expected_runs(len(keys), 9)
 
 
+@pytest.mark.parametrize("kind,make", [
+    ("STRING", lambda i: f"{'äz' if i % 3 else 'Ab'}{i * 7919 % 30011}"),
+    ("DECIMAL(30,4)", lambda i: decimal.Decimal(i * 7919 % 30011) / 16 - 500),
+    ("TIMESTAMP", lambda i: dt.datetime(2024, 10, 27) + dt.timedelta(seconds=i * 7919 % 30011)),
+])
+def test_rows_by_any_order(spark, kind, make, monkeypatch):
+    monkeypatch.setattr(splitters, "SAMPLE", 64)  # several passes
+    keys = sorted({make(i) for i in range(900)})
+    rng = random.Random(2)
+    df = spark.createDataFrame([(k,) for k in rng.sample(keys, len(keys))] + [(None,)], f"conversation_id {kind}")
+    binned = {r[0]: r[1] for r in binning.bin_by_rows(df, 9).collect()}
+    assert binned.pop(None) is None
+    assert [binned[k] for k in keys] == expected_runs(len(keys), 9)
+
+
+def test_rows_by_two_columns_and_repeated_keys(spark, monkeypatch):
+    monkeypatch.setattr(splitters, "SAMPLE", 16)
+    rng = random.Random(5)
+    rows = [(rng.choice("abc"), i) for i in range(600)] + [(None, 1), ("a", None)]
+    df = spark.createDataFrame(rows, "kind STRING, id INT").repartition(3)
+    binned = {(r.kind, r.id): r.day for r in binning.bin_by_rows(df, 7, ["kind", "id"]).collect()}
+    assert binned.pop((None, 1)) is None and binned.pop(("a", None)) is None
+    assert [binned[k] for k in sorted(binned)] == expected_runs(600, 7)
+    # Three keys with hundreds of rows each: the runs start with the key that holds their rank.
+    order = splitters.Order(df, ["kind"])
+    ordered = sorted(k for k, _ in rows if k)
+    ranks = [0, 100, 300, 599]
+    assert [r.k0 for r in splitters.keys_at(order, ranks, len(ordered))] == [ordered[r] for r in ranks]
+    with pytest.raises(ValueError):
+        splitters.keys_at(order, [len(ordered)], len(ordered))
+    with pytest.raises(TypeError):
+        splitters.Order(spark.createDataFrame([], "x MAP<INT,INT>"), ["x"])
+
+
+def test_sessions_by_string_id_and_by_two_columns(spark):
+    rows = [("z", 0, 0), ("a", 0, 1), ("z", 1, 0), ("m", 1, 1), ("a", 1, 2), ("b", 2, 0), (None, 2, 1), ("n", None, 3)]
+    df = spark.createDataFrame(rows, "session_id STRING, hour INT, nr INT")
+    by_id = {r.session_id: r.day for r in binning.bin_by_session(df, 5).collect()}
+    assert by_id == {"a": 0, "b": 1, "m": 2, "n": 3, "z": 4, None: None}
+    first_seen = {r.session_id: r.day for r in binning.bin_by_session(df, 4, order_by=["hour", "nr"]).collect()}
+    assert (first_seen.pop(None), first_seen.pop("n")) == (None, None)
+    places = dict(zip(["z", "a", "m", "b"], range(4)))
+    assert {k: d - first_seen["z"] for k, d in first_seen.items()} == places
+    empty = binning.bin_by_session(df.limit(0), 4, order_by=["hour", "nr"])
+    assert empty.count() == 0
+
+
 def test_empty_and_invalid(spark):
     empty = spark.range(0).withColumnRenamed("id", "conversation_id")
     assert binning.bin_by_rows(empty).dtypes[-1] == ("day", "int")

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from collections.abc import Sequence
 from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame
@@ -9,6 +10,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as Ty
 
 from turnloom import constants as K
+from turnloom.operators import splitters
 from turnloom.scaling import materialize
 
 TIME_COLUMNS = ("timestamp", "created_at", "date", "datetime", "ts")
@@ -97,10 +99,25 @@ def keys_at_ranks(df: DataFrame, key: str, ranks: list[int], n: int, low: int, h
     return [wanted[rank][0] for rank in ranks]
 
 
-def _bin_by_unique_key(df: DataFrame, key: str, n_bins: int) -> Column:
-    """Bin of each row when rows are laid out in ``key`` order and cut into equal runs; null for a null key."""
+def _bin_by_key(df: DataFrame, columns: Sequence[str], n_bins: int) -> Column:
+    """Bin of each row when rows are laid out in the order of ``columns`` and cut into equal runs; null for a null key.
+
+    One integer column needs counts alone; any other order takes sampled splitters as well.
+    """
     if n_bins < 1:
         raise ValueError("n_bins must be >= 1")
+    if len(columns) == 1 and isinstance(df.schema[columns[0]].dataType, Ty.IntegralType):
+        return _bin_by_unique_key(df, columns[0], n_bins)
+    order = splitters.Order(df, columns)
+    n = order.keys.count()
+    if n == 0 or n_bins == 1:
+        return F.when(order.known, 0)
+    starts = splitters.keys_at(order, [b * n // n_bins for b in range(1, n_bins)], n)
+    return F.when(order.known, sum((F.when(order.key >= order.at(s), 1).otherwise(0) for s in starts), F.lit(0)))
+
+
+def _bin_by_unique_key(df: DataFrame, key: str, n_bins: int) -> Column:
+    """``_bin_by_key`` for one integer column."""
     n, low, high = df.agg(F.count(key), F.min(key), F.max(key)).first()
     known = F.col(key).isNotNull()
     if n == 0 or n_bins == 1:
@@ -109,30 +126,45 @@ def _bin_by_unique_key(df: DataFrame, key: str, n_bins: int) -> Column:
     return F.when(known, sum((F.when(F.col(key) >= F.lit(start), 1).otherwise(0) for start in starts), F.lit(0)))
 
 
-def bin_by_rows(df: DataFrame, n_bins: int = K.N_BINS, order_by: str = "conversation_id") -> DataFrame:
-    """Equal runs of rows in ``order_by`` order (a unique integer column). Rows are not moved.
+def _columns(order_by: str | Sequence[str]) -> list[str]:
+    return [order_by] if isinstance(order_by, str) else list(order_by)
+
 
-    Rows without a key get a null day.
+def bin_by_rows(df: DataFrame, n_bins: int = K.N_BINS, order_by: str | Sequence[str] = "conversation_id") -> DataFrame:
+    """Equal runs of rows in ``order_by`` order: one column or several that are unique together, of numbers, strings,
+    dates or timestamps. Rows are not moved.
+
+    Rows with a null in the key get a null day. Rows with equal keys share a day.
     """
-    return df.withColumn("day", _bin_by_unique_key(df.select(order_by), order_by, n_bins).cast("int"))
+    columns = _columns(order_by)
+    return df.withColumn("day", _bin_by_key(df.select(*[f"`{c}`" for c in columns]), columns, n_bins).cast("int"))
 
 
 def bin_by_session(df: DataFrame, n_bins: int = K.N_BINS, session_col: str = "session_id",
-                   order_by: str | None = None) -> DataFrame:
+                   order_by: str | Sequence[str] | None = None) -> DataFrame:
     """Equal runs of sessions in order of first appearance; a session's rows share their day.
 
-    ``order_by`` is a unique integer row order. Without it sessions are ordered by their own
-    integer id, which needs no join at all. Rows without a session get a null day.
+    ``order_by`` is a unique row order of one or several columns. Without it sessions are ordered by their own
+    id, a number or a string, which needs no join at all. Rows without a session get a null day, and so
+    does a session without a complete row key.
     """
     if session_col not in df.columns:
         raise KeyError(f"session column '{session_col}' not in the table")
-    if order_by is None or order_by == session_col:
+    columns = [] if order_by is None else _columns(order_by)
+    if columns in ([], [session_col]):
         ids = df.select(session_col).distinct()
-        return df.withColumn("day", _bin_by_unique_key(materialize(ids), session_col, n_bins).cast("int"))
-    sessions = materialize(df.groupBy(session_col).agg(F.min(order_by).alias("first_row")))
-    days = sessions.select(
-        session_col, _bin_by_unique_key(sessions.select("first_row"), "first_row", n_bins)
-        .cast("int").alias("day"))
+        return df.withColumn("day", _bin_by_key(materialize(ids), [session_col], n_bins).cast("int"))
+    if len(columns) == 1:
+        first = F.min(columns[0])
+    else:
+        known = F.forall(F.array(*[F.col(f"`{c}`").isNull() for c in columns]), lambda missing: ~missing)
+        first = F.min(F.when(known, F.struct(*[F.col(f"`{c}`").alias(f"o{i}") for i, c in enumerate(columns)])))
+    sessions = df.groupBy(session_col).agg(first.alias("first_row"))
+    if len(columns) > 1:
+        sessions = sessions.select(session_col, "first_row.*")
+    sessions = materialize(sessions)
+    places = [c for c in sessions.columns if c != session_col]
+    days = sessions.select(session_col, _bin_by_key(sessions.select(*places), places, n_bins).cast("int").alias("day"))
     return df.join(days.dropna(subset=[session_col]), session_col, "left")
 
 
@@ -161,7 +193,7 @@ def bin_by_timestamp(df: DataFrame, n_bins: int = K.N_BINS, time_col: str | None
 
 
 def assign_days(df: DataFrame, n_bins: int = K.N_BINS, strategy: str | None = None,
-                order_by: str = "conversation_id") -> tuple[DataFrame, Binning]:
+                order_by: str | Sequence[str] = "conversation_id") -> tuple[DataFrame, Binning]:
     """Add ``day``, choosing the strategy from the schema unless one is forced."""
     if strategy is None:
         strategy, reason = pick_strategy(df)
