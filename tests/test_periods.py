@@ -40,6 +40,7 @@ def test_rows_with_sparse_keys(spark):
 @pytest.mark.parametrize("kind,make", [
     ("STRING", lambda i: f"{'äz' if i % 3 else 'Ab'}{i * 7919 % 30011}"),
     ("DECIMAL(30,4)", lambda i: decimal.Decimal(i * 7919 % 30011) / 16 - 500),
+    ("TIMESTAMP_NTZ", lambda i: dt.datetime(1969, 12, 31, 23) + dt.timedelta(microseconds=i * 7919 % 30011 * 997)),
     ("TIMESTAMP", lambda i: dt.datetime(2024, 10, 27) + dt.timedelta(seconds=i * 7919 % 30011)),
 ])
 def test_rows_by_any_order(spark, kind, make, monkeypatch):

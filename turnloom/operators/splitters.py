@@ -36,6 +36,11 @@ class _Gap:
         return self.before <= rank < self.before + self.rows
 
 
+def _wall_micros(time: Column) -> Column:
+    seconds = F.unix_date(time.cast("date")).cast("bigint") * 86_400 + F.hour(time) * 3_600 + F.minute(time) * 60
+    return seconds * 1_000_000 + (F.extract(F.lit("SECOND"), time) * 1_000_000).cast("bigint")
+
+
 class Order:
     """The order by several columns of a table, first column first. Rows with a null in any of them have no place."""
 
@@ -44,8 +49,11 @@ class Order:
         for number, name in enumerate(columns):
             kind = df.schema[name].dataType
             part = F.col(f"`{name}`")
-            if isinstance(kind, Ty.TimestampType):  # read back and compared without a time zone
+            # Times are read back and compared as numbers, whatever the time zone of the session.
+            if isinstance(kind, Ty.TimestampType):
                 part, kind = F.unix_micros(part), Ty.LongType()
+            elif isinstance(kind, Ty.TimestampNTZType):
+                part, kind = _wall_micros(part), Ty.LongType()
             elif not isinstance(kind, _ORDERED):
                 raise TypeError(f"no order for '{name}' of type {kind.simpleString()}")
             self.names.append(f"k{number}")
