@@ -9,7 +9,7 @@ from suite import sqlparts as Q
 from turnloom import constants as K
 from turnloom.functions import text as T
 from turnloom.functions import sentiment
-from turnloom.operators import answers, binning, cells, conflicts, ranking, vectors
+from turnloom.operators import answers, binning, cells, conflicts, dense, ranking, vectors
 from turnloom.operators import turns as turn_ops
 from turnloom.plans import retrieval as plan
 from turnloom.scaling import stored
@@ -204,6 +204,14 @@ def embed_chunks(spark, sf):
     return index.select("id", F.size("embedding").alias("dimensions"), F.round(norm, 4).alias("norm"))
 
 
+def embed_chunks_dense(spark, sf):
+    """All conversation chunks in the space of the leading 384 singular vectors, and the share of each that it keeps."""
+    chunks = _with_seeds(spark, sf)
+    projected = dense.fit(chunks).projected(chunks)
+    kept = F.aggregate("embedding", F.lit(0.0), lambda a, x: a + x * x)
+    return projected.select("id", F.size("embedding").alias("dimensions"), F.round(kept, 4).alias("share_kept"))
+
+
 _SQL_CHUNKS = f"""{I.SQL_TURNS},
 chunk_text AS (
   SELECT conversation_id, turn_index // 2 AS pair, CAST(min(turn_index) AS INTEGER) AS turn_index,
@@ -412,5 +420,6 @@ QUERIES = {
     "excerpt": (excerpt, _SQL_EXCERPT),
     "entity_from_query": (entity_from_query, _SQL_ENTITY),
     "embed_chunks": (embed_chunks, None),
+    "embed_chunks_dense": (embed_chunks_dense, None),
     "resolve_batch": (resolve_batch, None),
 }
