@@ -20,6 +20,7 @@ import unicodedata
 from array import array
 from collections.abc import Iterable, Iterator
 from functools import lru_cache
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
@@ -92,7 +93,7 @@ class Tables:
         length = [1] * size
         left_part: dict[int, int] = {}
         merges = []
-        self.rank: dict[tuple[int, int], int] = {}
+        after: dict[int, dict[int, int]] = {}
         self.result: list[int] = []
         for order, merge in enumerate(model["merges"]):
             a, b = merge if isinstance(merge, list) else merge.split(" ")
@@ -102,8 +103,11 @@ class Tables:
             left_part[result] = left
             length[result] = length[left] + length[right]
             merges.append((left, right, result))
-            self.rank[left, right] = order
+            after.setdefault(left, {})[right] = order
             self.result.append(result)
+        # The rank of a merge, asked by its left part and then by its right part.
+        no_merge: dict[int, int] = {}
+        self.ranks = [after.get(left, no_merge).get for left in range(size)]
         self.lookahead = lookahead(merges, left_part, length)
         self.length = length
         steps = spec["normalizer"]["normalizers"] if spec.get("normalizer") else []
@@ -125,22 +129,22 @@ def tables(path: str) -> Tables:
     return Tables(path)
 
 
-def merged(ids: list[int], rank: dict, result: list[int]) -> list[int]:
-    """Apply the earliest merge that fits, leftmost first, until none fits."""
-    ids, none = list(ids), len(result)
-    get = rank.get
-    ranks = [get(pair, none) for pair in zip(ids, ids[1:])]
+def merged(ids: list[int], t: Tables) -> list[int]:
+    """Apply the earliest merge that fits, leftmost first, until none fits; changes ``ids``."""
+    rank_after, result = t.ranks, t.result
+    none = len(result)
+    ranks = [rank_after[left](right, none) for left, right in zip(ids, ids[1:])]
     while ranks:
         best = min(ranks)
         if best == none:
             break
         i = ranks.index(best)
-        ids[i] = result[best]
+        made = ids[i] = result[best]
         del ids[i + 1], ranks[i]
         if i < len(ranks):
-            ranks[i] = get((ids[i], ids[i + 1]), none)
+            ranks[i] = rank_after[made](ids[i + 1], none)
         if i:
-            ranks[i - 1] = get((ids[i - 1], ids[i]), none)
+            ranks[i - 1] = rank_after[ids[i - 1]](made, none)
     return ids
 
 
@@ -158,14 +162,14 @@ class Transducer:
         inner = self.t.inner
         for start in range(0, len(data), self.window):
             piece = data[start:start + self.window]
-            self.pending.extend(inner[b] for b in piece)
+            self.pending.extend(map(inner.__getitem__, piece))
             self.final = piece[-1]
             if len(self.pending) <= self.window:
                 continue
             # The last symbol may yet turn out to end the word, so it is not known either.
             stable = len(self.pending) - 1 - self.t.lookahead
             done = 0
-            for token in merged(self.pending, self.t.rank, self.t.result):
+            for token in merged(list(self.pending), self.t):
                 if done + self.t.length[token] > stable:
                     break
                 done += self.t.length[token]
@@ -177,7 +181,7 @@ class Transducer:
         if not self.pending:
             return []
         self.pending[-1] = self.t.last[self.final]
-        rest, self.pending = merged(self.pending, self.t.rank, self.t.result), []
+        rest, self.pending = merged(self.pending, self.t), []
         return rest
 
 
@@ -192,12 +196,30 @@ def _lower(text: str) -> str:
     return text.replace("Σ", "σ").lower()
 
 
+class Words(dict):
+    """Ids by word: a word asked for the first time goes through a transducer and is kept."""
+
+    def __init__(self, t: Tables):
+        super().__init__()
+        self.run = Transducer(t)
+
+    def __missing__(self, word: str) -> tuple[int, ...]:
+        data = word.encode("utf-8", "replace")
+        found = (*self.run.push(data), *self.run.finish())
+        if len(data) > LONG_WORD:  # not worth a place
+            return found
+        if len(self) >= CACHED_WORDS:
+            self.clear()
+        self[word] = found
+        return found
+
+
 class Encoder:
     """Ids of whole texts; one encoder serves a task."""
 
     def __init__(self, t: Tables, chunk: int = CHUNK):
         self.t, self.chunk = t, chunk
-        self.cache: dict[str, tuple[int, ...]] = {}
+        self.word = Words(t).__getitem__
         self.split = regex.compile("(" + "|".join(map(regex.escape, t.special)) + ")") if t.special else None
         self.longest_special = max(map(len, t.special), default=0)
 
@@ -220,19 +242,6 @@ class Encoder:
                 return i, True
         return len(text), False
 
-    def _word(self, word: str) -> tuple[int, ...]:
-        found = self.cache.get(word)
-        if found is None:
-            data = word.encode("utf-8", "replace")
-            run = Transducer(self.t)
-            found = (*run.push(data), *run.finish())
-            if len(data) > LONG_WORD:  # not worth a place in the cache
-                return found
-            if len(self.cache) >= CACHED_WORDS:
-                self.cache.clear()
-            self.cache[word] = found
-        return found
-
     def encode(self, text: str) -> array:
         out = array("i")
         start, run, kind = 0, None, None
@@ -260,16 +269,14 @@ class Encoder:
                         out.extend(run.finish())
                         run = None
                 if not (goes_on and k == len(parts) - 1):
-                    cached, word = self.cache, self._word
-                    for w in self.t.words.findall(part, at):
-                        out.extend(cached.get(w) or word(w))
+                    out.extend(chain.from_iterable(map(self.word, self.t.words.findall(part, at))))
                     continue
                 for m in self.t.words.finditer(part, at):
                     if m.end() == len(part) and not m[0][-1].isnumeric():
                         run, kind = Transducer(self.t), _LETTERS if _LETTERS.match(m[0]) else _OTHERS
                         out.extend(run.push(m[0].encode("utf-8", "replace")))
                     else:
-                        out.extend(self._word(m[0]))
+                        out.extend(self.word(m[0]))
         if run:
             out.extend(run.finish())
         return out
