@@ -11,11 +11,11 @@ from turnloom import constants as K
 from turnloom.functions import sentiment, style
 from turnloom.functions import text as T
 from turnloom.functions.sentiment import Lexicon
-from turnloom.operators import binning, drift, entities, profile, topics
+from turnloom.operators import binning, drift, entities, profile, tagger, topics
 from turnloom.operators import turns as turn_ops
 from turnloom.plans import drift as drift_plan
 from turnloom.plans import entities as entity_plan
-from turnloom.scaling import spread
+from turnloom.scaling import spread, stored
 
 DEFAULT = Lexicon()
 
@@ -252,6 +252,18 @@ def entities_top(spark, sf):
     return entities.top_entities(found)
 
 
+def entities_tagged(spark, sf):
+    """Mentions in all turns by a tagger fitted on the gazetteer's in three turns of four, and its F1 on the fourth."""
+    turns = I.turns(spark, sf).select("day", "conversation_id", "turn_index", "text")
+    fourth = F.pmod(F.xxhash64("conversation_id", "turn_index"), F.lit(4)) == 2
+    gazetteer = I.gazetteer(spark)
+    found = stored(tagger.mentions(turns, tagger.fit(turns.filter(~fourth), gazetteer)), "tagged")
+    held_out = tagger.agreement(found.filter(fourth), entities.gazetteer_mentions(turns.filter(fourth), gazetteer))
+    f1 = held_out.first().f1
+    return found.select("day", "conversation_id", "turn_index", F.col("run").alias("place"), "entity", "label",
+                        F.lit(f1).cast("double").alias("f1"))
+
+
 def _scored_mentions(spark, sf):
     return entity_plan.scored_mentions(I.turns(spark, sf), I.gazetteer(spark), I.LEXICON)
 
@@ -467,6 +479,7 @@ QUERIES = {
     "topic_concentration_events": (topic_concentration_events, SQL_CONCENTRATION_EVENTS),
     "entity_mentions": (entity_mentions, SQL_MENTIONS),
     "entities_top": (entities_top, SQL_ENTITIES),
+    "entities_tagged": (entities_tagged, None),
     "entity_rollup": (entity_rollup, SQL_ENTITY_ROLLUP),
     "candidate_record": (candidate_record, SQL_CANDIDATE_RECORD),
     "entity_rollup_wide": (entity_rollup_wide, SQL_ENTITY_ROLLUP_WIDE),

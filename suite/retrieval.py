@@ -145,6 +145,14 @@ def contradiction_pairs(spark, sf):
     return _pairs(spark, sf).select(*_PAIR_COLUMNS)
 
 
+def seed_pairs(spark, sf):
+    """Every pair of benchmark texts, as seeds of seven days."""
+    seeds = I.table(spark, sf, "benchmark").select(
+        F.col("item_id").alias("id"), "text", (F.col("item_id") % 7).cast("int").alias("day_bucket"),
+        sentiment.compound(F.col("text"), I.LEXICON).alias("sentiment"))
+    return conflicts.score_pairs(conflicts.seed_pairs(seeds), _scorer).select(*_PAIR_COLUMNS)
+
+
 def flagged_pairs(spark, sf):
     return conflicts.flagged_pairs(_pairs(spark, sf)).select(
         "qid", "a_id", "b_id", "contradiction_prob", "a_text", "b_text")
@@ -293,8 +301,7 @@ def _neg(side):
 
 
 _NUMS = "list_filter({}, lambda w: w IN " + Q.in_list(NUMBER_WORDS) + " OR regexp_full_match(w, '[0-9]+'))"
-_SQL_PAIRS = f"""{_ranked_sql(documents=True)},
-side AS (SELECT *, list_distinct(regexp_extract_all(lower(text), '[a-z0-9'']+')) AS words FROM placed WHERE rank <= 5),
+_SQL_SCORED = f"""
 both_sides AS (
   SELECT a.qid, a.id AS a_id, b.id AS b_id, a.rank AS a_rank, b.rank AS b_rank, a.day_bucket AS a_day, b.day_bucket AS b_day,
          a.sentiment AS a_sentiment, b.sentiment AS b_sentiment, a.text AS a_text, b.text AS b_text,
@@ -312,6 +319,13 @@ scored_pairs AS (
          round(n / (c + e + n), 4) AS neutral_prob, c / (c + e + n) > 0.6 AS flagged,
          CASE WHEN c >= e AND c >= n THEN 'contradiction' WHEN e >= n THEN 'entailment' ELSE 'neutral' END AS verdict
   FROM logits)"""
+_SQL_WORDS = "list_distinct(regexp_extract_all(lower(text), '[a-z0-9'']+')) AS words"
+_SQL_PAIRS = f"""{_ranked_sql(documents=True)},
+side AS (SELECT *, {_SQL_WORDS} FROM placed WHERE rank <= 5), {_SQL_SCORED}"""
+_SQL_SEED_PAIRS = f"""texts AS (SELECT item_id AS id, text FROM benchmark), {Q.sentiment(I.LEXICON, 'texts', 'id', 'ds')},
+side AS (SELECT 0::BIGINT AS qid, t.id, CAST(t.id % 7 AS INTEGER) AS day_bucket, s.compound AS sentiment, t.text,
+                row_number() OVER (ORDER BY t.id % 7, t.id) AS rank, {_SQL_WORDS.replace('lower(text)', 'lower(t.text)')}
+         FROM texts t JOIN ds s USING (id)), {_SQL_SCORED}"""
 
 
 def _cut(column, n, newline):
@@ -406,6 +420,7 @@ QUERIES = {
     "flagged_pairs": (flagged_pairs, f"""WITH {_SQL_PAIRS}
         SELECT qid, a_id, b_id, contradiction_prob, {_cut('a_text', 200, ' | ')} AS a_text, {_cut('b_text', 200, ' | ')} AS b_text
         FROM scored_pairs WHERE flagged"""),
+    "seed_pairs": (seed_pairs, f"WITH {_SQL_SEED_PAIRS} SELECT {', '.join(_PAIR_COLUMNS)} FROM scored_pairs"),
     "pair_verdict": (pair_verdict, f"WITH {_SQL_PAIRS} SELECT qid, verdict, count(*) AS n FROM scored_pairs GROUP BY ALL"),
     "resolve_vectors": (resolve_vectors, f"""{_SQL_RESOLVE}
         SELECT qid, 'What about my label' || CAST(qid AS VARCHAR) AS query, 'the shore' AS entity,

@@ -129,6 +129,19 @@ def test_seeds(spark):
     assert {r.day_bucket for r in seeds.collect()} == {1, 4, 6}
 
 
+def test_seed_pairs_in_blocks(spark, monkeypatch):
+    rows = [(f"s{i % 29:02d}", f"text {i}", None if i == 3 else i % 4, 0.1) for i in range(31)]  # two ids repeat
+    seeds = spark.createDataFrame(rows, "id STRING, text STRING, day_bucket INT, sentiment DOUBLE").repartition(4)
+    ordered = sorted(rows, key=lambda r: (r[2] is not None, r[2] or 0, r[0], r[1]))
+    wanted = [(i + 1, j + 1, a[1], b[1]) for i, a in enumerate(ordered) for j, b in enumerate(ordered) if i < j]
+    for size in (1, 4, 31, 512):
+        monkeypatch.setattr(conflicts, "BLOCK_SEEDS", size)
+        found = conflicts.seed_pairs(seeds).select("a_rank", "b_rank", "a_text", "b_text").collect()
+        assert sorted(map(tuple, found)) == wanted
+    assert conflicts.seed_pairs(seeds.limit(0)).count() == 0
+    assert conflicts.seed_pairs(seeds.limit(1)).count() == 0
+
+
 def test_resolve_demo_queries(spark):
     """Seed chunks among others, the default encoder and the demonstration questions."""
     other = spark.createDataFrame([(f"c{i}_t0", f"User 1: the weather report number {i} says rain", i, 0, i % 7, 0.0, False)

@@ -4,13 +4,15 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from turnloom import constants as K
 from turnloom.functions import measures, sentiment
 from turnloom.functions import text as T
+from turnloom.scaling import stored
 
+BLOCK_SEEDS = 512
 _SIDE = ["id", "rank", "day_bucket", "sentiment", "text"]
 PROBABILITIES = ["contradiction_prob", "entailment_prob", "neutral_prob"]
 VERDICTS = ["contradiction", "entailment", "neutral"]
@@ -87,12 +89,30 @@ def flagged_pairs(scored: DataFrame) -> DataFrame:
 
 
 def seed_pairs(seeds: DataFrame) -> DataFrame:
-    """Every pair of seed chunks as one query's hits; the seeds are a handful of literal rows."""
-    order = F.row_number().over(_seed_order())
-    ranked = seeds.withColumns({"qid": F.lit(0).cast("bigint"), "rank": order})
-    return top_pairs(ranked, n=2**31 - 1)
+    """Every pair of seed chunks as one query's hits: ``a_…`` comes before ``b_…`` by day, id and text.
 
-
-def _seed_order():
-    from pyspark.sql import Window
-    return Window.partitionBy("synthetic").orderBy("day_bucket", "id")
+    The result has a row for each pair, so the work grows with the square of the seeds. Seeds are dealt to blocks
+    of ``BLOCK_SEEDS`` in their order, and block i meets block j in a group of its own for i <= j. A row is copied once a
+    block, a group holds two blocks at most, and no seed passes through the driver. Rows without a day come first.
+    """
+    ranked = _in_order(seeds.select(*[c for c in _SIDE if c != "rank"]), ["day_bucket", "id", "text"])
+    ranked = ranked.withColumn("block", F.expr(f"CAST((rank - 1) DIV {BLOCK_SEEDS} AS INT)"))
+    last = F.lit(max(0, ranked.count() - 1) // BLOCK_SEEDS)
+    sides = {}
+    for side, block, other, others in (("a", "i", "j", F.sequence("block", last)), ("b", "j", "i", F.sequence(F.lit(0), "block"))):
+        columns = [F.col(c).alias(f"{side}_{_short(c)}") for c in _SIDE]
+        sides[side] = ranked.select(*columns, F.col("block").alias(block), F.explode(others).alias(other))
+    paired = sides["a"].join(sides["b"], ["i", "j"]).filter("a_rank < b_rank")
+    return paired.select(F.lit(0).cast("bigint").alias("qid"),
+                         *[f"{side}_{_short(c)}" for side in "ab" for c in _SIDE])
+
+
+def _in_order(rows: DataFrame, order: list[str]) -> DataFrame:
+    """``rows`` with their ``rank`` from 1 in ``order``: sorted in ranges, numbered by the rows of the ranges before."""
+    placed = stored(rows.orderBy(*order).withColumn("place", F.monotonically_increasing_id()), "in-order")
+    # The upper bits of a place name its range; a row for each is sorted to add up the counts.
+    ranges = placed.groupBy(F.shiftright("place", 33).alias("range")).agg(F.count("*").alias("n"), F.min("place").alias("first"))
+    earlier = Window.orderBy("range").rowsBetween(Window.unboundedPreceding, -1)
+    offsets = ranges.select("range", (F.coalesce(F.sum("n").over(earlier), F.lit(0)) - F.col("first") + 1).alias("offset"))
+    return placed.withColumn("range", F.shiftright("place", 33)).join(offsets, "range").withColumn(
+        "rank", F.col("place") + F.col("offset")).drop("place", "range", "offset")
