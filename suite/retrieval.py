@@ -9,7 +9,7 @@ from suite import sqlparts as Q
 from turnloom import constants as K
 from turnloom.functions import text as T
 from turnloom.functions import sentiment
-from turnloom.operators import answers, binning, cells, conflicts, dense, ranking, vectors
+from turnloom.operators import answers, binning, cells, conflicts, dense, pair_model, ranking, vectors
 from turnloom.operators import turns as turn_ops
 from turnloom.plans import retrieval as plan
 from turnloom.scaling import stored
@@ -145,6 +145,27 @@ def contradiction_pairs(spark, sf):
     return _pairs(spark, sf).select(*_PAIR_COLUMNS)
 
 
+def _unscored_pairs(spark, sf):
+    return conflicts.top_pairs(plan.search(_centroids(spark, sf), _documents_index(spark, sf)))
+
+
+def pair_features(spark, sf):
+    made = pair_model.features(_unscored_pairs(spark, sf), NEGATIONS, NUMBER_WORDS)
+    return made.select("qid", "a_id", "b_id", *[F.round(name, 6).alias(name) for name in pair_model.FEATURES])
+
+
+def pair_scores_fitted(spark, sf):
+    """The pairs scored by a model fitted on three documents of four, with its calibration error on the fourth."""
+    docs = I.documents(spark, sf)
+    fourth = F.pmod(F.xxhash64("text"), F.lit(4)) == 2
+    model = pair_model.fit(pair_model.weak_pairs(docs.filter(~fourth), I.LEXICON, NEGATIONS, NUMBER_WORDS), NEGATIONS, NUMBER_WORDS)
+    held_out = pair_model.weak_pairs(docs.filter(fourth), I.LEXICON, NEGATIONS, NUMBER_WORDS)
+    checked = pair_model.calibration(model.score(held_out)).first()
+    scored = conflicts.score_pairs(_unscored_pairs(spark, sf), model.score)
+    return scored.select("qid", "a_id", "b_id", *conflicts.PROBABILITIES, "verdict",
+                         F.lit(checked.accuracy).cast("double").alias("accuracy"), F.lit(checked.error).cast("double").alias("calibration_error"))
+
+
 def seed_pairs(spark, sf):
     """Every pair of benchmark texts, as seeds of seven days."""
     seeds = I.table(spark, sf, "benchmark").select(
@@ -420,6 +441,23 @@ QUERIES = {
     "flagged_pairs": (flagged_pairs, f"""WITH {_SQL_PAIRS}
         SELECT qid, a_id, b_id, contradiction_prob, {_cut('a_text', 200, ' | ')} AS a_text, {_cut('b_text', 200, ' | ')} AS b_text
         FROM scored_pairs WHERE flagged"""),
+    "pair_features": (pair_features, f"""WITH {_SQL_PAIRS},
+        listed AS (SELECT *, regexp_extract_all(lower(a_text), '[a-z0-9'']+') AS al, regexp_extract_all(lower(b_text), '[a-z0-9'']+') AS bl
+                   FROM scored_pairs),
+        grams AS (SELECT *, list_distinct(list_transform(range(1, len(al)), lambda i: al[i] || ' ' || al[i + 1])) AS ag,
+                         list_distinct(list_transform(range(1, len(bl)), lambda i: bl[i] || ' ' || bl[i + 1])) AS bg,
+                         len(list_intersect(aw, bw))::DOUBLE AS same FROM listed)
+        SELECT qid, a_id, b_id,
+          round(CASE WHEN len(aw) + len(bw) = 0 THEN 1 ELSE same / len(list_distinct(list_concat(aw, bw))) END, 6) AS shared,
+          round(CASE WHEN len(aw) = 0 THEN 1 ELSE same / len(aw) END, 6) AS a_covered,
+          round(CASE WHEN len(bw) = 0 THEN 1 ELSE same / len(bw) END, 6) AS b_covered,
+          round(CASE WHEN len(ag) + len(bg) = 0 THEN 1
+            ELSE len(list_intersect(ag, bg))::DOUBLE / len(list_distinct(list_concat(ag, bg))) END, 6) AS neighbours,
+          (({_neg('aw')}) <> ({_neg('bw')}))::INTEGER::DOUBLE AS negated,
+          (len(an) > 0 AND len(bn) > 0 AND len(list_intersect(an, bn)) = 0)::INTEGER::DOUBLE AS other_numbers,
+          ((a_sentiment > 0.05 AND b_sentiment < -0.05) OR (a_sentiment < -0.05 AND b_sentiment > 0.05))::INTEGER::DOUBLE AS opposed,
+          round(abs(a_sentiment - b_sentiment), 6) AS sentiment_gap FROM grams"""),
+    "pair_scores_fitted": (pair_scores_fitted, None),
     "seed_pairs": (seed_pairs, f"WITH {_SQL_SEED_PAIRS} SELECT {', '.join(_PAIR_COLUMNS)} FROM scored_pairs"),
     "pair_verdict": (pair_verdict, f"WITH {_SQL_PAIRS} SELECT qid, verdict, count(*) AS n FROM scored_pairs GROUP BY ALL"),
     "resolve_vectors": (resolve_vectors, f"""{_SQL_RESOLVE}
