@@ -11,7 +11,7 @@ from turnloom import constants as K
 from turnloom.functions import sentiment, style
 from turnloom.functions import text as T
 from turnloom.functions.sentiment import Lexicon
-from turnloom.operators import binning, drift, entities, profile, tagger, topics
+from turnloom.operators import binning, drift, entities, profile, sketches, tagger, topics
 from turnloom.operators import turns as turn_ops
 from turnloom.plans import drift as drift_plan
 from turnloom.plans import entities as entity_plan
@@ -252,6 +252,17 @@ def entities_top(spark, sf):
     return entities.top_entities(found)
 
 
+def entities_merged(spark, sf):
+    """Conversations of each entity from merged sketches of the days, held against the exact count: ``near`` within four errors."""
+    turns = I.turns(spark, sf).select("day", "conversation_id", "turn_index", "text")
+    mentions = stored(entities.keep_mentions(entities.gazetteer_mentions(turns, I.gazetteer(spark)),
+                                             K.PROFILE_ENTITY_LABELS, K.PROFILE_PRONOUNS), "mentions")
+    days = stored(sketches.by_period(mentions, ["entity"], "conversation_id"), "sketches")
+    exact = mentions.groupBy("entity").agg(F.count_distinct("conversation_id").alias("exact"))
+    return sketches.merged(days, ["entity"]).join(exact, "entity").select(
+        "entity", "n", "exact", (F.abs(F.col("distinct") - F.col("exact")) <= F.lit(4 * sketches.error()) * F.col("exact")).alias("near"))
+
+
 def entities_tagged(spark, sf):
     """Mentions in all turns by a tagger fitted on the gazetteer's in three turns of four, and its F1 on the fourth."""
     turns = I.turns(spark, sf).select("day", "conversation_id", "turn_index", "text")
@@ -479,6 +490,8 @@ QUERIES = {
     "topic_concentration_events": (topic_concentration_events, SQL_CONCENTRATION_EVENTS),
     "entity_mentions": (entity_mentions, SQL_MENTIONS),
     "entities_top": (entities_top, SQL_ENTITIES),
+    "entities_merged": (entities_merged, f"""WITH {_SQL_PROFILE_MENTIONS}
+        SELECT entity, count(*) AS n, count(DISTINCT conversation_id) AS exact, TRUE AS near FROM mentions GROUP BY entity"""),
     "entities_tagged": (entities_tagged, None),
     "entity_rollup": (entity_rollup, SQL_ENTITY_ROLLUP),
     "candidate_record": (candidate_record, SQL_CANDIDATE_RECORD),

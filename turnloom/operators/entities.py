@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Callable, Sequence
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
@@ -57,16 +57,17 @@ def keep_mentions(mentions: DataFrame, labels: Sequence[str], pronouns: Sequence
         & ~F.lower("entity").isin(list(pronouns)))
 
 
-def top_entities(mentions: DataFrame, k: int = K.TOP_ENTITIES) -> DataFrame:
+def top_entities(mentions: DataFrame, k: int = K.TOP_ENTITIES,
+                 distinct: Callable[[str], Column] = F.count_distinct) -> DataFrame:
     """``day, rank, text, label, count, distinct_convos``: most frequent first, then first seen.
 
-    The label is the last one seen for the surface form that day.
+    The label is the last one seen for the surface form that day. ``distinct=sketches.approximate()`` estimates the spread.
     """
     place = F.struct("conversation_id", "turn_index", "run", "start")
     counted = mentions.groupBy("day", F.col("entity").alias("text")).agg(
         F.max_by("label", place).alias("label"),
         F.count("*").alias("count"),
-        F.count_distinct("conversation_id").alias("distinct_convos"),
+        distinct("conversation_id").alias("distinct_convos"),
         F.min(place).alias("first_place"))
     order = W.partitionBy("day").orderBy(F.desc("count"), "first_place")
     return (
@@ -74,7 +75,7 @@ def top_entities(mentions: DataFrame, k: int = K.TOP_ENTITIES) -> DataFrame:
         .select("day", "rank", "text", "label", "count", "distinct_convos"))
 
 
-def entity_rollup(mentions: DataFrame) -> DataFrame:
+def entity_rollup(mentions: DataFrame, distinct: Callable[[str], Column] = F.count_distinct) -> DataFrame:
     """One row per surface form with its most frequent label, volume, spread and sentiment statistics.
 
     Labels are counted as they come; of equally frequent ones the first in alphabetical order counts.
@@ -86,8 +87,8 @@ def entity_rollup(mentions: DataFrame) -> DataFrame:
              .select(F.col("entity").alias("of"), "label"))
     rolled = mentions.groupBy("entity").agg(
         F.count("*").alias("total_mentions"),
-        F.count_distinct("conversation_id").alias("distinct_conversations"),
-        F.count_distinct("day").alias("distinct_day_buckets"),
+        distinct("conversation_id").alias("distinct_conversations"),
+        distinct("day").alias("distinct_day_buckets"),
         F.var_pop("compound").alias("sentiment_variance"),
         F.avg("compound").alias("sentiment_mean"),
         F.min("compound").alias("sentiment_min"),

@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from collections.abc import Callable
+
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from turnloom.functions import sentiment, style
@@ -42,7 +44,7 @@ def projected_turns(turns: DataFrame, lexicon: Lexicon | None = None, stop_words
         T.topic_tokens(F.col("text"), list(words)).alias("tokens"))
 
 
-def daily_rollup(turns: DataFrame) -> DataFrame:
+def daily_rollup(turns: DataFrame, distinct: Callable[[str], Column] = F.count_distinct) -> DataFrame:
     """One row per ``day`` from ``day, conversation_id, text, compound``, or from projected turns.
 
     All measures are sums of per-turn counts, so tasks combine them before the shuffle and a day
@@ -54,7 +56,7 @@ def daily_rollup(turns: DataFrame) -> DataFrame:
                               for name, column in counts.items()])
     sums = per_turn.groupBy("day").agg(
         F.count("*").alias("n_turns"),
-        F.count_distinct("conversation_id").alias("n_conversations"),
+        distinct("conversation_id").alias("n_conversations"),
         F.avg("compound").alias("mean_compound"),
         *[F.sum(name).alias(name) for name in counts],
     )

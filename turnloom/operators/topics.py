@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
 from dataclasses import dataclass
 from functools import lru_cache, reduce
 
@@ -142,7 +143,8 @@ def top_topics(turns: DataFrame, k: int = K.TOP_TOPICS, min_days: int = 2, stop_
         "day", "rank", "term", F.round(F.col("weight") / F.col("norm"), 4).alias("score"))
 
 
-def topic_concentration(turns: DataFrame, topics: DataFrame) -> DataFrame:
+def topic_concentration(turns: DataFrame, topics: DataFrame,
+                        distinct: Callable[[str], Column] = F.count_distinct) -> DataFrame:
     """Add ``count`` (whole-word hits) and ``distinct_convos`` to each top term of each day.
 
     The terms are at most k per day and travel to the turns; a cheap containment test runs before
@@ -159,7 +161,7 @@ def topic_concentration(turns: DataFrame, topics: DataFrame) -> DataFrame:
         .select("day", "conversation_id", "term", F.regexp_count("text", pattern).alias("hits"))
         .filter("hits > 0")
         .groupBy("day", "term")
-        .agg(F.sum("hits").alias("count"), F.count_distinct("conversation_id").alias("distinct_convos"))
+        .agg(F.sum("hits").alias("count"), distinct("conversation_id").alias("distinct_convos"))
     )
     zero = F.lit(0).cast("bigint")
     return topics.join(hits, ["day", "term"], "left").select(
