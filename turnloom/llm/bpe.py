@@ -31,7 +31,7 @@ from pyspark.sql import types as T
 from turnloom.llm.arrow import drop_column, mapped, pieces
 
 CHUNK = 1 << 16
-CACHED_WORDS = 200_000
+CACHED_WORDS = 400_000  # some 250 bytes each
 LONG_WORD = 200
 _SPACE = r"\p{White_Space}"
 
@@ -214,12 +214,18 @@ class Words(dict):
         return found
 
 
+@lru_cache(maxsize=1)
+def words(path: str) -> Words:
+    """The words known so far, kept from task to task by a worker process."""
+    return Words(tables(path))
+
+
 class Encoder:
     """Ids of whole texts; one encoder serves a task."""
 
-    def __init__(self, t: Tables, chunk: int = CHUNK):
+    def __init__(self, t: Tables, chunk: int = CHUNK, known: Words | None = None):
         self.t, self.chunk = t, chunk
-        self.word = Words(t).__getitem__
+        self.word = (Words(t) if known is None else known).__getitem__
         self.split = regex.compile("(" + "|".join(map(regex.escape, t.special)) + ")") if t.special else None
         self.longest_special = max(map(len, t.special), default=0)
 
@@ -313,7 +319,7 @@ def encode(df: DataFrame, path: str, text: str = "text", ids: str = "ids", keep_
     df = drop_column(df, ids)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encoder = Encoder(tables(path))
+        encoder = Encoder(tables(path), known=words(path))
         for batch in pieces(batches):
             flat, ends = array("i"), [0]
             for value in batch.column(text):
