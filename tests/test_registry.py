@@ -10,7 +10,7 @@ from tools import check
 SF = "/root/testdata/sf0.001"
 FAST = ["turns_strict", "bin_session", "bin_rows_composite", "bin_session_string", "bin_session_first_seen",
         "bin_timestamp", "daily_rollup", "entities_top", "weak_labels", "class_metrics",
-        "turn_pair_chunks", "composite_rerank", "contradiction_pairs", "drift_timeline"]
+        "entities_merged", "turn_pair_chunks", "composite_rerank", "seed_pairs", "pair_features", "contradiction_pairs", "drift_timeline"]
 
 
 def test_names():
