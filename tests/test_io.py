@@ -100,3 +100,19 @@ def test_periods_are_rewritten_by_content(spark, tmp_path):
     assert stored() == sorted(changed[:6], key=repr)
     assert sinks.write_stale_periods(table(rows).limit(0), path, "day") == ["01", "02"] and stored() == []
     assert sinks.fingerprints(table([("1", 1, "ab", None)]), "day").collect() != sinks.fingerprints(table([("1", 1, "a", None)]), "day").collect()
+
+
+def test_cells_that_say_missing(spark, tmp_path):
+    path = str(tmp_path / "marked.csv")
+    with open(path, "w", encoding="utf-8") as f:
+        f.write("text,label,source_rule\nhello,greet,r\nNA,greet,r\nbye,nan,r\nN/A or not,other,NULL\n")
+    assert {(r.text, r.source_rule) for r in tables.read_labeled(spark, path).collect()} == {("hello", "r"), ("N/A or not", None)}
+    assert tables.read_labeled(spark, path, keep_missing=True).count() == 4
+    marked = str(tmp_path / "hand.csv")
+    with open(marked, "w", encoding="utf-8") as f:
+        f.write("text,label\na,NA\n")
+    assert tables.load_dev(spark, marked, path).first().dev_source == "auto"  # the only label says "missing"
+
+
+def test_seed_prefix(spark):
+    assert {r.id for r in tables.seed_chunks(spark, [(1, "a"), (2, "b")], prefix="s-").collect()} == {"s-0", "s-1"}

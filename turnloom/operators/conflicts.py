@@ -70,15 +70,15 @@ def rule_scores(pairs: DataFrame, negations=K.NEGATIONS, number_words=K.NUMBER_W
 Scorer = Callable[[DataFrame], DataFrame]
 
 
-def score_pairs(pairs: DataFrame, scorer: Scorer = rule_scores) -> DataFrame:
-    """Scored pairs with the most probable ``verdict`` and whether they are ``flagged``."""
+def score_pairs(pairs: DataFrame, scorer: Scorer = rule_scores, contradiction_min: float = K.CONTRADICTION_MIN) -> DataFrame:
+    """Scored pairs with the most probable ``verdict`` and whether they are ``flagged``: contradicting beyond the limit."""
     scored = scorer(pairs)
     probabilities = F.array(*PROBABILITIES)
     best = F.array_position(probabilities, F.array_max(probabilities)).cast("int")
     verdict = F.element_at(F.array(*[F.lit(v) for v in VERDICTS]), best)
     return scored.withColumns({
         "verdict": verdict,
-        "flagged": F.col("contradiction_prob") > K.CONTRADICTION_MIN,
+        "flagged": F.col("contradiction_prob") > contradiction_min,
     }).withColumns({name: F.round(name, 4) for name in PROBABILITIES})
 
 

@@ -15,9 +15,9 @@ from turnloom.functions import measures
 _ALTERNATIVE = ["value", "label", "score", "count", "distinct_convos", "concentration"]
 
 
-def is_drift(delta: Column, overlap: Column, mood_changed: Column, tone_changed: Column) -> Column:
-    return ((delta > K.SENTIMENT_DELTA_MIN) | (overlap < K.TOPIC_JACCARD_MAX)
-            | mood_changed | tone_changed)
+def is_drift(delta: Column, overlap: Column, mood_changed: Column, tone_changed: Column,
+             delta_min: float = K.SENTIMENT_DELTA_MIN, overlap_max: float = K.TOPIC_JACCARD_MAX) -> Column:
+    return (delta > delta_min) | (overlap < overlap_max) | mood_changed | tone_changed
 
 
 def drift_score(delta: Column, overlap: Column, mood_changed: Column, tone_changed: Column) -> Column:
@@ -25,8 +25,11 @@ def drift_score(delta: Column, overlap: Column, mood_changed: Column, tone_chang
     return F.least(delta / 0.5, F.lit(1.0)) * 0.45 + (1.0 - overlap) * 0.35 + bump
 
 
-def detect_drift(profile: DataFrame) -> DataFrame:
-    """Compare each day with the one before it; the first day shows no change. A row without a day is no day."""
+def detect_drift(profile: DataFrame, **limits: float) -> DataFrame:
+    """Compare each day with the one before it; the first day shows no change. A row without a day is no day.
+
+    ``limits`` are those of ``is_drift``.
+    """
     profile = profile.filter(F.col("day").isNotNull())
     terms = F.transform("top_topics", lambda t: t["term"])
     days = profile.select("day", "avg_compound", "mood", "tone", terms.alias("terms"))
@@ -47,7 +50,7 @@ def detect_drift(profile: DataFrame) -> DataFrame:
         F.round("overlap", 4).alias("topic_jaccard"),
         "mood_changed", "tone_changed",
         F.round(drift_score(*measured), 4).alias("drift_score"),
-        is_drift(*measured).alias("drift_from_prev"),
+        is_drift(*measured, **limits).alias("drift_from_prev"),
     )
 
 

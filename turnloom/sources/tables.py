@@ -50,10 +50,17 @@ def read_conversations(spark: SparkSession, path: str) -> DataFrame:
         (F.col("offset") + F.col("place") - F.col("first_place")).alias("conversation_id"), "raw")
 
 
+def _without_markers(cells: DataFrame) -> DataFrame:
+    """String cells that say "missing" as nulls."""
+    return cells.select([F.when(~F.col(f"`{c}`").isin(MISSING_MARKERS), F.col(f"`{c}`")).alias(c) for c in cells.columns])
+
+
 def read_labeled(spark: SparkSession, path: str, keep_missing: bool = False) -> DataFrame:
-    """Weakly labelled rows ``text, label, source_rule``."""
+    """Weakly labelled rows ``text, label, source_rule``; cells that say "missing" are null, and dropped with their rows
+    unless ``keep_missing``."""
     rows = (spark.read.option("multiLine", True).option("quote", '"').option("escape", '"')
             .schema("text STRING, label STRING, source_rule STRING").csv(path, header=True))
+    rows = _without_markers(rows)
     return rows if keep_missing else rows.dropna(subset=["text", "label"])
 
 
@@ -69,8 +76,8 @@ def _read_if_present(read):
 def load_dev(spark: SparkSession, hand_path: str, auto_path: str) -> DataFrame:
     """Hand-labelled rows when any exist, else automatic gold; ``dev_source`` says which."""
     def read(path):
-        return (spark.read.option("multiLine", True).option("quote", '"').option("escape", '"')
-                .csv(path, header=True))
+        return _without_markers(spark.read.option("multiLine", True).option("quote", '"').option("escape", '"')
+                                .csv(path, header=True))
 
     hand = _read_if_present(lambda: read(hand_path))
     if hand is not None and "label" in hand.columns:
@@ -114,9 +121,9 @@ def read_lexicon(spark: SparkSession, path: str, **modifiers) -> Lexicon:
     return Lexicon({row.word: row.valence for row in table.collect()}, **modifiers)
 
 
-def seed_chunks(spark: SparkSession, seeds=None, lexicon: Lexicon | None = None) -> DataFrame:
-    """Caller-supplied seed rows ``(day, text)`` as chunks marked synthetic."""
-    rows = [(f"syn_sister_{i}", text, day) for i, (day, text) in enumerate(seeds or K.SEED_CHUNKS)]
+def seed_chunks(spark: SparkSession, seeds=None, lexicon: Lexicon | None = None, prefix: str = "syn_sister_") -> DataFrame:
+    """Caller-supplied seed rows ``(day, text)`` as chunks marked synthetic, their ids numbered after ``prefix``."""
+    rows = [(f"{prefix}{i}", text, day) for i, (day, text) in enumerate(seeds or K.SEED_CHUNKS)]
     return local_table(spark, rows, "id STRING, text STRING, day_bucket INT").select(
         "id", "text",
         F.lit(-1).cast("bigint").alias("conversation_id"),
