@@ -10,7 +10,6 @@ from turnloom import constants as K
 from turnloom.functions import rules
 from turnloom.operators import evaluation, intent, sampling
 from turnloom.plans import intent as plan
-from turnloom.scaling import materialize
 
 
 def _labelled(spark, sf):
@@ -137,7 +136,7 @@ def train_intent(spark, sf):
 
 def classify_intent(spark, sf):
     """Train on the sentences' weak labels, then classify every conversation turn."""
-    model = intent.train(materialize(_labelled(spark, sf)))
+    model = intent.train(_labelled(spark, sf))
     turns = I.plain_turns(spark, sf).select("conversation_id", "turn_index", "text")
     return intent.classify(turns, model).select("conversation_id", "turn_index", "label", "confidence")
 

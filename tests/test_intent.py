@@ -110,3 +110,24 @@ def test_model_round_trip(spark, tmp_path):
     again, vocabulary = tables.read_model(spark, str(tmp_path / "m"))
     assert [r.term for r in vocabulary.orderBy("position").collect()] == list(model.stages[0].vocabulary)
     assert intent.classify(rows, again).collect() == intent.classify(rows, model).collect()
+
+
+def test_training_reads_its_rows_once(spark):
+    seen = spark.sparkContext.accumulator(0)
+
+    def passed(batches):
+        for batch in batches:
+            seen.add(len(batch))
+            yield batch
+
+    rows = labelled(spark, 200).select("text", "label").mapInPandas(passed, "text STRING, label STRING")
+    model = intent.train(rows, max_iter=3)
+    assert seen.value == 200
+    assert model.stages[0].vocabulary == [r.term for r in intent.vocabulary(labelled(spark, 200)).collect()]
+
+
+def test_vocabulary_of_texts_with_and_without_repeats(spark):
+    rows = spark.createDataFrame([("aa bb aa bb cc",), ("aa cc",), ("Éa ea",), ("",), (None,)], "text STRING")
+    got = {r.term: (r.tf, r.df) for r in intent.vocabulary(rows, min_df=1).collect()}
+    assert got == {"aa": (3, 2), "bb": (2, 1), "cc": (2, 2), "ea": (2, 1), "aa bb": (2, 1), "bb aa": (1, 1), "bb cc": (1, 1),
+                   "aa cc": (1, 1), "ea ea": (1, 1)}

@@ -11,6 +11,7 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 from turnloom import constants as K
+from turnloom.functions.text import let as _let
 
 # Words per map on average: a map is searched from its beginning, so these stay small.
 _PER_MAP = 4
@@ -45,11 +46,6 @@ def _lookup(table: dict[str, float], word: Column) -> Column:
     return F.coalesce(F.get(entries, at)[word], F.lit(0.0))
 
 
-def _let(value: Column, body) -> Column:
-    """Evaluate ``value`` once and use it many times in ``body``."""
-    return F.transform(F.array(value), body)[0]
-
-
 def _token(raw: Column) -> Column:
     bare = F.btrim(raw, F.lit(string.punctuation))
     return F.when(F.length(bare) <= 2, raw).otherwise(bare)

@@ -3,8 +3,9 @@
 from __future__ import annotations
 
 import unicodedata
+from collections.abc import Callable
 
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -16,20 +17,27 @@ def strip(text: Column) -> Column:
     return F.regexp_replace(text, r"(?U)\A[\s\x1c-\x1f]+|[\s\x1c-\x1f]+\z", "")
 
 
+def let(value: Column, body: Callable[[Column], Column]) -> Column:
+    """Evaluate ``value`` once and use it many times in ``body``."""
+    return F.transform(F.array(value), body)[0]
+
+
 def words_regex(alternatives: str) -> str:
     """Case-insensitive whole-word pattern with Unicode word borders on every JDK."""
     return rf"(?iU)\b(?:{alternatives})\b"
 
 
 def _normalizer(form: str, drop_marks: bool):
-    def normalize(texts: pd.Series) -> pd.Series:
-        def one(text):
-            if text is None:
-                return None
-            text = unicodedata.normalize(form, text)
-            return "".join(c for c in text if not unicodedata.combining(c)) if drop_marks else text
-        return texts.map(one)
-    return F.pandas_udf(normalize, "string")
+    def one(text: str) -> str:
+        text = unicodedata.normalize(form, text)
+        return "".join(c for c in text if not unicodedata.combining(c)) if drop_marks else text
+
+    def normalize(texts: pa.Array) -> pa.Array:
+        if texts.null_count == len(texts):  # nothing to do, as in any batch of ASCII texts
+            return texts
+        return pa.array([None if text is None else one(text) for text in texts.to_pylist()], texts.type)
+
+    return F.arrow_udf(normalize, "string")
 
 
 def unicode_normalize(text: Column, form: str = "NFKC", drop_marks: bool = False) -> Column:
@@ -97,8 +105,13 @@ def topic_tokens(text: Column, stop_words: list[str]) -> Column:
 def intent_terms(text: Column) -> Column:
     """Accent-free one- and two-word terms over tokens of two word characters or more."""
     plain = unicode_normalize(F.lower(text), "NFKD", drop_marks=True)
-    tokens = F.regexp_extract_all(plain, F.lit(r"(?U)\b\w\w+\b"), F.lit(0))
-    return F.concat(tokens, pairs_of(tokens))
+
+    def tokens(plain: Column) -> Column:
+        # The same words; Unicode classes and borders are looked at only where the text needs them.
+        found = [F.regexp_extract_all(plain, F.lit(p), F.lit(0)) for p in (r"(?U)\b\w\w+\b", "[0-9A-Za-z_]{2,}")]
+        return F.when(plain.rlike(r"[^\x00-\x7F]"), found[0]).otherwise(found[1])
+
+    return let(let(plain, tokens), lambda found: F.concat(found, pairs_of(found)))
 
 
 def entity_content_tokens(entity: Column) -> Column:

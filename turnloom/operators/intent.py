@@ -15,6 +15,7 @@ from pyspark.sql import functions as F
 from turnloom import constants as K
 from turnloom.functions import text as T
 from turnloom.operators import evaluation
+from turnloom.scaling import stored
 
 
 def with_terms(rows: DataFrame) -> DataFrame:
@@ -27,12 +28,20 @@ def vocabulary(rows: DataFrame, max_features: int = K.MAX_FEATURES, min_df: int
     Term and row counts come from one explode and one combined aggregate. Ties go to the
     alphabetically first term.
     """
-    terms = F.col("terms")
-    seen = F.concat(F.transform(terms, lambda t: F.struct(t.alias("term"), F.lit(1).alias("tf"), F.lit(0).alias("df"))),
-                    F.transform(F.array_distinct(terms),
-                                lambda t: F.struct(t.alias("term"), F.lit(0).alias("tf"), F.lit(1).alias("df"))))
+    return _vocabulary(with_terms(rows), max_features, min_df)
+
+
+def _vocabulary(rows: DataFrame, max_features: int, min_df: int) -> DataFrame:
+    """``vocabulary`` of rows that carry their ``terms``."""
+    def counted_as(terms, tf, df):
+        return F.transform(terms, lambda t: F.struct(t.alias("term"), F.lit(tf).alias("tf"), F.lit(df).alias("df")))
+
+    # Where no term comes twice, one entry a term counts for both.
+    seen = T.let(F.struct("terms", F.array_distinct("terms").alias("once")), lambda row: F.when(
+        F.size(row["terms"]) == F.size(row["once"]), counted_as(row["terms"], 1, 1)).otherwise(
+        F.concat(counted_as(row["terms"], 1, 0), counted_as(row["once"], 0, 1))))
     counted = (
-        with_terms(rows).select(F.inline(seen)).groupBy("term")
+        rows.select(F.inline(seen)).groupBy("term")
         .agg(F.sum("tf").alias("tf"), F.sum("df").alias("df"))
         .filter(F.col("df") >= min_df)
         .orderBy(F.desc("tf"), "term").limit(max_features))
@@ -50,9 +59,11 @@ def balanced_weights(rows: DataFrame) -> DataFrame:
 def train(rows: DataFrame, max_features: int = K.MAX_FEATURES, min_df: int = K.MIN_DF,
           max_iter: int = 1000) -> PipelineModel:
     """Fit on ``text, label``. The vocabulary (at most ``max_features`` terms) is the only table
-    that reaches the driver, as part of the model; gradients are tree-aggregated."""
-    kept = rows.select("text", "label").dropna()
-    terms = vocabulary(kept, max_features, min_df).collect()
+    that reaches the driver, as part of the model; gradients are tree-aggregated.
+
+    ``rows`` are read once: their terms are stored, and so are the features that the optimiser reads."""
+    kept = stored(with_terms(rows.select("text", "label").dropna()).select("terms", "label"), "intent-terms")
+    terms = _vocabulary(kept, max_features, min_df).collect()
     counts = CountVectorizerModel.from_vocabulary([t.term for t in terms], "terms", "counts")
     weigh = ElementwiseProduct(scalingVec=DenseVector([t.idf for t in terms]), inputCol="counts",
                                outputCol="weighted")
@@ -63,8 +74,8 @@ def train(rows: DataFrame, max_features: int = K.MAX_FEATURES, min_df: int = K.M
     names, n_rows = sorted(weights), sum(r.n for r in weights.values())
     index = StringIndexerModel.from_labels(names, "label", "label_index")
     weight = F.create_map(*[F.lit(x) for name in names for x in (name, weights[name].weight)])[F.col("label")]
-    prepared = index.transform(features.transform(with_terms(kept))).select(
-        "features", "label_index", weight.alias("weight"))
+    prepared = stored(index.transform(features.transform(kept)).select(
+        "features", "label_index", weight.alias("weight")), "intent-features")
     # Balanced weights sum to the number of rows, over which Spark averages the loss; a summed loss
     # with unit inverse regularisation is therefore 1 / n here.
     regression = LogisticRegression(

@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 from turnloom import constants as K
 from turnloom.functions import rules
 from turnloom.operators import intent, sampling, turns
-from turnloom.scaling import materialize
+from turnloom.scaling import materialize, stored
 
 
 def label_lines(lines: DataFrame, weak_rules=rules.WEAK_RULES) -> DataFrame:
@@ -26,10 +26,11 @@ def label_corpus(conversations: DataFrame, weak_rules=rules.WEAK_RULES) -> DataF
 def train_and_evaluate(labelled: DataFrame, dev: DataFrame | None = None, labels=K.LABELS,
                        max_iter: int = 1000) -> tuple[PipelineModel, DataFrame]:
     """Model and its metrics record; without ``dev`` a gold sample is drawn from the rows."""
-    labelled = materialize(labelled)
+    labelled = stored(labelled, "labelled")
     source = "hand"
     if dev is None:
-        dev, source = sampling.gold_table(sampling.stratified_head(labelled, labels=labels)), "auto"
+        # A bounded number of rows a label, read by each metric.
+        dev, source = materialize(sampling.gold_table(sampling.stratified_head(labelled, labels=labels))), "auto"
     model = intent.train(labelled, max_iter=max_iter)
     metrics = intent.evaluate(dev, model, labels)
     return model, intent.metrics_record(metrics, model, labelled.count(), dev.count(), source)
