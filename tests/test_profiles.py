@@ -192,3 +192,24 @@ def test_a_null_day_is_no_day(spark):
                                   "day INT, conversation_id BIGINT, turn_index INT, text STRING")
     assert {r.day for r in topics.top_topics(turns, stop_words=()).collect()} == {0, 1}
     assert "stray" not in {r.term for r in topics.term_counts(turns, stop_words=()).collect()}
+
+
+def test_terms_of_many_days_are_counted_in_narrow_rows(spark):
+    rows = [(day, f"t{n}") for day in range(40) for n in range(0, 60, day + 1)]
+    terms = spark.createDataFrame(rows, "day INT, term STRING")
+    counted = topics._counts_by_term(terms, list(range(40)), 2)
+    assert "d39" not in counted._jdf.queryExecution().optimizedPlan().toString()  # no counter a day
+    days = {}
+    for day, term in rows:
+        days.setdefault(term, set()).add(day)
+    assert sorted(tuple(r) for r in counted.select("day", "term", "tf", "df").collect()) == sorted(
+        (day, term, 1, len(days[term])) for day, term in rows if len(days[term]) > 1)
+
+
+def test_top_topics_reads_counts_that_are_stored(spark):
+    # Ties at the last place, and a day with fewer terms than places.
+    rows = [(0, 1, 0, "aa xx bb xx cc xx dd"), (0, 2, 0, "aa"), (1, 3, 0, "aa xx bb xx cc xx dd"), (2, 4, 0, "dd"), (None, 5, 0, "aa")]
+    turns = spark.createDataFrame(rows, "day INT, conversation_id BIGINT, turn_index INT, text STRING")
+    top = topics.top_topics(turns, k=2, stop_words=["xx"])
+    assert any("term-counts" in name for name in top.inputFiles())
+    assert sorted((r.day, r.rank, r.term) for r in top.collect()) == [(0, 1, "aa"), (0, 2, "cc dd"), (1, 1, "cc dd"), (1, 2, "cc"), (2, 1, "dd")]

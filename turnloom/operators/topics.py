@@ -13,12 +13,12 @@ from pyspark.sql import functions as F
 
 from turnloom import constants as K
 from turnloom.functions import text as T
-from turnloom.scaling import materialize
+from turnloom.scaling import materialize, stored
 
 # Rows ordered by one task at most when pairing the last word of a turn with the first of the next.
 _BLOCK = 65_536
-# Days counted side by side in one aggregate.
-_MAX_COUNTERS = 64
+# Days counted side by side in one aggregate: a counter a day and term stays in memory, however rare the term.
+_MAX_COUNTERS = 8
 
 
 @lru_cache(maxsize=1)
@@ -110,13 +110,11 @@ def _counts_by_term(terms: DataFrame, days: list[int], min_days: int, widest: in
 
     With few days a term keeps one counter per day and a bit per day seen, so occurrences are combined
     before the only shuffle and rare terms go before anything else is built. With many, days are
-    counted first and then listed: a term has one entry per day.
+    counted first: a term has one narrow row per day that has it.
     """
     if not days or days[-1] - days[0] >= widest:
         counted = terms.groupBy("day", "term").agg(F.count("*").alias("tf"))
-        listed = counted.groupBy("term").agg(F.collect_list(F.struct("day", "tf")).alias("days"))
-        found = listed.select("term", F.size("days").alias("df"), "days").filter(F.col("df") >= min_days)
-        return found.select("term", "df", F.inline("days"))
+        return counted.withColumn("df", F.count("*").over(W.partitionBy("term"))).filter(F.col("df") >= min_days)
     counters = [F.count_if(F.col("day") == day).alias(f"d{i}") for i, day in enumerate(days)]
     seen = F.bit_count(F.bit_or(F.expr(f"shiftleft(1L, day - ({days[0]}))")))
     found = terms.groupBy("term").agg(seen.alias("df"), *counters).filter(F.col("df") >= min_days)
@@ -133,14 +131,21 @@ def top_topics(turns: DataFrame, k: int = K.TOP_TOPICS, min_days: int = 2, stop_
     """
     turns = turns.filter(F.col("day").isNotNull())
     extent = _Extent.of(turns)
-    counted = _counts_by_term(_terms(turns, extent, stop_words), extent.days, min_days)
-    idf = F.log((1 + len(extent.days)) / (1 + F.col("df"))) + 1
-    weighted = counted.select("day", "term", (F.col("tf") * idf).alias("weight"))
-    norms = weighted.groupBy("day").agg(F.sqrt(F.sum(F.col("weight") * F.col("weight"))).alias("norm"))
+    # Counted once and stored; two passes over a few numbers a term follow.
+    counted = stored(_counts_by_term(_terms(turns, extent, stop_words), extent.days, min_days)
+                     .select("day", "term", "tf", "df"), "term-counts")
+    weight = F.col("tf") * (F.log((1 + len(extent.days)) / (1 + F.col("df"))) + 1)
+    # Terms of a day with the same counts weigh the same, so the table of counts gives the norm and the weight of the
+    # k-th term, and only terms of at least that weight are ranked.
+    alike = counted.groupBy("day", "tf", "df").agg(F.count("*").alias("n")).withColumn("weight", weight)
+    heavier = W.partitionBy("day").orderBy(F.desc("weight")).rowsBetween(W.unboundedPreceding, -1)
+    days = alike.withColumn("above", F.coalesce(F.sum("n").over(heavier), F.lit(0))).groupBy("day").agg(
+        F.sqrt(F.sum(F.col("n") * F.col("weight") * F.col("weight"))).alias("norm"),
+        F.min(F.when(F.col("above") < k, F.col("weight"))).alias("least"))
     best_first = W.partitionBy("day").orderBy(F.desc("weight"), F.desc("term"))
-    best = weighted.withColumn("rank", F.row_number().over(best_first)).filter(F.col("rank") <= k)
-    return best.join(F.broadcast(norms), "day").select(  # one row per day
-        "day", "rank", "term", F.round(F.col("weight") / F.col("norm"), 4).alias("score"))
+    heavy = counted.withColumn("weight", weight).join(F.broadcast(days), "day").filter("weight >= least")  # one row per day
+    best = heavy.withColumn("rank", F.row_number().over(best_first)).filter(F.col("rank") <= k)
+    return best.select("day", "rank", "term", F.round(F.col("weight") / F.col("norm"), 4).alias("score"))
 
 
 def topic_concentration(turns: DataFrame, topics: DataFrame,
