@@ -1,4 +1,5 @@
 import random
+import tracemalloc
 
 import numpy as np
 import pytest
@@ -65,3 +66,19 @@ def test_resolve_with_the_dense_encoder(spark):
     index, encoder = plan.index_chunks(chunks, encoder=dense.fit(chunks, dimensions=16, features=512))
     out = plan.resolve(tables.demo_queries(spark), index, encoder, k=5).collect()
     assert len(out) == 3 and all(any(c.synthetic for c in r.source_chunks) for r in out)
+
+
+@pytest.mark.parametrize("per_row", [100, 1])
+def test_products_hold_little(per_row):
+    rng = np.random.default_rng(3)
+    rows = np.sort(rng.integers(0, 20_000 // per_row, 20_000))
+    columns, values, right = rng.integers(0, 300, 20_000), rng.random(20_000), rng.random((300, 400))
+    total = np.zeros((20_000 // per_row, 400))
+    tracemalloc.start()
+    dense._add_product(total, rows, columns, values, right)
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    matrix = np.zeros((len(total), 300))
+    np.add.at(matrix, (rows, columns), values)
+    assert np.allclose(total, matrix @ right)
+    assert peak < 8_000_000  # a copy of the gathered rows of a whole block takes 26 MB

@@ -25,7 +25,9 @@ DIMENSIONS = 384
 FEATURES = 1 << 14
 _FAN_IN = 32  # sums joined by one task
 _BLOCK = 256  # rows of a sum that travel together
-_PRODUCTS = 8_192  # rows of a product held at once
+_PRODUCTS = 8_192  # entries taken together
+_FEW = 3  # entries a row below which rows are not multiplied one by one
+_GATHERED = 512  # rows of a product held at once then: they stay in the processor's cache
 
 
 def _cells(text: Column, features: int) -> Column:
@@ -46,9 +48,16 @@ def _entries(cells: pa.ListArray, idf: np.ndarray) -> tuple[np.ndarray, np.ndarr
 def _add_product(total: np.ndarray, rows: np.ndarray, columns: np.ndarray, values: np.ndarray, right: np.ndarray) -> None:
     """Add the sparse matrix of the given entries, ordered by row, times ``right`` to ``total``."""
     for start in range(0, len(rows), _PRODUCTS):
-        part = slice(start, start + _PRODUCTS)
-        starts = np.flatnonzero(np.diff(rows[part], prepend=-1))
-        total[rows[part][starts]] += np.add.reduceat(values[part, None] * right[columns[part]], starts)
+        stop = min(start + _PRODUCTS, len(rows))
+        starts = np.flatnonzero(np.diff(rows[start:stop], prepend=-1)) + start
+        if len(starts) * _FEW <= stop - start:  # enough entries a row for a vector times a matrix
+            for a, b in zip(starts.tolist(), [*starts[1:].tolist(), stop]):
+                total[rows[a]] += values[a:b] @ right[columns[a:b]]
+            continue
+        for a in range(start, stop, _GATHERED):
+            part = slice(a, min(a + _GATHERED, stop))
+            firsts = np.flatnonzero(np.diff(rows[part], prepend=-1))
+            total[rows[part][firsts]] += np.add.reduceat(values[part, None] * right[columns[part]], firsts)
 
 
 def _projected(cells: pa.ListArray, idf: np.ndarray, basis: np.ndarray):
