@@ -77,3 +77,21 @@ def test_in_the_plan(spark):
     model = tagger.fit(turns, _gazetteer(spark))
     found = plan.scored_mentions(turns, _gazetteer(spark), extractor=tagger.extractor(model))
     assert {"day", "entity", "label", "compound"} <= set(found.columns) and found.count() > 50
+
+
+def test_many_texts_are_tagged_together(monkeypatch):
+    rng, tags = np.random.default_rng(5), tagger.tags_of(["A", "B"])
+    model = tagger.Model(tags, rng.normal(size=(1 << tagger.BITS, len(tags))).round(1), rng.normal(size=(len(tags) + 1, len(tags))).round(1))
+    moves = np.where(tagger.barred(tags), -np.inf, model.moves)
+    words = ["The", "of", "don't", "x9", "Ci", "-"]
+    texts = [None, "", *["".join(words[i] + [" ", " ", ", "][i % 3] for i in rng.integers(0, 6, n)) for n in rng.integers(0, 40, 200)]]
+    calls, together = [], tagger._best_tags
+    monkeypatch.setattr(tagger, "_best_tags", lambda *a: calls.append(1) or together(*a))
+    found = [tuple(m) for m in tagger._tagged(texts, model, moves)]
+    assert len(calls) == 1
+    assert found == [(i, *m) for i, text in enumerate(texts) for m in tagger.tagged(text, model)]
+    for text in texts:
+        for _, chain in tagger.chains(text or ""):
+            scores = model.weights[tagger.features(chain)].sum(axis=1)
+            assert np.array_equal(tagger._scores([chain], model.weights), scores)
+            assert together(scores, np.array([len(chain)]), moves).tolist() == tagger.viterbi(scores, moves)

@@ -30,6 +30,7 @@ from turnloom.scaling import stored
 FIT_TURNS = 4_000
 SHARDS = 8
 ROUNDS = 5
+_WORDS = 1 << 16  # texts are tagged together up to so many words
 BITS = 14  # rows of the weight table: 2^14 hashed features
 
 _WORD = regex.compile(r"[\w'-]+")
@@ -197,22 +198,81 @@ def _pass(model: Model) -> Callable[[pa.Table], pa.Table]:
     return train
 
 
-def tagged(text: str | None, model: Model, moves: np.ndarray | None = None) -> Iterator[tuple[int, str, str]]:
-    """``place, entity, label`` of the mentions of one text; ``place`` counts its words."""
-    if moves is None:
-        moves = np.where(barred(model.tags), -np.inf, model.moves)
-    place = 0
-    for _, words in chains(text or ""):
-        chain = viterbi(model.weights[features(words)].sum(axis=1), moves)
+def _scores(chained: list[list[str]], weights: np.ndarray) -> np.ndarray:
+    """Scores of the words of all chains, one after the other, as ``weights[features(words)].sum(axis=1)`` has them."""
+    numbers: dict[str, int] = {"": 0}
+    ids = [[numbers.setdefault(word, len(numbers)) for word in words] for words in chained]
+    flat = np.array([i for chain in ids for i in (*chain, 0)])  # a border after each chain
+    own, before, after = (np.array([f(word) for word in numbers]) for f in (
+        _own, lambda word: _near("-", word), lambda word: _near("+", word)))
+    total = weights[own].sum(axis=1)[flat]
+    for table, beside in ((before, np.roll(flat, 1)), (after, np.roll(flat, -1))):
+        for k in range(table.shape[1]):
+            total += weights[table[:, k]][beside]
+    return total[flat > 0]
+
+
+def _best_tags(scores: np.ndarray, lengths: np.ndarray, moves: np.ndarray) -> np.ndarray:
+    """``viterbi`` of many chains side by side, step by step; a chain's words follow each other in ``scores``."""
+    order = np.argsort(-lengths, kind="stable")
+    starts, lengths = (np.cumsum(lengths) - lengths)[order], lengths[order]
+    active = np.searchsorted(-lengths, -np.arange(lengths[0]), side="left")  # chains longer than each step
+    best = scores[starts] + moves[-1]
+    back = np.zeros(scores.shape, np.int16)
+    for step in range(1, lengths[0]):
+        n = active[step]
+        at = starts[:n] + step
+        ways = best[:n, :, None] + moves[:-1]
+        back[at] = came = ways.argmax(axis=1)
+        best[:n] = np.take_along_axis(ways, came[:, None], axis=1)[:, 0] + scores[at]
+    tags = np.zeros(len(scores), np.int16)
+    tags[starts + lengths - 1] = best.argmax(axis=1)
+    for step in range(lengths[0] - 1, 0, -1):
+        at = starts[:active[step]] + step
+        tags[at - 1] = back[at, tags[at]]
+    return tags
+
+
+def _tagged(texts: list[str | None], model: Model, moves: np.ndarray) -> Iterator[tuple[int, int, str, str]]:
+    """``number of the text, place, entity, label`` of the mentions of several texts, in order."""
+    held: list[tuple[int, int, list[str]]] = []
+    n_words = 0
+    for i, text in enumerate(texts):
+        place = 0
+        for _, words in chains(text or ""):
+            held.append((i, place, words))
+            place += len(words)
+        n_words += place
+        if n_words >= _WORDS:
+            yield from _found(held, model, moves)
+            held, n_words = [], 0
+    if held:
+        yield from _found(held, model, moves)
+
+
+def _found(held: list[tuple[int, int, list[str]]], model: Model, moves: np.ndarray) -> Iterator[tuple[int, int, str, str]]:
+    lengths = np.array([len(words) for _, _, words in held])
+    every = _best_tags(_scores([words for _, _, words in held], model.weights), lengths, moves)
+    ends = np.cumsum(lengths)
+    for c in np.unique(np.searchsorted(ends, np.flatnonzero(every), side="right")):  # chains with more than O
+        i, place, words = held[c]
+        chain = every[ends[c] - lengths[c]:ends[c]].tolist()
         begun = None
-        for i, tag in enumerate([*chain, 0]):
+        for at, tag in enumerate([*chain, 0]):
             name = model.tags[tag]
             if begun is not None and name[0] != "I":
-                yield place + begun, " ".join(words[begun:i]), model.tags[chain[begun]][2:]
+                yield i, place + begun, " ".join(words[begun:at]), model.tags[chain[begun]][2:]
                 begun = None
             if name[0] == "B":
-                begun = i
-        place += len(words)
+                begun = at
+
+
+def tagged(text: str | None, model: Model, moves: np.ndarray | None = None) -> Iterator[tuple[int, str, str]]:
+    """``place, entity, label`` of the mentions of one text; ``place`` counts its words."""
+    if moves is None:
+        moves = np.where(barred(model.tags), -np.inf, model.moves)
+    for _, *mention in _tagged([text], model, moves):
+        yield tuple(mention)
 
 
 def mentions(turns: DataFrame, model: Model) -> DataFrame:
@@ -228,10 +288,9 @@ def mentions(turns: DataFrame, model: Model) -> DataFrame:
         moves = np.where(barred(model.tags), -np.inf, model.moves)
         for batch in batches:
             at, found = [], []
-            for i, text in enumerate(batch.column("text").to_pylist()):
-                for mention in tagged(text, model, moves):
-                    at.append(i)
-                    found.append(mention)
+            for i, *mention in _tagged(batch.column("text").to_pylist(), model, moves):
+                at.append(i)
+                found.append(mention)
             kept = batch.select(carry).take(pa.array(at, pa.int64()))
             places, names, labels = ([m[k] for m in found] for k in range(3))
             made = [pa.array(places, pa.int32()), pa.array([0] * len(at), pa.int32()), pa.array(names, pa.string()),
