@@ -2,6 +2,7 @@
 
 import itertools
 import random
+import zlib
 
 import numpy as np
 
@@ -95,3 +96,71 @@ def test_many_texts_are_tagged_together(monkeypatch):
             scores = model.weights[tagger.features(chain)].sum(axis=1)
             assert np.array_equal(tagger._scores([chain], model.weights), scores)
             assert together(scores, np.array([len(chain)]), moves).tolist() == tagger.viterbi(scores, moves)
+
+
+def test_every_turn_is_learned_from(spark):
+    """A name that only turns beyond the former sample of 4,000 hold is labelled as there."""
+    n, rare = 8_000, "We met Qorp in Rome again!"
+    share = int((1.3 * 4_000 + 20) / n * (1 << 30))
+    turns = spark.range(n).selectExpr(
+        "id AS conversation_id", "0 AS turn_index",
+        f"IF(pmod(xxhash64(id, 0, '{rare}'), {1 << 30}) >= {share}, '{rare}', concat('We met ', elt(1 + id % 3, 'Ann', 'Bo', 'Zed'), ' in Rome again!')) AS text")
+    assert 1_000 < turns.filter(f"text = '{rare}'").count() < 4_000
+    gazetteer = spark.createDataFrame([*LABELS, ("Zed", "PERSON"), ("Qorp", "ORG")], "surface STRING, label STRING")
+    found = tagger.mentions(turns.limit(2_000), tagger.fit(turns, gazetteer))
+    assert {(r.entity, r.label) for r in found.select("entity", "label").distinct().collect()} == {
+        ("Ann", "PERSON"), ("Bo", "PERSON"), ("Zed", "PERSON"), ("Qorp", "ORG"), ("Rome", "GPE")}
+
+
+def _chain_by_chain(turns, model):
+    """One pass of the averaged perceptron, written plainly."""
+    number = {tag: i for i, tag in enumerate(model.tags)}
+    weights, moves, stop = model.weights.copy(), model.moves.copy(), tagger.barred(model.tags)
+    sum_w, sum_m, step = np.zeros_like(weights), np.zeros_like(moves), 0
+    for text, mentions in turns:
+        for offset, words in tagger.chains(text):
+            gold = list(tagger._gold(words, offset, {m["offset"]: m for m in mentions}, number))
+            f = tagger.features(words)
+            found = tagger.viterbi(weights[f].sum(axis=1), np.where(stop, -np.inf, moves))
+            for chain, sign in ((gold, 1), (found, -1)) if found != gold else ():
+                for i, tag in enumerate(chain):
+                    for w, m, size in ((weights, moves, sign), (sum_w, sum_m, sign * step)):
+                        w[f[i], tag] += [size * (f[i][:k] == c).sum() + size for k, c in enumerate(f[i])]
+                        m[chain[i - 1] if i else -1, tag] += size
+            step += 1
+    return weights - sum_w / step, moves - sum_m / step
+
+
+def test_training_ahead_is_training_chain_by_chain():
+    rng, words, labels = random.Random(2), ["The", "of", "Ann", "Lee", "Rome", "x9", "it"], {"Ann": "A", "Rome": "B", "The": "B"}
+    tags = tagger.tags_of(["A", "B"])
+    turns = []
+    for _ in range(150):
+        text = "".join(rng.choice(words) + rng.choice([" ", " ", ", "]) for _ in range(rng.randint(0, 12)))
+        turns.append((text, [{"offset": m.start(), "n": 1, "label": labels[m[0]]} for m in tagger._WORD.finditer(text)
+                             if m[0] in labels and rng.random() < 0.9]))
+    model = tagger.Model(tags, np.zeros((1 << tagger.BITS, len(tags))), np.zeros((len(tags) + 1, len(tags))))
+    for _ in range(2):
+        wanted = _chain_by_chain(turns, model)
+        model = tagger.Model(tags, *tagger._trained(tagger._encoded(turns, tags), model))
+        assert np.allclose(model.weights, wanted[0]) and np.allclose(model.moves, wanted[1])
+    nothing = tagger._trained(tagger._encoded([("", []), ("...", [])], tags), model)
+    assert np.array_equal(nothing[0], model.weights)
+
+
+def test_shards_hold_all_turns(spark, monkeypatch):
+    """Equal rows, null keys and more text than a shard takes: the shards hold every chain of every text, and the same whatever the order."""
+    monkeypatch.setattr(tagger, "SHARD_CHARS", 1_000)
+    turns = _turns(spark, 300).unionByName(spark.sql(
+        "SELECT CAST(NULL AS BIGINT) AS conversation_id, CAST(NULL AS INT) AS turn_index, explode(array_repeat('We met Ann, Bo.', 2000)) AS text"))
+    turns = turns.unionByName(turns.limit(1).selectExpr("conversation_id", "turn_index", "CAST(NULL AS STRING) AS text"))
+    tags = tagger.tags_of(["GPE", "PERSON"])
+    shards = [{c: np.frombuffer(zlib.decompress(r[c]), np.int32) for c in ("lengths", "gold")}
+              for r in tagger._blocks(turns, _gazetteer(spark), tags).collect()]
+    wanted = sum(len(list(tagger.chains(r.text or ""))) for r in turns.collect())
+    assert sum(len(s["lengths"]) for s in shards) == wanted > 4_000
+    assert sum((s["gold"] == tags.index("B-PERSON")).sum() for s in shards) == entities.gazetteer_mentions(
+        turns.selectExpr("monotonically_increasing_id() AS conversation_id", "0 AS turn_index", "text"), _gazetteer(spark)).filter("label = 'PERSON'").count()
+    assert len(shards) > 30 and max(len(s["lengths"]) for s in shards) < wanted / 8
+    one, other = (tagger.fit(t, _gazetteer(spark), rounds=2) for t in (turns, turns.repartition(5)))
+    assert np.array_equal(one.weights, other.weights) and np.array_equal(one.moves, other.moves) and one.weights.any()

@@ -2,20 +2,24 @@
 
 Every word of a turn gets a tag, ``O`` or the begin or inside of a label. Words and their neighbours are described by
 hashed features; a chain's score is the sum of its words' weights and of the moves between tags, and the best
-chain is found by Viterbi's recursion. Training mixes parameters: each round, every shard of the sample trains a
+chain is found by Viterbi's recursion. Training mixes parameters: each round, every shard of the turns trains a
 structured perceptron from the same weights, and the shards' averages are averaged. Words separated by anything
 but one space belong to different chains, so a chain is short however long its text.
 
-``extractor(model)`` takes the place of ``entities.gazetteer_mentions`` in the plans. The sample is bounded
-(``FIT_TURNS``, chosen by a hash); every turn is tagged, over its whole text.
+``extractor(model)`` takes the place of ``entities.gazetteer_mentions`` in the plans. Every turn given is learned from
+in every round, and every turn is tagged, both over the whole text. The number of shards grows with the text, so that
+none holds much more than ``SHARD_CHARS``; a shard is encoded once and stored as one row.
 """
 
 from __future__ import annotations
 
 import zlib
+from array import array
+from collections import defaultdict
 from collections.abc import Callable, Iterator
 from dataclasses import dataclass
 from functools import lru_cache
+from itertools import accumulate
 
 import numpy as np
 import pyarrow as pa
@@ -27,9 +31,11 @@ from pyspark.sql import types as T
 from turnloom.operators import entities
 from turnloom.scaling import stored
 
-FIT_TURNS = 4_000
-SHARDS = 8
+SHARDS = 8  # at least
+SHARD_CHARS = 8_000_000
 ROUNDS = 5
+_ONE = 1 << 24  # sums of weights are whole multiples of 1 / _ONE, so their order does not matter
+_AHEAD = 8_192  # words tagged at once in training
 _WORDS = 1 << 16  # texts are tagged together up to so many words
 BITS = 14  # rows of the weight table: 2^14 hashed features
 
@@ -113,35 +119,84 @@ def viterbi(scores: np.ndarray, moves: np.ndarray) -> list[int]:
     return chain[::-1]
 
 
-def _trained(turns: list[tuple[str, list]], model: Model) -> tuple[np.ndarray, np.ndarray]:
-    """Averaged weights of one pass of the structured perceptron, begun at ``model``."""
-    number = {tag: i for i, tag in enumerate(model.tags)}
-    weights, moves, stop = model.weights.copy(), model.moves.copy(), barred(model.tags)
-    drift_w, drift_m, step = np.zeros_like(weights), np.zeros_like(moves), 0  # changes times the step they came in
+def _gold(words: list[str], place: int, at: dict[int, dict], number: dict[str, int]) -> Iterator[int]:
+    """Tags of a chain that begins at ``place``, from the mentions by their offset."""
+    inside, label = 0, ""
+    for word in words:
+        if place in at:
+            inside, label = at[place]["n"], at[place]["label"]
+            yield number[f"B-{label}"]
+        else:
+            yield number[f"I-{label}"] if inside > 0 else 0
+        inside -= 1
+        place += len(word) + 1
+
+
+def _encoded(turns: list[tuple[str, list]], tags: list[str]) -> dict[str, np.ndarray]:
+    """Chains of ``text, mentions`` one after the other: length of each, word number and tag of each word, features of each word number."""
+    number = {tag: i for i, tag in enumerate(tags)}
+    numbers: dict[str, int] = {"": 0}
+    lengths, words, gold = array("i"), array("i"), array("i")
     for text, mentions in turns:
         at = {m["offset"]: m for m in mentions}
-        for offset, words in chains(text):
-            gold, place, inside, label = [], offset, 0, ""
-            for word in words:
-                if place in at:
-                    inside, label = at[place]["n"], at[place]["label"]
-                    gold.append(number[f"B-{label}"])
-                else:
-                    gold.append(number[f"I-{label}"] if inside > 0 else 0)
-                inside -= 1
-                place += len(word) + 1
-            f = features(words)
-            found = viterbi(weights[f].sum(axis=1), np.where(stop, -np.inf, moves))
-            if found != gold:
-                for chain, sign in ((gold, 1.0), (found, -1.0)):
-                    tags, before = np.array(chain), np.array([len(model.tags), *chain[:-1]])
-                    for w, m, size in ((weights, moves, sign), (drift_w, drift_m, sign * step)):
-                        np.add.at(w, (f, tags[:, None]), size)
-                        np.add.at(m, (before, tags), size)
-            step += 1
+        for offset, chain in chains(text):
+            lengths.append(len(chain))
+            words.extend([numbers.setdefault(word, len(numbers)) for word in chain])
+            gold.extend(_gold(chain, offset, at, number))
+    table = np.array([(*_own(w), *_near("-", w), *_near("+", w)) for w in numbers], np.int32)
+    return {"lengths": np.array(lengths, np.int32), "words": np.array(words, np.int32), "gold": np.array(gold, np.int32), "table": table}
+
+
+def _beside(words: np.ndarray, lengths: np.ndarray, table: np.ndarray) -> np.ndarray:
+    """``features`` of the words of all chains, one after the other."""
+    ends = np.cumsum(lengths)
+    before, after = np.roll(words, 1), np.roll(words, -1)
+    before[ends - lengths] = after[ends - 1] = 0  # borders
+    found = np.empty((len(words), table.shape[1]), np.int32)
+    found[:, :5], found[:, 5:7], found[:, 7:] = table[words, :5], table[before, 5:7], table[after, 7:]
+    return found
+
+
+def _trained(block: dict[str, np.ndarray], model: Model) -> tuple[np.ndarray, np.ndarray]:
+    """Averaged weights of one pass of the structured perceptron over an encoded shard, begun at ``model``.
+
+    The chains are taken one after the other, but many are tagged at once: up to the first wrong one
+    the weights would have been the same, and from the one behind it tagging goes on with the new weights.
+    """
+    lengths, gold = block["lengths"], block["gold"]
+    f, ends = _beside(block["words"], lengths, block["table"]), np.cumsum(lengths)
+    weights, moves, stop = model.weights.copy(), model.moves.copy(), barred(model.tags)
+    drift_w, drift_m, step = np.zeros_like(weights), np.zeros_like(moves), 0  # changes times the step they came in
+    many = 4
+    while step < len(lengths):
+        start = ends[step] - lengths[step]
+        until = max(step + 1, min(step + many, int(np.searchsorted(ends, start + _AHEAD, side="right"))))
+        part = slice(start, ends[until - 1])
+        found = _best_tags(_summed(weights, f[part]), lengths[step:until], np.where(stop, -np.inf, moves))
+        wrong = np.flatnonzero(found != gold[part])
+        if not len(wrong):
+            step, many = until, 2 * many
+            continue
+        at = int(np.searchsorted(ends, start + wrong[0], side="right"))
+        many, step = 2 * (at - step) + 4, at
+        chain = slice(ends[at] - lengths[at], ends[at])
+        for tags, sign in ((gold[chain], 1.0), (found[chain.start - start:chain.stop - start], -1.0)):
+            before = np.array([len(model.tags), *tags[:-1]])
+            for w, m, size in ((weights, moves, sign), (drift_w, drift_m, sign * step)):
+                np.add.at(w, (f[chain], tags[:, None]), size)
+                np.add.at(m, (before, tags), size)
+        step += 1
     return (weights - drift_w / step, moves - drift_m / step) if step else (weights, moves)
 
 
+def _summed(weights: np.ndarray, f: np.ndarray) -> np.ndarray:
+    """``weights[f].sum(axis=1)`` in less memory."""
+    total = weights[f[:, 0]]
+    for k in range(1, f.shape[1]):
+        total += weights[f[:, k]]
+    return total
+
+
 def _placed(text: str, found: list) -> list[dict]:
     """The gazetteer's mentions, given by capitalised run and word in it, by their offset in the text."""
     starts = [m.start() for m in _RUNS.finditer(text)]
@@ -157,43 +212,71 @@ def _placed(text: str, found: list) -> list[dict]:
 _RUNS = regex.compile(entities._RUN.replace("(?U)", ""))
 
 
-def fit(turns: DataFrame, gazetteer: DataFrame, rounds: int = ROUNDS, rows: int = FIT_TURNS) -> Model:
-    """A tagger of the gazetteer's labels, trained on at most ``rows`` of ``turns(conversation_id, turn_index, text)``.
+def fit(turns: DataFrame, gazetteer: DataFrame, rounds: int = ROUNDS) -> Model:
+    """A tagger of the gazetteer's labels, trained on all ``turns(conversation_id, turn_index, text)``.
 
-    Turns are chosen by a hash and learned from whole; null texts are passed over. Without any mention the tagger
-    finds none. What reaches the driver is one weight table a shard.
+    Turns are dealt to shards by a hash and learned from whole; null texts are passed over. Without any mention the
+    tagger finds none. What reaches the driver is one sum of the shards' weights a round.
     """
-    spark = turns.sparkSession
-    turns = turns.filter(F.col("text").isNotNull()).select(
-        F.xxhash64("conversation_id", "turn_index", "text").alias("h"), "text")
-    share = int(min(1.0, (1.3 * rows + 20) / max(turns.count(), 1)) * (1 << 30))
-    sample = turns.filter(F.pmod("h", F.lit(1 << 30)) < share).orderBy("h", "text").limit(rows)
-    sample = stored(sample.select(F.monotonically_increasing_id().alias("conversation_id"), F.lit(0).alias("turn_index"), "text"),
-                    "tagger-sample")
     labels = sorted(r.label for r in gazetteer.filter("label IS NOT NULL").select("label").distinct().collect())
     tags = tags_of(labels)
     model = Model(tags, np.zeros((1 << BITS, len(tags))), np.zeros((len(tags) + 1, len(tags))))
-    mentions = entities.gazetteer_mentions(sample, gazetteer.filter("label IS NOT NULL")).groupBy("conversation_id").agg(
-        F.collect_list(F.struct("run", "start", "entity", "label")).alias("found"))
-    shards = stored(sample.join(mentions, "conversation_id", "left").select(
-        F.pmod(F.xxhash64("conversation_id"), F.lit(SHARDS)).cast("int").alias("shard"), "conversation_id", "text", "found"),
-        "tagger-shards")
-
-    for _ in range(rounds):
-        parts = sorted(shards.groupBy("shard").applyInArrow(_pass(model), "weights BINARY, moves BINARY").collect(),
-                       key=lambda p: (p.weights, p.moves))  # sums of numbers in one order
-        if not parts:
-            break
-        model = Model(tags, *(np.mean([np.frombuffer(p[i]) for p in parts], axis=0).reshape(w.shape)
-                              for i, w in enumerate((model.weights, model.moves))))
+    blocks = _blocks(turns, gazetteer.filter("label IS NOT NULL"), tags)
+    n_blocks = blocks.count()
+    for _ in range(rounds if n_blocks else 0):
+        sums = blocks.mapInArrow(_pass(model), "place BIGINT, total BIGINT").groupBy("place").agg(
+            F.sum("total").alias("total")).toArrow()
+        mixed = np.zeros(model.weights.size + model.moves.size)
+        mixed[sums.column("place").to_numpy()] = sums.column("total").to_numpy() / (n_blocks * _ONE)
+        model = Model(tags, mixed[:model.weights.size].reshape(model.weights.shape),
+                      mixed[model.weights.size:].reshape(model.moves.shape))
     return model
 
 
-def _pass(model: Model) -> Callable[[pa.Table], pa.Table]:
-    def train(shard: pa.Table) -> pa.Table:
-        rows = sorted(shard.to_pylist(), key=lambda r: r["conversation_id"])
-        weights, moves = _trained([(r["text"], _placed(r["text"], r["found"])) for r in rows], model)
-        return pa.table({"weights": pa.array([weights.tobytes()], pa.binary()), "moves": pa.array([moves.tobytes()], pa.binary())})
+def _blocks(turns: DataFrame, gazetteer: DataFrame, tags: list[str]) -> DataFrame:
+    """One row a shard: all its turns with the gazetteer's tags, ``_encoded``.
+
+    Turns are numbered in the order of a hash and dealt out by their number, so equal rows fill no shard of their own.
+    """
+    hashed = turns.filter(F.col("text").isNotNull()).select(
+        F.xxhash64("conversation_id", "turn_index", "text").alias("h"), "text", F.monotonically_increasing_id().alias("i"))
+    every = stored(hashed.orderBy("h", "text", "i").select(F.monotonically_increasing_id().alias("i"), "text"), "tagger-turns")
+    part = F.shiftright("i", 33)  # the task that wrote the row
+    sizes = {r.part: r for r in every.groupBy(part.alias("part")).agg(
+        F.count("*").alias("n"), F.sum(F.length("text")).alias("chars")).collect()}
+    firsts = list(accumulate((sizes[p].n if p in sizes else 0 for p in range(max(sizes, default=0))), initial=0))
+    number = F.get(F.lit(firsts).cast("array<bigint>"), part.cast("int")) + F.col("i").bitwiseAND((1 << 33) - 1)
+    every = every.select(number.alias("conversation_id"), F.lit(0).alias("turn_index"), "text")
+    n_shards = max(SHARDS, -(-sum(r.chars for r in sizes.values()) // SHARD_CHARS))
+    shard = F.pmod(F.xxhash64("conversation_id"), F.lit(n_shards)).cast("int").alias("shard")
+    mentions = entities.gazetteer_mentions(every.select(shard, "conversation_id", "turn_index", "text"), gazetteer)
+
+    def encode(mine: pa.Table, found: pa.Table) -> pa.Table:
+        by_turn = defaultdict(list)
+        for m in found.to_pylist():
+            by_turn[m["turn"]].append(m)
+        mine = mine.sort_by("conversation_id")
+        block = _encoded([(text.as_py(), _placed(text.as_py(), by_turn[i.as_py()]))
+                          for text, i in zip(mine.column("text"), mine.column("conversation_id"))], tags)
+        return pa.table({name: pa.array([zlib.compress(part.tobytes(), 1)], pa.binary()) for name, part in block.items()})
+
+    found = mentions.select(F.col("shard").alias("of"), F.col("conversation_id").alias("turn"), "run", "start", "entity", "label")
+    return stored(every.select(shard, "conversation_id", "text").groupBy("shard").cogroup(found.groupBy("of"))
+                  .applyInArrow(encode, "lengths BINARY, words BINARY, gold BINARY, table BINARY"), "tagger-shards")
+
+
+def _pass(model: Model) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
+    def train(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        total = np.zeros(model.weights.size + model.moves.size, np.int64)
+        for batch in batches:
+            for i in range(batch.num_rows):
+                block = {name: np.frombuffer(zlib.decompress(batch.column(name)[i].as_py()), np.int32)
+                         for name in ("lengths", "words", "gold", "table")}
+                block["table"] = block["table"].reshape(-1, 9)
+                for part, at in zip(_trained(block, model), (0, model.weights.size)):
+                    total[at:at + part.size] += np.rint(part.ravel() * _ONE).astype(np.int64)
+        places = np.flatnonzero(total)
+        yield pa.RecordBatch.from_arrays([pa.array(places, pa.int64()), pa.array(total[places], pa.int64())], names=["place", "total"])
 
     return train
 
